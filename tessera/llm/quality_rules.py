@@ -126,48 +126,55 @@ def learn(rows: DataFrame, features=FEATURES, *, label: str = "bad", max_rules:
     ``rows``: the (bounded, staged) labelled rows with ``features``, ``label`` (0 or 1) and ``prune`` (true for the rows
     held back for pruning). A rule grows by the condition with the largest information gain on the growing rows, then
     loses final conditions while that doesn't lower (p - n) / (p + n) on the pruning rows, and is taken if
-    ``precision`` holds on all rows and it covers ``least``. Covered rows go, and the next rule starts. Each step is one
+    ``precision`` holds on all rows and it covers ``least``. Thresholds are quantiles of either class. Covered rows go, and the next rule starts. Each step is one
     aggregation; only counts by feature and cut reach the driver.
     """
-    row = rows.agg(*[F.percentile_approx(F.col(f).cast("double"), [i / cuts for i in range(1, cuts)], 10_000).alias(f) for f in features]).first()
-    bounds = {f: sorted(set(row[f] or [])) for f in features}
+    at = [i / cuts for i in range(cuts + 1)]
+    by_class = rows.groupBy(label).agg(*[F.percentile_approx(F.col(f).cast("double"), at, 10_000).alias(f) for f in features]).collect()
+    bounds = {f: sorted({x for r in by_class for x in r[f] or []}) for f in features}
     bins = F.array(*[_bin(F.col(f).cast("double"), bounds[f]) for f in features])
     binned = stage(rows.select(*features, F.col(label).alias("y"), "prune", bins.alias("bins")), "rule-rows")
     rules: list[tuple[Condition, ...]] = []
-    left = binned
+    left, pure = binned, False
     while len(rules) < max_rules:
         rule: list[Condition] = []
         while len(rule) < max_conditions:
             counts = left.where(~F.col("prune") & _all(rule)).select("y", F.posexplode("bins").alias("f", "b")).groupBy("f", "b", "y").count().collect()
-            best = _best(counts, features, bounds, least)
+            best = _best(counts, features, bounds, least, pure)
             if best is None:
                 break
             rule.append(best[0])
             if best[1] == 0:
                 break
-        if not rule:
+        taken = _pruned(left, rule, least, precision) if rule else None
+        if taken:
+            rules.append(taken)
+            left = left.where(~_all(taken))
+        elif pure:
             break
-        tests = [_all(rule[: k + 1]) for k in range(len(rule))]
-        sums = left.agg(*[F.coalesce(F.sum(F.when(t & (F.col("y") == y) & (F.col("prune") == part), 1)), F.lit(0)) for t in tests for y in (1, 0) for part in (True, False)]).first()
-        by = [sums[4 * k : 4 * k + 4] for k in range(len(rule))]  # bad held back, bad grown on, good held back, good grown on
-        worth = [(b[0] - b[2]) / (b[0] + b[2]) if b[0] + b[2] else -1 for b in by]
-        k = len(rule) - 1
-        while k > 0 and worth[k - 1] >= worth[k]:
-            k -= 1
-        hit, miss = by[k][0] + by[k][1], by[k][2] + by[k][3]
-        if hit < least or hit < precision * (hit + miss):
-            break
-        rules.append(tuple(rule[: k + 1]))
-        left = left.where(~_all(rules[-1]))
+        pure = not taken  # where gain alone leads to no precise rule, the next one may only use conditions without misses
     return DecisionList(tuple(rules))
 
 
+def _pruned(left: DataFrame, rule: list[Condition], least: int, precision: float) -> tuple[Condition, ...] | None:
+    """The shortest beginning of the rule that is worth as much as any on the pruning rows, among those precise enough."""
+    tests = [_all(rule[: k + 1]) for k in range(len(rule))]
+    sums = left.agg(*[F.coalesce(F.sum(F.when(t & (F.col("y") == y) & (F.col("prune") == part), 1)), F.lit(0)) for t in tests for y in (1, 0) for part in (True, False)]).first()
+    best, most = None, None
+    for k in range(len(rule)):
+        hit_held, hit, miss_held, miss = sums[4 * k : 4 * k + 4]
+        worth = (hit_held - miss_held) / (hit_held + miss_held) if hit_held + miss_held else 0.0
+        if hit + hit_held >= least and hit + hit_held >= precision * (hit + hit_held + miss + miss_held) and (most is None or worth > most):
+            best, most = tuple(rule[: k + 1]), worth
+    return best
+
+
 def _bin(x: Column, bounds: list[float]) -> Column:
     """How many of the ascending bounds lie below x."""
     return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: x > b)) if bounds else F.lit(0)
 
 
-def _best(counts, features, bounds, least: int) -> tuple[Condition, int] | None:
+def _best(counts, features, bounds, least: int, pure: bool = False) -> tuple[Condition, int] | None:
     """The condition with the largest gain, and how many good rows it still lets in."""
     at = {(r["f"], r["b"], r["y"]): r["count"] for r in counts}
     p0 = sum(n for (f, _, y), n in at.items() if f == 0 and y == 1)
@@ -181,7 +188,7 @@ def _best(counts, features, bounds, least: int) -> tuple[Condition, int] | None:
             p_below += at.get((f, b, 1), 0)
             n_below += at.get((f, b, 0), 0)
             for above, p, n in ((False, p_below, n_below), (True, p0 - p_below, n0 - n_below)):
-                if p >= least and n < n0:
+                if p >= least and n < n0 and not (pure and n):
                     gain = p * (math.log2((p + 0.5) / (p + n + 1)) - math.log2((p0 + 0.5) / (p0 + n0 + 1)))
                     if gain > most:
                         best, most = (Condition(name, above, float(bound)), n), gain
