@@ -135,24 +135,24 @@ def learn(rows: DataFrame, features=FEATURES, *, label: str = "bad", max_rules:
     bins = F.array(*[_bin(F.col(f).cast("double"), bounds[f]) for f in features])
     binned = stage(rows.select(*features, F.col(label).alias("y"), "prune", bins.alias("bins")), "rule-rows")
     rules: list[tuple[Condition, ...]] = []
-    left, pure = binned, False
-    while len(rules) < max_rules:
+    left, barred = binned, set()
+    while len(rules) < max_rules and len(barred) < len(features):
         rule: list[Condition] = []
         while len(rule) < max_conditions:
             counts = left.where(~F.col("prune") & _all(rule)).select("y", F.posexplode("bins").alias("f", "b")).groupBy("f", "b", "y").count().collect()
-            best = _best(counts, features, bounds, least, pure)
+            best = _best(counts, features, bounds, least, barred if not rule else set())
             if best is None:
                 break
             rule.append(best[0])
             if best[1] == 0:
                 break
-        taken = _pruned(left, rule, least, precision) if rule else None
-        if taken:
-            rules.append(taken)
-            left = left.where(~_all(taken))
-        elif pure:
+        if not rule:
             break
-        pure = not taken  # where gain alone leads to no precise rule, the next one may only use conditions without misses
+        if taken := _pruned(left, rule, least, precision):
+            rules.append(taken)
+            left, barred = left.where(~_all(taken)), set()
+        else:
+            barred.add(rule[0].feature)  # no precise rule begins with it; the next best may
     return DecisionList(tuple(rules))
 
 
@@ -174,7 +174,7 @@ def _bin(x: Column, bounds: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: x > b)) if bounds else F.lit(0)
 
 
-def _best(counts, features, bounds, least: int, pure: bool = False) -> tuple[Condition, int] | None:
+def _best(counts, features, bounds, least: int, barred: set[str]) -> tuple[Condition, int] | None:
     """The condition with the largest gain, and how many good rows it still lets in."""
     at = {(r["f"], r["b"], r["y"]): r["count"] for r in counts}
     p0 = sum(n for (f, _, y), n in at.items() if f == 0 and y == 1)
@@ -183,12 +183,14 @@ def _best(counts, features, bounds, least: int, pure: bool = False) -> tuple[Con
         return None
     best, most = None, 1e-9
     for f, name in enumerate(features):
+        if name in barred:
+            continue
         p_below = n_below = 0
         for b, bound in enumerate(bounds[name]):
             p_below += at.get((f, b, 1), 0)
             n_below += at.get((f, b, 0), 0)
             for above, p, n in ((False, p_below, n_below), (True, p0 - p_below, n0 - n_below)):
-                if p >= least and n < n0 and not (pure and n):
+                if p >= least and n < n0:
                     gain = p * (math.log2((p + 0.5) / (p + n + 1)) - math.log2((p0 + 0.5) / (p0 + n0 + 1)))
                     if gain > most:
                         best, most = (Condition(name, above, float(bound)), n), gain
