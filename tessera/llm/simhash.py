@@ -15,8 +15,11 @@ from .components import components
 SEED = 42
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """64 bits, each the majority over the XXH64 of the word shingles; zero without words."""
+def fingerprint(text: str | None, shingle: int = 4, words_out: int = 1) -> int:
+    """64 bits, each the majority over the XXH64 of the word shingles; zero without words.
+
+    With ``words_out`` over 1 as many words, the first as above and the others from mixed hashes.
+    """
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -27,10 +30,16 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     k = min(shingle, len(words))
     first = np.concatenate([[0], ends[:-1] + 1])[: len(words) - k + 1].tolist()
     hashed = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, ends[k - 1 :].tolist(), strict=True)], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashed), 65_536):
-        ones += np.unpackbits(hashed[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashed)).tobytes(), "big")
+    bits = []
+    for word in range(words_out):
+        if word:
+            hashed = (hashed ^ (hashed >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+            hashed ^= hashed >> np.uint64(28)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashed), 65_536):
+            ones += np.unpackbits(hashed[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        bits.append(np.packbits(2 * ones > len(hashed)).tobytes())
+    return int.from_bytes(b"".join(bits), "big")
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
@@ -73,19 +82,24 @@ class _Labels:
         self.of = new[self.of]
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; fingerprints are the last axis, of one word or more."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
 def _across(f: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, labels: _Labels, cells: int = 4_000_000) -> None:
     """Links points of a and b within the radius, by blocks of bounded size."""
     if not len(a) or not len(b):
         return
-    step = max(1, cells // len(b))
+    step = max(1, cells // (len(b) * f.shape[1]))
     for at in range(0, len(a), step):
-        x, y = np.nonzero(np.bitwise_count(f[a[at : at + step], None] ^ f[None, b]) <= radius)
+        x, y = np.nonzero(_distance(f[a[at : at + step], None], f[None, b]) <= radius)
         if len(x):
             labels.join(a[at : at + step][x], b[y])
 
 
 def tree_labels(f: np.ndarray, radius: int, leaf: int = 192) -> np.ndarray:
-    """Component of each fingerprint of a shard, by its vantage-point tree.
+    """Component of each fingerprint (a row of words) of a shard, by its vantage-point tree.
 
     A node splits its points at the median distance m from its vantage point. For points of different halves to link,
     the triangle bound asks the inner one to be over m - radius and the outer one at m + radius at most; only these are
@@ -97,7 +111,7 @@ def tree_labels(f: np.ndarray, radius: int, leaf: int = 192) -> np.ndarray:
         if len(own) <= leaf:
             _across(f, own, own, radius, labels)
             continue
-        d = np.bitwise_count(f[own] ^ f[own[len(own) // 2]]).astype(np.int64)
+        d = _distance(f[own], f[own[len(own) // 2]])
         m = int(np.median(d))
         if (d > m).sum() == 0:
             m -= 1
@@ -110,7 +124,7 @@ def tree_labels(f: np.ndarray, radius: int, leaf: int = 192) -> np.ndarray:
     return labels.of
 
 
-def _shard_links(key: np.ndarray, f: np.ndarray, node: np.ndarray, radius: int, small: int = 24) -> tuple[np.ndarray, np.ndarray]:
+def _shard_links(key: np.ndarray, f: np.ndarray, node: np.ndarray, radius: int, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """Links (nodes) that connect what is within the radius inside equal keys; rows come sorted by key."""
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
@@ -122,7 +136,7 @@ def _shard_links(key: np.ndarray, f: np.ndarray, node: np.ndarray, radius: int,
         same = ks[step:] == ks[:-step]
         if not same.any():
             break
-        hit = same & (np.bitwise_count(fs[step:] ^ fs[:-step]) <= radius)
+        hit = same & (_distance(fs[step:], fs[:-step]) <= radius)
         a.append(ns[step:][hit])
         b.append(ns[:-step][hit])
     for k in np.flatnonzero(size > small):
@@ -134,6 +148,34 @@ def _shard_links(key: np.ndarray, f: np.ndarray, node: np.ndarray, radius: int,
     return a[a != b], b[a != b]
 
 
+def _links_in_shards(shards: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) inside the shards; ``shards``: key, node, fp (bytes of the words)."""
+    dealt = shards.repartition(tasks(shards.sparkSession), "key").sortWithinPartitions("key", "fp")
+
+    def joined(batches):
+        held: list[tuple] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            key, node = pdf["key"].to_numpy(), pdf["node"].to_numpy()
+            f = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(key), -1)
+            cut = int(np.searchsorted(key, key[-1], "left"))
+            if cut == 0 and held and held[-1][0][-1] == key[-1]:
+                held.append((key, f, node))
+                continue
+            held.append((key[:cut], f[:cut], node[:cut]))
+            yield found(held)
+            held = [(key[cut:], f[cut:], node[cut:])]
+        if held:
+            yield found(held)
+
+    def found(held):
+        a, b = _shard_links(*[np.concatenate([h[k] for h in held if len(h[0])]) for k in range(3)], radius)
+        return pd.DataFrame({"a": a, "b": b})
+
+    return dealt.mapInPandas(joined, "a long, b long")
+
+
 def links(codes: DataFrame, radius: int = 4) -> DataFrame:
     """Links (a, b: nodes) that connect all fingerprints within ``radius``; ``codes``: fp and node, fp distinct.
 
@@ -145,31 +187,8 @@ def links(codes: DataFrame, radius: int = 4) -> DataFrame:
     offset = [sum(widths[:k]) for k in range(n)]
     block = [F.shiftrightunsigned("fp", o).bitwiseAND(F.lit((1 << w) - 1)) for o, w in zip(offset, widths, strict=True)]
     keys = [F.lit(t << 44) + F.shiftleft(block[i], 22) + block[j] for t, (i, j) in enumerate(combinations(range(n), 2))]
-    spark = codes.sparkSession
-    shards = codes.select("fp", "node", F.explode(F.array(*keys)).alias("key")).repartition(tasks(spark), "key").sortWithinPartitions("key", "fp")
-
-    def joined(batches):
-        held: list[tuple] = []
-        last = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            key, f, node = pdf["key"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64), pdf["node"].to_numpy()
-            cut = 0 if key[-1] == last and key[0] == last else int(np.searchsorted(key, key[-1], "left"))
-            if cut or last != key[-1]:
-                held.append((key[:cut], f[:cut], node[:cut]))
-                yield edge_frame(held)
-                held = []
-            held.append((key[cut:], f[cut:], node[cut:]))
-            last = key[-1]
-        if held:
-            yield edge_frame(held)
-
-    def edge_frame(held):
-        a, b = _shard_links(*[np.concatenate([h[k] for h in held]) for k in range(3)], radius)
-        return pd.DataFrame({"a": a, "b": b})
-
-    return shards.mapInPandas(joined, "a long, b long")
+    word = F.unhex(F.lpad(F.hex("fp"), 16, "0"))  # the order of its bytes doesn't matter to distances
+    return _links_in_shards(codes.select(word.alias("fp"), "node", F.explode(F.array(*keys)).alias("key")), radius)
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -187,5 +206,44 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, recall: float = 0.97) -> DataFrame:
+    """(doc_id, component_id) by similarity: documents whose word shingles have a Jaccard similarity of about ``similarity`` or more.
+
+    At similarity s the shingle vectors have cosine 2s / (1 + s), so each bit of a fingerprint differs with probability
+    arccos(cosine) / pi. Fingerprints of 64 * ``words`` bits within that share plus one standard error link. Candidates
+    meet in shards by samples of bits, as many as find a pair at the limit with probability ``recall`` (closer pairs
+    more surely); the width of a sample follows the number of distinct fingerprints, so that shards stay small. Inside a
+    shard vantage-point trees connect what is within the radius. Nulls, empty texts, repeats and empty tables: as in
+    near_duplicates.
+    """
+    bits = 64 * words
+    differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    radius = int(bits * differ + np.sqrt(bits * differ * (1 - differ)))
+
+    @F.pandas_udf("binary")
+    def coded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: fingerprint(t, shingle, words).to_bytes(bits // 8, "big"))
+
+    # a null text reaches the function as None
+    rows = stage(docs.select(F.col(doc_id).alias("doc_id"), coded(F.coalesce(F.col(text), F.lit(""))).alias("fp")), "wide-fingerprints")
+    codes = stage(rows.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "wide-codes")
+    width = max(14, int(np.ceil(np.log2(max(2, codes.count())))) - 4)
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - differ) ** width)))
+    chosen = np.stack([np.random.Generator(np.random.PCG64([SEED, t])).choice(bits, width, False) for t in range(tables)])
+
+    def dealt(batches):
+        weight = 1 << np.arange(width, dtype=np.int64)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            on = np.unpackbits(np.frombuffer(b"".join(pdf["fp"]), np.uint8).reshape(len(pdf), -1), axis=1)
+            for t in range(tables):
+                yield pd.DataFrame({"key": (t << 48) + on[:, chosen[t]].astype(np.int64) @ weight, "node": pdf["node"], "fp": pdf["fp"]})
+
+    roots = components(_links_in_shards(codes.mapInPandas(dealt, "key long, node long, fp binary"), radius))
+    named = codes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    return rows.join(named, "fp", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
 def hex_of(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

@@ -182,11 +182,11 @@ def test_repeats_of_equal_rows_and_ids(spark):
 def test_phrases_do_not_depend_on_the_buffer():
     text = (P1 + P2 * 3 + "be " * 200).encode()
     whole = repeats.phrases([text])
-    a = {(int(lo) + k, int(t)) for lo, n, t in zip(whole[1], whole[2], whole[3], strict=True) for k in range(n + 1)}
+    a = {(int(lo) + k, int(t)) for lo, n, t in zip(whole[1], whole[2], whole[3], strict=True) for k in range((int(n) & 127) + 1)}
     small = [seg for seg in repeats._segments([text], 150)]
     assert len(small) > 3 and {lo for lo, _ in a} == set(range(len(text) - 99))
     pieces = [(base, repeats.phrases([part])) for held in small for _, base, part in held]
-    b = {(base + int(lo) + k, int(t)) for base, p in pieces for lo, n, t in zip(p[1], p[2], p[3], strict=True) for k in range(n + 1)}
+    b = {(base + int(lo) + k, int(t)) for base, p in pieces for lo, n, t in zip(p[1], p[2], p[3], strict=True) for k in range((int(n) & 127) + 1)}
     assert a == b
 
 
@@ -239,7 +239,7 @@ def test_links_join_all_within_the_radius(spark):
     base = rng.integers(0, 1 << 63, 12, np.uint64)
     f = np.unique([b ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, False).astype(np.uint64)) for b in base for n in rng.integers(1, 6, 60).tolist()])
     want = naive_components({i: int(x) for i, x in enumerate(f)})
-    assert dict(enumerate(_roots(simhash.tree_labels(f, 4, leaf=20)))) == want
+    assert dict(enumerate(_roots(simhash.tree_labels(f[:, None], 4, leaf=20)))) == want
     codes = spark.createDataFrame([(int(x) - (1 << 64) if x >> np.uint64(63) else int(x), i) for i, x in enumerate(f)], "fp long, node long")
     from tessera.llm.components import components
 
@@ -252,6 +252,24 @@ def _roots(of):
     return [first.setdefault(int(x), i) for i, x in enumerate(of)]
 
 
+def test_similar_groups(spark):
+    rng = np.random.default_rng(7)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 400)] for _ in range(60)]
+    texts, want = [], []
+    for k, words in enumerate(base):
+        for copy in range(6):
+            own = list(words)
+            for at in rng.choice(400, 3 * (copy > 0), False):
+                own[at] = "edit"
+            texts.append(" ".join(own))
+            want.append(6 * k)
+    got = {r["doc_id"]: r["component_id"] for r in rows(simhash.similar_groups(documents(spark, texts)))}
+    same = sum(got[i] == w for i, w in enumerate(want))
+    assert same >= 0.97 * len(want)
+    assert all(got[i] // 6 == want[i] // 6 for i in got)
+    assert simhash.similar_groups(documents(spark).limit(0)).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     from tessera.llm.components import components
 
