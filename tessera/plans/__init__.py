@@ -1 +1 @@
-
+"""Derived panels and the registered queries."""

@@ -1 +1 @@
-
+"""Reading and writing panel tables."""

@@ -1 +1 @@
-
+"""Structured Streaming roll-ups, de-duplication and alerts."""
