@@ -1,12 +1,12 @@
 """Removal of repeated 100-byte strings by prefix-free parsing.
 
-Rolling-hash triggers cut every text into phrases: the trigger of a 100-byte window is its 32-byte substring with the
+Rolling-hash triggers cut every text into phrases: the trigger of a 100-byte window is its 16-byte substring with the
 smallest hash (the leftmost of equals), a phrase is a run of window starts with one trigger, and its entry is the bytes
 that its windows cover. Equal windows have equal triggers, so what repeats is parsed alike wherever it stands. The
 dictionary holds each distinct entry once, with its first place; all other places of the entry repeat it as a whole.
-Only windows of dictionary entries that share a trigger with a different entry are then put in corpus order, by 128 bits
-of their bytes and place: runs of equals in that order are what neighbours in a suffix array with a common prefix of 100
-bytes would be.
+Only windows of dictionary entries that share a trigger and 42 bytes on one side of it with a different entry are then
+put in corpus order, by 96 bits of hash and place: runs of equals in that order are what neighbours in a suffix array
+with a common prefix of 100 bytes would be.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import stage, tasks
 
-LENGTH, TRIGGER = 100, 32
+LENGTH, TRIGGER = 100, 16
+#: A window reaches SIDE bytes beyond its trigger on the left or on the right.
+SIDE = (LENGTH - TRIGGER) // 2
 BUFFER = 1 << 21
 #: Places are (key of the row << 40 | byte), the key being 0 unless document ids repeat.
 _SHIFT = 40
@@ -70,7 +72,11 @@ def _segments(texts: list[bytes], most: int = BUFFER):
 
 
 def phrases(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text, first window start, last less first, hash of the trigger, hash of the entry) of all phrases."""
+    """(text, first window start, info, hash of the trigger, hash of the entry) of all phrases.
+
+    info: last window start less first (7 bits), trigger less first (7), and 16 bits each of the hashes of the trigger
+    with SIDE bytes on its left and on its right (0 where no window of the phrase reaches so far).
+    """
     from xxhash import xxh3_64_intdigest
 
     out: list[tuple] = []
@@ -99,7 +105,12 @@ def phrases(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         entry = np.fromiter((xxh3_64_intdigest(view[a:b]) for a, b in zip(lo.tolist(), (hi + LENGTH - 1).tolist(), strict=True)), np.uint64, len(lo))
         which = own[lo]
         text, base = np.array([k for k, _, _ in held]), np.array([a for _, a, _ in held]) - (ends - sizes)
-        out.append((text[which], lo + base[which], hi - lo - 1, g[t[lo]], entry))
+        at, last = t[lo].astype(np.int64), hi - 1
+        sides = _rolled(buf, TRIGGER + SIDE, 1) & np.uint64(0xFFFF) | np.uint64(1)
+        left = np.where(lo <= at - SIDE, sides[np.maximum(at - SIDE, 0)], 0).astype(np.int64)
+        right = np.where(last >= at - SIDE, sides[np.minimum(at, len(sides) - 1)], 0).astype(np.int64)
+        info = (last - lo) | (at - lo) << 7 | left << 14 | right << 30
+        out.append((text[which], lo + base[which], info, g[at], entry))
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -119,27 +130,29 @@ def _first_of(keys: list[np.ndarray], doc: np.ndarray, pos: np.ndarray) -> tuple
 
 #: Kinds of rows: TRAVELS to its key's task, REPEATS an earlier place, NEEDS its windows compared.
 TRAVELS, REPEATS, NEEDS = 0, 1, 2
-_ROW = "a long, b long, doc long, pos long, span int, kind int"
+_ROW = "a long, b long, doc long, pos long, info long, kind int"
 
 
-def _frame(a, b, doc, pos, span, kind) -> pd.DataFrame:
+def _frame(a, b, doc, pos, info, kind) -> pd.DataFrame:
     signed = lambda x: x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)
-    return pd.DataFrame({"a": signed(a), "b": signed(b), "doc": doc.astype(np.int64), "pos": pos.astype(np.int64), "span": span.astype(np.int32), "kind": kind.astype(np.int32)})
+    return pd.DataFrame({"a": signed(a), "b": signed(b), "doc": doc.astype(np.int64), "pos": pos.astype(np.int64), "info": info.astype(np.int64), "kind": kind.astype(np.int32)})
 
 
-def _local(a, b, doc, pos, span) -> pd.DataFrame:
+def _local(a, b, doc, pos, info) -> pd.DataFrame:
     """Of equal keys inside a task only the first place travels; the others are known to repeat it."""
     order, new, here = _first_of([a, b], doc, pos)
     kind = np.where(here, TRAVELS, REPEATS)
     keep = new | ~here  # the very same place twice is one
     o = order[keep]
-    return _frame(a[o], b[o], doc[o], pos[o], span[o], kind[keep])
+    kind = kind[keep]
+    known = kind == REPEATS
+    return _frame(np.where(known, 0, a[o]), np.where(known, 0, b[o]), doc[o], pos[o], np.where(known, info[o] & 127, info[o]), kind)
 
 
 def _deal(rows: DataFrame) -> DataFrame:
     """Travelling rows to the task of their first key, known repeats anywhere; each task sorted by keys and place."""
     where = F.when(F.col("kind") == TRAVELS, F.xxhash64("a")).otherwise(F.xxhash64("doc", "pos"))
-    return rows.withColumn("at", where).repartition(tasks(rows.sparkSession), "at").drop("at").sortWithinPartitions("kind", "a", "b", "doc", "pos")
+    return rows.repartition(tasks(rows.sparkSession), where).sortWithinPartitions("kind", "a", "b", "doc", "pos")
 
 
 def _by_key(batches, handle):
@@ -163,25 +176,37 @@ def _by_key(batches, handle):
         yield handle(pd.concat(held))
 
 
+def _shared(group: np.ndarray, side: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which rows have their side (not 0) in common with another row of their group."""
+    out = np.zeros(len(group), bool)
+    at = np.flatnonzero(among & (side > 0))
+    _, back, n = np.unique(group[at] << 16 | side[at], return_inverse=True, return_counts=True)
+    out[at] = n[back] > 1
+    return out
+
+
 def _dictionary(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Places of one trigger: all but the first of an entry repeat; entries of a trigger that has several need a look."""
-    a, b, doc, pos, span = (pdf[c].to_numpy() for c in ("a", "b", "doc", "pos", "span"))
+    """Places of one trigger: all but the first of an entry repeat; windows of entries with a side in common need a look."""
+    a, b, doc, pos, info = (pdf[c].to_numpy() for c in ("a", "b", "doc", "pos", "info"))
     order, new, here = _first_of([a, b], doc, pos)
-    a = a[order]
-    start = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
+    a, doc, pos, info = a[order], doc[order], pos[order], info[order]
+    start = np.r_[True, a[1:] != a[:-1]][: len(a)]
     group = np.cumsum(start) - 1
-    several = np.bincount(group, new) > 1 if len(a) else np.zeros(0, bool)
-    kind = np.where(~here, REPEATS, np.where(new & several[group], NEEDS, TRAVELS))
-    keep = kind != TRAVELS
-    o = order[keep]
-    return _frame(pdf["a"].to_numpy()[o], b[o], doc[o], pos[o], span[o], kind[keep])
+    entry = new & (np.bincount(group, new, minlength=1) > 1)[group] if len(a) else new
+    left, right = _shared(group, info >> 14 & 0xFFFF, entry), _shared(group, info >> 30 & 0xFFFF, entry)
+    span, middle = info & 127, (info >> 7 & 127) - SIDE  # the window at middle reaches SIDE bytes to either side
+    first = np.where(left, 0, np.maximum(middle, 0))
+    last = np.where(right, span, np.minimum(middle, span))
+    needs = left | right
+    rows = [(~here, pos[~here], span[~here], REPEATS), (needs, (pos + first)[needs], (last - first)[needs], NEEDS)]
+    return pd.concat([_frame(np.zeros(m.sum(), np.int64), np.zeros(m.sum(), np.int64), doc[m], p, n, np.full(m.sum(), kind)) for m, p, n, kind in rows])
 
 
 def _equals(pdf: pd.DataFrame) -> pd.DataFrame:
-    a, b, doc, pos, span = (pdf[c].to_numpy() for c in ("a", "b", "doc", "pos", "span"))
+    a, b, doc, pos = (pdf[c].to_numpy() for c in ("a", "b", "doc", "pos"))
     order, _, here = _first_of([a, b], doc, pos)
-    o = order[~here]
-    return _frame(a[o], b[o], doc[o], pos[o], span[o], np.full(len(o), REPEATS))
+    o, none = order[~here], np.zeros((~here).sum(), np.int64)
+    return _frame(none, none, doc[o], pos[o], none, np.full(len(o), REPEATS))
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -200,7 +225,7 @@ def _zipped(rows: DataFrame) -> DataFrame:
     def zipped(raw: pd.Series) -> pd.Series:
         import zstandard
 
-        return raw.map(zstandard.ZstdCompressor(level=1).compress)
+        return raw.map(zstandard.ZstdCompressor(level=3).compress)
 
     return rows.select("doc", "key", zipped("raw").alias("z"))
 
@@ -210,12 +235,12 @@ def repeated_places(rows: DataFrame) -> DataFrame:
 
     def parsed(batches):
         for pdf in batches:
-            text, lo, span, trigger, entry = phrases(pdf["raw"].to_list())
+            text, lo, info, trigger, entry = phrases(pdf["raw"].to_list())
             doc, key = pdf["doc"].to_numpy()[text], pdf["key"].to_numpy()[text]
-            yield _local(trigger, entry, doc, (key << _SHIFT) | lo, span)
+            yield _local(trigger, entry, doc, (key << _SHIFT) | lo, info)
 
     entries = stage(_deal(rows.select("doc", "key", "raw").mapInPandas(parsed, _ROW)).mapInPandas(lambda b: _by_key(b, _dictionary), _ROW), "entries")
-    needs = entries.where(F.col("kind") == NEEDS).groupBy("doc", F.shiftright("pos", _SHIFT).alias("key")).agg(F.collect_list(F.struct("pos", "span")).alias("spots"))
+    needs = entries.where(F.col("kind") == NEEDS).groupBy("doc", F.shiftright("pos", _SHIFT).alias("key")).agg(F.collect_list(F.struct("pos", F.col("info").alias("span"))).alias("spots"))
 
     def windows(batches):
         import zstandard
@@ -230,13 +255,14 @@ def repeated_places(rows: DataFrame) -> DataFrame:
                 np.add.at(change, lo, 1)
                 np.add.at(change, lo + np.array([s["span"] for s in spots]) + 1, -1)
                 at = np.flatnonzero(np.cumsum(change[:-1]) > 0)
-                out.append((_rolled(buf, LENGTH, 0)[at], _rolled(buf, LENGTH, 1)[at], np.full(len(at), doc), at | (key << _SHIFT)))
+                out.append((_rolled(buf, LENGTH, 0)[at], _rolled(buf, LENGTH, 1)[at] >> np.uint64(32), np.full(len(at), doc), at | (key << _SHIFT)))
             if out:
                 a, b, doc, pos = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield _local(a, b, doc, pos, np.zeros(len(a), np.int32))
+                yield _local(a, b, doc, pos, np.zeros(len(a), np.int64))
 
     found = _deal(needs.join(_zipped(rows), ["doc", "key"]).select("doc", "key", "z", "spots").mapInPandas(windows, _ROW)).mapInPandas(lambda b: _by_key(b, _equals), _ROW)
-    return entries.where(F.col("kind") == REPEATS).select("doc", "pos", "span").unionByName(found.select("doc", "pos", "span"))
+    places = ["doc", "pos", F.col("info").cast("int").alias("span")]
+    return entries.where(F.col("kind") == REPEATS).select(*places).unionByName(found.select(*places))
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
