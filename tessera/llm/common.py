@@ -62,7 +62,7 @@ class PieceCoder:
     order. Ids of new pieces come from the tokenizers library and stay in a table of bounded size.
     """
 
-    LIMIT = 800_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str, plain: str, special: str, mark: str):
         """mark: a character with an id of its own that no other text has; it keeps many pieces apart in one call."""
