@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import q_columns  # noqa: F401  (registers its queries)
+from .plans import q_columns, q_domain, q_tables  # noqa: F401  (they register their queries)
 from .plans.pairs import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES"]
+flagship = q_tables.flagship
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -23,12 +23,12 @@ def full(x: str, n: int, value: str) -> str:
 
 
 def near(x, digits: int = 6):
-    """Rounded, a little off the halves, where engines differ in the last bit."""
-    return F.round(x + 0.13 * 10**-digits, digits)
+    """Rounded, a little off the halves, where engines differ in the last bit; no negative zero."""
+    return F.round(x + 0.13 * 10**-digits, digits) + 0.0
 
 
 def near_sql(x: str, digits: int = 6) -> str:
-    return f"round({x} + {0.13 * 10**-digits!r}, {digits})"
+    return f"(round({x} + {0.13 * 10**-digits!r}, {digits}) + 0.0)"
 
 
 def query(sql: str | None = None):

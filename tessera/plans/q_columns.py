@@ -35,6 +35,7 @@ columns(
         "delta_1": (ts.ts_delta(_C, 1), f"close - lag(close) {WS}"),
         "prod_4": (ts.ts_prod("turnover_rate", 4), full("turnover_rate", 4, f"exp(sum(ln(1 + turnover_rate)) {w(4)}) - 1")),
     },
+    digits=4,
     doc="Rolling moments, extremes, shifts and compounding.",
 )
 
@@ -307,6 +308,6 @@ columns(
         "rsi": (indicators.rsi(), f"CASE WHEN ch IS NOT NULL THEN 100 * {_ge} / nullif({_ge} + {_le2}, 0) END"),
         "atr": (indicators.atr(), ema_sql("tr", 1 / 14)),
     },
-    digits=5,
+    digits=4,
     doc="MACD, RSI and ATR by folds in the JVM.",
 )
