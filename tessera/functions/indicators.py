@@ -8,31 +8,38 @@ from pyspark.sql import functions as F
 from . import ts as T
 from .base import col, corr_over, div, full, running, ts
 
-_o, _h, _l, _c, _v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
 EPS = 1e-12
-_range = _h - _l + EPS
-_top, _low = F.greatest(_o, _c), F.least(_o, _c)
-
-#: Candle shape and price ratios.
-ALPHA_CANDLE: dict[str, Column] = {
-    "KMID": div(_c - _o, _o),
-    "KLEN": div(_h - _l, _o),
-    "KMID2": div(_c - _o, _range),
-    "KUP": div(_h - _top, _o),
-    "KUP2": div(_h - _top, _range),
-    "KLOW": div(_low - _l, _o),
-    "KLOW2": div(_low - _l, _range),
-    "KSFT": div(2 * _c - _h - _l, _o),
-    "KSFT2": div(2 * _c - _h - _l, _range),
-    "OPEN0": div(_o, _c),
-    "HIGH0": div(_h, _c),
-    "LOW0": div(_l, _c),
-    "VWAP0": div(div("amount", _v), _c),
-}
+
+
+def _bar() -> tuple[Column, ...]:
+    return tuple(F.col(x) for x in ("open", "high", "low", "close", "volume"))
+
+
+def alpha_candle() -> dict[str, Column]:
+    """Candle shape and price ratios."""
+    _o, _h, _l, _c, _v = _bar()
+    _range = _h - _l + EPS
+    _top, _low = F.greatest(_o, _c), F.least(_o, _c)
+    return {
+        "KMID": div(_c - _o, _o),
+        "KLEN": div(_h - _l, _o),
+        "KMID2": div(_c - _o, _range),
+        "KUP": div(_h - _top, _o),
+        "KUP2": div(_h - _top, _range),
+        "KLOW": div(_low - _l, _o),
+        "KLOW2": div(_low - _l, _range),
+        "KSFT": div(2 * _c - _h - _l, _o),
+        "KSFT2": div(2 * _c - _h - _l, _range),
+        "OPEN0": div(_o, _c),
+        "HIGH0": div(_h, _c),
+        "LOW0": div(_l, _c),
+        "VWAP0": div(div("amount", _v), _c),
+    }
 
 
 def with_changes(panel):
     """Adds what the rolling families read: changes of close and volume, and the place in time."""
+    _, _, _, _c, _v = _bar()
     prev = lambda x: F.lag(x).over(ts())
     return T.with_time(panel).withColumns(
         {
@@ -48,6 +55,7 @@ def with_changes(panel):
 
 def alpha_rolling(d: int) -> dict[str, Column]:
     """The rolling families for a window of d rows; the panel needs with_changes."""
+    _, _h, _l, _c, _v = _bar()
     pc, pv = F.col("__pc"), F.col("__pv")
     pos = lambda x: F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))
     total = lambda x: T.ts_sum(x, d)
@@ -91,6 +99,7 @@ def alpha_rolling(d: int) -> dict[str, Column]:
 
 def alpha360(lags: int = 60) -> dict[str, Column]:
     """Lagged prices over close and volumes over volume, oldest first."""
+    _o, _h, _l, _c, _v = _bar()
     vwap = div("amount", _v)
     out = {}
     for i in range(lags - 1, -1, -1):
@@ -139,13 +148,14 @@ def macd(fast: int = 12, slow: int = 26, signal: int = 9, x="close") -> dict[str
 def rsi(n: int = 14, x="close") -> Column:
     """Wilder's index: means of gains and losses with weight 1/n; null where nothing has moved."""
     change = col(x) - F.lag(col(x)).over(ts())
-    gain = T.ewm(F.greatest(change, F.lit(0.0)), 1.0 / n)
-    loss = T.ewm(F.greatest(-change, F.lit(0.0)), 1.0 / n)
+    moved = lambda x: F.when(x > 0, x).otherwise(0.0)  # noqa: E731  (the first row counts as unmoved)
+    gain, loss = T.ewm(moved(change), 1.0 / n), T.ewm(moved(-change), 1.0 / n)
     return F.when(change.isNotNull(), 100 * F.try_divide(gain, gain + loss))
 
 
 def rsv(n: int = 9) -> Column:
     """Place of close in the range of n rows, 0 to 100; 50 where the range is flat."""
+    _, _, _, _c, _ = _bar()
     low, high = T.ts_min("low", n), T.ts_max("high", n)
     return F.when(low.isNotNull(), F.when(high > low, 100 * F.try_divide(_c - low, high - low)).otherwise(50.0))
 
@@ -158,6 +168,7 @@ def kdj(panel, n: int = 9, m1: int = 3, m2: int = 3):
 
 
 def true_range() -> Column:
+    _, _h, _l, _, _ = _bar()
     before = F.lag("close").over(ts())
     return F.greatest(_h - _l, F.abs(_h - before), F.abs(_l - before))
 
@@ -169,12 +180,14 @@ def atr(n: int = 14) -> Column:
 
 def obv() -> Column:
     """Volume signed by the change of close, summed up."""
+    _, _, _, _c, _v = _bar()
     change = F.coalesce(F.signum(_c - F.lag("close").over(ts())), F.lit(0.0))
     return F.sum(change * _v).over(running())
 
 
 def cci(n: int = 14) -> Column:
     """Typical price less its mean, by 0.015 times the mean absolute deviation from that mean."""
+    _, _h, _l, _c, _ = _bar()
     tp = (_h + _l + _c) / 3
     seen, mean = F.collect_list(tp).over(ts(n)), F.avg(tp).over(ts(n))
     spread = F.aggregate(F.transform(seen, lambda v: F.abs(v - mean)), F.lit(0.0), lambda a, v: a + v) / n
@@ -182,6 +195,7 @@ def cci(n: int = 14) -> Column:
 
 
 def wr(n: int = 14) -> Column:
+    _, _, _, _c, _ = _bar()
     high, low = T.ts_max("high", n), T.ts_min("low", n)
     return F.try_divide(high - _c, high - low) * -100
 
@@ -197,6 +211,7 @@ def dpo(n: int = 20, x="close") -> Column:
 
 def mfi(n: int = 14) -> Column:
     """Money-flow index: typical price times volume on rising against all moving rows."""
+    _, _h, _l, _c, _v = _bar()
     tp = (_h + _l + _c) / 3
     flow, up = tp * _v, tp - F.lag(tp).over(ts())
     plus = F.sum(F.when(up > 0, flow).otherwise(0.0)).over(ts(n))

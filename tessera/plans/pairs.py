@@ -43,17 +43,20 @@ def query(sql: str | None = None):
     return put
 
 
-def columns(name: str, panel, with_: str, source: str, pairs: dict, keys=("symbol", "trade_date"), digits: int = 6, doc: str = "") -> None:
-    """Register a query that adds columns to a panel: pairs has (column, SQL expression) by name."""
+def columns(name: str, panel, with_: str, source: str, made, sql: dict[str, str], keys=("symbol", "trade_date"), digits: int = 6, doc: str = "") -> None:
+    """Register a query that adds columns to a panel: ``made`` gives the columns by name, ``sql`` the same as SQL.
+
+    Columns are made when the query runs, since they need a session. SQL that starts with /*raw*/ isn't rounded.
+    """
 
     def run(spark, sf_dir):
         p = panel(spark, sf_dir)
-        done = p.select(*keys, *[c.alias(k) for k, (c, _) in pairs.items()])
+        done = p.select(*keys, *[c.alias(k) for k, c in made().items()])
         numbers = {k for k, t in done.dtypes if t in ("double", "float")}
-        return done.select(*keys, *[near(F.col(k), digits).alias(k) if k in numbers else F.col(k) for k in pairs])
+        return done.select(*keys, *[near(F.col(k), digits).alias(k) if k in numbers else F.col(k) for k in sql])
 
     run.__name__, run.__doc__ = name, doc
     QUERIES[name] = run
-    inner = ", ".join(f"({e}) AS {k}" for k, (_, e) in pairs.items())
-    rounded = ", ".join(f"{near_sql(k, digits)} AS {k}" if not e.startswith("/*raw*/") else k for k, (_, e) in pairs.items())
+    inner = ", ".join(f"({e}) AS {k}" for k, e in sql.items())
+    rounded = ", ".join(k if e.startswith("/*raw*/") else f"{near_sql(k, digits)} AS {k}" for k, e in sql.items())
     ORACLE_SQL[name] = f"WITH {with_} SELECT {', '.join(keys)}, {rounded} FROM (SELECT {', '.join(keys)}, {inner} FROM {source})"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import base, cs, el, indicators, ts
@@ -22,18 +24,31 @@ columns(
     panel.bars,
     panel.BARS,
     "bars",
+    lambda: {
+        "mean_5": ts.ts_mean(_C, 5),
+        "std_10": ts.ts_std(_C, 10),
+        "var_5": ts.ts_var(_C, 5),
+        "sum_5": ts.ts_sum(_V, 5),
+        "max_6": ts.ts_max(_C, 6),
+        "min_6": ts.ts_min(_C, 6),
+        "count_4": ts.ts_count(_C, 4),
+        "return_3": ts.ts_return(_C, 3),
+        "delay_2": ts.ts_delay(_C, 2),
+        "delta_1": ts.ts_delta(_C, 1),
+        "prod_4": ts.ts_prod("turnover_rate", 4),
+    },
     {
-        "mean_5": (ts.ts_mean(_C, 5), full(_C, 5, f"avg(close) {w(5)}")),
-        "std_10": (ts.ts_std(_C, 10), full(_C, 10, f"stddev_samp(close) {w(10)}")),
-        "var_5": (ts.ts_var(_C, 5), full(_C, 5, f"var_samp(close) {w(5)}")),
-        "sum_5": (ts.ts_sum(_V, 5), full(_V, 5, f"sum(volume) {w(5)}")),
-        "max_6": (ts.ts_max(_C, 6), full(_C, 6, f"max(close) {w(6)}")),
-        "min_6": (ts.ts_min(_C, 6), full(_C, 6, f"min(close) {w(6)}")),
-        "count_4": (ts.ts_count(_C, 4), f"/*raw*/count(close) {w(4)}"),
-        "return_3": (ts.ts_return(_C, 3), f"close / lag(close, 3) {WS} - 1"),
-        "delay_2": (ts.ts_delay(_C, 2), f"lag(close, 2) {WS}"),
-        "delta_1": (ts.ts_delta(_C, 1), f"close - lag(close) {WS}"),
-        "prod_4": (ts.ts_prod("turnover_rate", 4), full("turnover_rate", 4, f"exp(sum(ln(1 + turnover_rate)) {w(4)}) - 1")),
+        "mean_5": full(_C, 5, f"avg(close) {w(5)}"),
+        "std_10": full(_C, 10, f"stddev_samp(close) {w(10)}"),
+        "var_5": full(_C, 5, f"var_samp(close) {w(5)}"),
+        "sum_5": full(_V, 5, f"sum(volume) {w(5)}"),
+        "max_6": full(_C, 6, f"max(close) {w(6)}"),
+        "min_6": full(_C, 6, f"min(close) {w(6)}"),
+        "count_4": f"/*raw*/count(close) {w(4)}",
+        "return_3": f"close / lag(close, 3) {WS} - 1",
+        "delay_2": f"lag(close, 2) {WS}",
+        "delta_1": f"close - lag(close) {WS}",
+        "prod_4": full("turnover_rate", 4, f"exp(sum(ln(1 + turnover_rate)) {w(4)}) - 1"),
     },
     digits=4,
     doc="Rolling moments, extremes, shifts and compounding.",
@@ -44,12 +59,19 @@ columns(
     panel.bars,
     panel.BARS,
     "bars",
+    lambda: {
+        "med_7": ts.ts_med(_C, 7),
+        "q80_10": ts.ts_quantile(_C, 10),
+        "argmax_6": ts.ts_argmax(_C, 6),
+        "argmin_6": ts.ts_argmin(_C, 6),
+        "rank_8": ts.ts_rank(_C, 8),
+    },
     {
-        "med_7": (ts.ts_med(_C, 7), full(_C, 7, f"quantile_cont(close, 0.5) {w(7)}")),
-        "q80_10": (ts.ts_quantile(_C, 10), full(_C, 10, f"quantile_cont(close, 0.8) {w(10)}")),
-        "argmax_6": (ts.ts_argmax(_C, 6), full(_C, 6, f"list_position(list(close) {w(6)}, max(close) {w(6)}) - 1")),
-        "argmin_6": (ts.ts_argmin(_C, 6), full(_C, 6, f"list_position(list(close) {w(6)}, min(close) {w(6)}) - 1")),
-        "rank_8": (ts.ts_rank(_C, 8), full(_C, 8, f"len(list_filter(list(close) {w(8)}, lambda v: v <= close)) / 8.0")),
+        "med_7": full(_C, 7, f"quantile_cont(close, 0.5) {w(7)}"),
+        "q80_10": full(_C, 10, f"quantile_cont(close, 0.8) {w(10)}"),
+        "argmax_6": full(_C, 6, f"list_position(list(close) {w(6)}, max(close) {w(6)}) - 1"),
+        "argmin_6": full(_C, 6, f"list_position(list(close) {w(6)}, min(close) {w(6)}) - 1"),
+        "rank_8": full(_C, 8, f"len(list_filter(list(close) {w(8)}, lambda v: v <= close)) / 8.0"),
     },
     doc="Rolling median, quantile, places of extremes and rank.",
 )
@@ -59,10 +81,15 @@ columns(
     panel.bars,
     panel.BARS,
     "bars",
+    lambda: {
+        "corr_10": ts.ts_corr(_C, _V, 10),
+        "cov_10": ts.ts_cov(_C, _V, 10),
+        "beta_10": ts.ts_regbeta(_C, _V, 10),
+    },
     {
-        "corr_10": (ts.ts_corr(_C, _V, 10), full(_C, 10, f"corr(close, volume) {w(10)}")),
-        "cov_10": (ts.ts_cov(_C, _V, 10), full(_C, 10, f"covar_samp(close, volume) {w(10)}")),
-        "beta_10": (ts.ts_regbeta(_C, _V, 10), full(_C, 10, f"regr_slope(close, volume) {w(10)}")),
+        "corr_10": full(_C, 10, f"corr(close, volume) {w(10)}"),
+        "cov_10": full(_C, 10, f"covar_samp(close, volume) {w(10)}"),
+        "beta_10": full(_C, 10, f"regr_slope(close, volume) {w(10)}"),
     },
     digits=5,
     doc="Rolling correlation, covariance and regression beta of two columns.",
@@ -73,11 +100,17 @@ columns(
     _timed,
     _TIMED,
     "timed",
+    lambda: {
+        "slope_8": ts.ts_slope(_C, 8),
+        "rsq_8": ts.ts_rsquare(_C, 8),
+        "resi_8": ts.ts_resi(_C, 8),
+        "wma_6": ts.ts_wma(_C, 6),
+    },
     {
-        "slope_8": (ts.ts_slope(_C, 8), full(_C, 8, f"regr_slope(close, t) {w(8)}")),
-        "rsq_8": (ts.ts_rsquare(_C, 8), full(_C, 8, f"CASE WHEN stddev_samp(close) {w(8)} > 1e-12 THEN regr_r2(close, t) {w(8)} END")),
-        "resi_8": (ts.ts_resi(_C, 8), full(_C, 8, f"sqrt(greatest(0, var_pop(close) {w(8)} - pow(covar_pop(t, close) {w(8)}, 2) / var_pop(t) {w(8)}))")),
-        "wma_6": (ts.ts_wma(_C, 6), full(_C, 6, f"(sum(t * close) {w(6)} - (t - 6) * sum(close) {w(6)}) / 21.0")),
+        "slope_8": full(_C, 8, f"regr_slope(close, t) {w(8)}"),
+        "rsq_8": full(_C, 8, f"CASE WHEN stddev_samp(close) {w(8)} > 1e-12 THEN regr_r2(close, t) {w(8)} END"),
+        "resi_8": full(_C, 8, f"sqrt(greatest(0, var_pop(close) {w(8)} - pow(covar_pop(t, close) {w(8)}, 2) / var_pop(t) {w(8)}))"),
+        "wma_6": full(_C, 6, f"(sum(t * close) {w(6)} - (t - 6) * sum(close) {w(6)}) / 21.0"),
     },
     digits=5,
     doc="Rolling line fit by place and weighted mean.",
@@ -97,9 +130,13 @@ columns(
     panel.bars,
     panel.BARS,
     "bars",
+    lambda: {
+        "skew_10": ts.ts_skew(_C, 10),
+        "kurt_10": ts.ts_kurt(_C, 10),
+    },
     {
-        "skew_10": (ts.ts_skew(_C, 10), full(_C, 10, f"CASE WHEN stddev_samp(close) {w(10)} > 1e-12 THEN {_m10(3)} / pow({_m10(2)}, 1.5) END")),
-        "kurt_10": (ts.ts_kurt(_C, 10), full(_C, 10, f"CASE WHEN stddev_samp(close) {w(10)} > 1e-12 THEN {_m10(4)} / pow({_m10(2)}, 2) - 3 END")),
+        "skew_10": full(_C, 10, f"CASE WHEN stddev_samp(close) {w(10)} > 1e-12 THEN {_m10(3)} / pow({_m10(2)}, 1.5) END"),
+        "kurt_10": full(_C, 10, f"CASE WHEN stddev_samp(close) {w(10)} > 1e-12 THEN {_m10(4)} / pow({_m10(2)}, 2) - 3 END"),
     },
     digits=5,
     doc="Rolling skewness and excess kurtosis by population moments.",
@@ -115,7 +152,14 @@ columns(
     panel.bars,
     panel.BARS,
     "bars",
-    {"ema_6": (ts.ts_ema(_C, 6), ema_sql(_C, 2 / 7)), "ema_12": (ts.ts_ema(_C, 12), ema_sql(_C, 2 / 13))},
+    lambda: {
+        "ema_6": ts.ts_ema(_C, 6),
+        "ema_12": ts.ts_ema(_C, 12),
+    },
+    {
+        "ema_6": ema_sql(_C, 2 / 7),
+        "ema_12": ema_sql(_C, 2 / 13),
+    },
     doc="Exponential means, seeded by the first value.",
 )
 
@@ -125,42 +169,69 @@ columns(
     panel.bars,
     panel.BARS,
     "bars",
+    lambda: {
+        "rank": cs.rank(_C),
+        "scale": cs.scale(_C),
+        "demean": cs.demean(_C),
+        "zscore": cs.zscore(_C),
+        "bucket": cs.bucket(_C, 5),
+    },
     {
-        "rank": (cs.rank(_C), _rank),
-        "scale": (cs.scale(_C), f"close / sum(abs(close)) {CS}"),
-        "demean": (cs.demean(_C), f"close - avg(close) {CS}"),
-        "zscore": (cs.zscore(_C), f"CASE WHEN coalesce(stddev_samp(close) {CS}, 0) <= 1e-12 THEN 0 ELSE (close - avg(close) {CS}) / stddev_samp(close) {CS} END"),
-        "bucket": (cs.bucket(_C, 5), f"/*raw*/ceil(row_number() OVER (PARTITION BY trade_date ORDER BY close, symbol) * 5.0 / count(*) {CS})::INT"),
+        "rank": _rank,
+        "scale": f"close / sum(abs(close)) {CS}",
+        "demean": f"close - avg(close) {CS}",
+        "zscore": f"CASE WHEN coalesce(stddev_samp(close) {CS}, 0) <= 1e-12 THEN 0 ELSE (close - avg(close) {CS}) / stddev_samp(close) {CS} END",
+        "bucket": f"/*raw*/ceil(row_number() OVER (PARTITION BY trade_date ORDER BY close, symbol) * 5.0 / count(*) {CS})::INT",
     },
     doc="Per date: average rank, scale, demean, z-score, bucket.",
 )
 
 _d = "close - open"
-_dc = F.col("close") - F.col("open")
+_dc = lambda: F.col("close") - F.col("open")
 columns(
     "el_operators",
     panel.bars,
     panel.BARS,
     "bars",
+    lambda: {
+        "a": el.el_abs(_dc()),
+        "s": el.el_sign(_dc()),
+        "l1": el.el_log1p(_dc() / 1e6),
+        "lg": el.el_log(_dc()),
+        "sq": el.el_sqrt(_dc()),
+        "pw": el.el_power(_dc() / 100, 2),
+        "sp": el.el_signed_power(_dc(), 0.5),
+        "gr": el.el_greater(_C, "open"),
+        "le": el.el_less(_C, "open"),
+        "cond": el.el_if(_dc(), "high", "low"),
+        "b_not": el.bool_not(_dc()),
+        "b_and": el.bool_and(_dc(), F.col("volume") - 100),
+        "b_or": el.bool_or(_dc(), F.col("volume") - 100),
+        "b_eq": el.bool_eq("high", _C),
+        "b_ne": el.bool_ne("high", _C),
+        "b_ge": el.bool_ge(_C, "open"),
+        "b_le": el.bool_le(_C, "open"),
+        "dv": base.div("amount", _V),
+    },
     {
-        "a": (el.el_abs(_dc), f"abs({_d})"),
-        "s": (el.el_sign(_dc), f"/*raw*/sign({_d})::DOUBLE"),
-        "l1": (el.el_log1p(_dc / 1e6), f"ln(1 + ({_d}) / 1e6)"),
-        "lg": (el.el_log(_dc), f"CASE WHEN {_d} > 0 THEN ln({_d}) END"),
-        "sq": (el.el_sqrt(_dc), f"CASE WHEN {_d} >= 0 THEN sqrt({_d}) END"),
-        "pw": (el.el_power(_dc / 100, 2), f"pow(({_d}) / 100, 2)"),
-        "sp": (el.el_signed_power(_dc, 0.5), f"sign({_d}) * sqrt(abs({_d}))"),
-        "gr": (el.el_greater(_C, "open"), "greatest(close, open)"),
-        "le": (el.el_less(_C, "open"), "least(close, open)"),
-        "cond": (el.el_if(_dc, "high", "low"), f"CASE WHEN {_d} > 0 THEN high ELSE low END"),
-        "b_not": (el.bool_not(_dc), f"/*raw*/(NOT ({_d} > 0))::INT::DOUBLE"),
-        "b_and": (el.bool_and(_dc, F.col("volume") - 100), f"/*raw*/(({_d} > 0) AND (volume - 100 > 0))::INT::DOUBLE"),
-        "b_or": (el.bool_or(_dc, F.col("volume") - 100), f"/*raw*/(({_d} > 0) OR (volume - 100 > 0))::INT::DOUBLE"),
-        "b_eq": (el.bool_eq("high", _C), "/*raw*/(high = close)::INT::DOUBLE"),
-        "b_ne": (el.bool_ne("high", _C), "/*raw*/(high <> close)::INT::DOUBLE"),
-        "b_ge": (el.bool_ge(_C, "open"), "/*raw*/(close >= open)::INT::DOUBLE"),
-        "b_le": (el.bool_le(_C, "open"), "/*raw*/(close <= open)::INT::DOUBLE"),
-        "dv": (base.div("amount", _V), "CASE WHEN volume <> 0 THEN amount / volume END"),
+        "a": f"abs({_d})",
+        "s": f"/*raw*/sign({_d})::DOUBLE",
+        "l1": f"ln(1 + ({_d}) / 1e6)",
+        "lg": f"CASE WHEN {_d} > 0 THEN ln({_d}) END",
+        "sq": f"CASE WHEN {_d} >= 0 THEN sqrt({_d}) END",
+        "pw": f"pow(({_d}) / 100, 2)",
+        "sp": f"sign({_d}) * sqrt(abs({_d}))",
+        "gr": "greatest(close, open)",
+        "le": "least(close, open)",
+        "cond": f"CASE WHEN {_d} > 0 THEN high ELSE low END",
+        "b_not": f"/*raw*/(NOT ({_d} > 0))::INT::DOUBLE",
+        "b_and": f"/*raw*/(({_d} > 0) AND (volume - 100 > 0))::INT::DOUBLE",
+        "b_or": f"/*raw*/(({_d} > 0) OR (volume - 100 > 0))::INT::DOUBLE",
+        "b_eq": "/*raw*/(high = close)::INT::DOUBLE",
+        "b_ne": "/*raw*/(high <> close)::INT::DOUBLE",
+        "b_ge": "/*raw*/(close >= open)::INT::DOUBLE",
+        "b_le": "/*raw*/(close <= open)::INT::DOUBLE",
+        "dv": "CASE WHEN volume <> 0 THEN amount / volume END",
     },
     doc="Element-wise maths, logic and safe division.",
 )
@@ -171,9 +242,7 @@ columns(
     panel.bars,
     panel.BARS,
     "bars",
-    {
-        k: (indicators.ALPHA_CANDLE[k], e)
-        for k, e in {
+    lambda: {k: indicators.alpha_candle()[k] for k, e in {
             "KMID": "(close - open) / open",
             "KLEN": "(high - low) / open",
             "KMID2": "(close - open) / (high - low + 1e-12)",
@@ -187,8 +256,22 @@ columns(
             "HIGH0": "high / close",
             "LOW0": "low / close",
             "VWAP0": "amount / volume / close",
-        }.items()
-    },
+        }.items()},
+    {k: e for k, e in {
+            "KMID": "(close - open) / open",
+            "KLEN": "(high - low) / open",
+            "KMID2": "(close - open) / (high - low + 1e-12)",
+            "KUP": "(high - greatest(open, close)) / open",
+            "KUP2": "(high - greatest(open, close)) / (high - low + 1e-12)",
+            "KLOW": "(least(open, close) - low) / open",
+            "KLOW2": "(least(open, close) - low) / (high - low + 1e-12)",
+            "KSFT": "(2 * close - high - low) / open",
+            "KSFT2": "(2 * close - high - low) / (high - low + 1e-12)",
+            "OPEN0": "open / close",
+            "HIGH0": "high / close",
+            "LOW0": "low / close",
+            "VWAP0": "amount / volume / close",
+        }.items()},
     doc="Candle-shape and price-ratio features.",
 )
 
@@ -243,27 +326,34 @@ def _alpha_sql(d: int) -> dict[str, str]:
 
 
 for _n in (5, 10, 20, 30, 60):
-    _cols, _sql = indicators.alpha_rolling(_n), _alpha_sql(_n)
-    columns(f"alpha_rolling_{_n}", _changes, _CHANGES, "chg", {f"{k}{_n}": (_cols[f"{k}{_n}"], e) for k, e in _sql.items()}, digits=5, doc=f"All rolling feature families over {_n} rows.")
-
-_a360 = indicators.alpha360()
-_vwap = "(amount / volume)"
+    columns(
+        f"alpha_rolling_{_n}",
+        _changes,
+        _CHANGES,
+        "chg",
+        partial(indicators.alpha_rolling, _n),
+        {f"{k}{_n}": e for k, e in _alpha_sql(_n).items()},
+        digits=5,
+        doc=f"All rolling feature families over {_n} rows.",
+    )
+
+_lagged = {"CLOSE": "close", "OPEN": "open", "HIGH": "high", "LOW": "low", "VWAP": "(amount / volume)"}
 columns(
     "alpha_lags",
     panel.bars,
     panel.BARS,
     "bars",
+    indicators.alpha360,
     {
-        k: (c, (f"lag(volume, {i}) {WS} / (volume + 1e-12)" if k.startswith("VOLUME") else f"lag({_vwap if k.startswith('VWAP') else k.rstrip('0123456789').lower()}, {i}) {WS} / close"))
-        for k, c in _a360.items()
-        for i in [int(k.lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))]
+        f"{k}{i}": f"lag(volume, {i}) {WS} / (volume + 1e-12)" if k == "VOLUME" else f"lag({_lagged[k]}, {i}) {WS} / close"
+        for i in range(59, -1, -1)
+        for k in (*_lagged, "VOLUME")
     },
     digits=5,
     doc="Sixty lags of six fields.",
 )
 
 _tr = f"greatest(high - low, abs(high - lag(close) {WS}), abs(low - lag(close) {WS}))"
-_boll, _macd, _piv = indicators.boll(), indicators.macd(), indicators.pivots()
 _dif = f"({ema_sql('close', 2 / 13)} - {ema_sql('close', 2 / 27)})"
 _TP = panel.BARS + f", tp AS (SELECT *, (high + low + close) / 3 AS tp, lag((high + low + close) / 3) {WS} AS tp0, close - lag(close) {WS} AS ch, {_tr} AS tr, {_dif} AS dif FROM bars)"
 _n20 = f"OVER {W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
@@ -274,39 +364,63 @@ columns(
     panel.bars,
     _TP,
     "tp",
+    lambda: {
+        "ma_5": indicators.ma(5),
+        "ma_60": indicators.ma(60),
+        "boll_mid": indicators.boll()["boll_mid"],
+        "boll_up": indicators.boll()["boll_up"],
+        "boll_low": indicators.boll()["boll_low"],
+        "bbi": indicators.bbi(),
+        "vratio": indicators.volume_ratio(),
+        "surge": indicators.volume_surge(),
+        "turn_5": indicators.ma(5, "turnover_rate"),
+        "obv": indicators.obv(),
+        "cci": indicators.cci(),
+        "wr": indicators.wr(),
+        "roc": indicators.roc(),
+        "mfi": indicators.mfi(),
+        **{k: indicators.pivots()[k] for k, e in {"P": "(H + L + C) / 3", "R1": "2 * (H + L + C) / 3 - L", "S1": "2 * (H + L + C) / 3 - H", "R2": "(H + L + C) / 3 + H - L", "S2": "(H + L + C) / 3 - H + L", "R3": "H + 2 * ((H + L + C) / 3 - L)", "S3": "L - 2 * (H - (H + L + C) / 3)"}.items()},
+    },
     {
-        "ma_5": (indicators.ma(5), full("close", 5, f"avg(close) {w(5)}")),
-        "ma_60": (indicators.ma(60), full("close", 60, f"avg(close) {w(60)}")),
-        "boll_mid": (_boll["boll_mid"], full("close", 20, f"avg(close) {w(20)}")),
-        "boll_up": (_boll["boll_up"], full("close", 20, f"avg(close) {w(20)} + 2 * stddev_samp(close) {w(20)}")),
-        "boll_low": (_boll["boll_low"], full("close", 20, f"avg(close) {w(20)} - 2 * stddev_samp(close) {w(20)}")),
-        "bbi": (indicators.bbi(), full("close", 24, f"(avg(close) {w(3)} + avg(close) {w(6)} + avg(close) {w(12)} + avg(close) {w(24)}) / 4")),
-        "vratio": (indicators.volume_ratio(), f"CASE WHEN count(volume) {_n20} = 20 THEN volume / avg(volume) {_n20} END"),
-        "surge": (indicators.volume_surge(), f"/*raw*/(CASE WHEN count(volume) {_n5} = 5 AND volume / avg(volume) {_n5} > 1.5 THEN 1 ELSE 0 END)::TINYINT"),
-        "turn_5": (indicators.ma(5, "turnover_rate"), full("turnover_rate", 5, f"avg(turnover_rate) {w(5)}")),
-        "obv": (indicators.obv(), f"sum(coalesce(sign(ch), 0) * volume) OVER {W} ROWS UNBOUNDED PRECEDING)"),
-        "cci": (indicators.cci(), full("tp", 14, f"(tp - avg(tp) {w(14)}) / (0.015 * list_avg(list_transform(list(tp) {w(14)}, lambda v: abs(v - list_avg(list(tp) {w(14)})))))")),
-        "wr": (indicators.wr(), full("high", 14, f"({_hm} - close) / nullif({_hm} - {_lm}, 0) * -100")),
-        "roc": (indicators.roc(), f"100 * (close / lag(close, 12) {WS} - 1)"),
-        "mfi": (indicators.mfi(), f"CASE WHEN count(tp0) {w(14)} = 14 THEN 100 * sum(CASE WHEN tp > tp0 THEN tp * volume ELSE 0 END) {w(14)} / nullif(sum(CASE WHEN tp <> tp0 THEN tp * volume ELSE 0 END) {w(14)}, 0) END"),
-        **{k: (_piv[k], e.replace("H", f"lag(high) {WS}").replace("L", f"lag(low) {WS}").replace("C", f"lag(close) {WS}")) for k, e in {"P": "(H + L + C) / 3", "R1": "2 * (H + L + C) / 3 - L", "S1": "2 * (H + L + C) / 3 - H", "R2": "(H + L + C) / 3 + H - L", "S2": "(H + L + C) / 3 - H + L", "R3": "H + 2 * ((H + L + C) / 3 - L)", "S3": "L - 2 * (H - (H + L + C) / 3)"}.items()},
+        "ma_5": full("close", 5, f"avg(close) {w(5)}"),
+        "ma_60": full("close", 60, f"avg(close) {w(60)}"),
+        "boll_mid": full("close", 20, f"avg(close) {w(20)}"),
+        "boll_up": full("close", 20, f"avg(close) {w(20)} + 2 * stddev_samp(close) {w(20)}"),
+        "boll_low": full("close", 20, f"avg(close) {w(20)} - 2 * stddev_samp(close) {w(20)}"),
+        "bbi": full("close", 24, f"(avg(close) {w(3)} + avg(close) {w(6)} + avg(close) {w(12)} + avg(close) {w(24)}) / 4"),
+        "vratio": f"CASE WHEN count(volume) {_n20} = 20 THEN volume / avg(volume) {_n20} END",
+        "surge": f"/*raw*/(CASE WHEN count(volume) {_n5} = 5 AND volume / avg(volume) {_n5} > 1.5 THEN 1 ELSE 0 END)::TINYINT",
+        "turn_5": full("turnover_rate", 5, f"avg(turnover_rate) {w(5)}"),
+        "obv": f"sum(coalesce(sign(ch), 0) * volume) OVER {W} ROWS UNBOUNDED PRECEDING)",
+        "cci": full("tp", 14, f"(tp - avg(tp) {w(14)}) / (0.015 * list_avg(list_transform(list(tp) {w(14)}, lambda v: abs(v - list_avg(list(tp) {w(14)})))))"),
+        "wr": full("high", 14, f"({_hm} - close) / nullif({_hm} - {_lm}, 0) * -100"),
+        "roc": f"100 * (close / lag(close, 12) {WS} - 1)",
+        "mfi": f"CASE WHEN count(tp0) {w(14)} = 14 THEN 100 * sum(CASE WHEN tp > tp0 THEN tp * volume ELSE 0 END) {w(14)} / nullif(sum(CASE WHEN tp <> tp0 THEN tp * volume ELSE 0 END) {w(14)}, 0) END",
+        **{k: e.replace("H", f"lag(high) {WS}").replace("L", f"lag(low) {WS}").replace("C", f"lag(close) {WS}") for k, e in {"P": "(H + L + C) / 3", "R1": "2 * (H + L + C) / 3 - L", "S1": "2 * (H + L + C) / 3 - H", "R2": "(H + L + C) / 3 + H - L", "S2": "(H + L + C) / 3 - H + L", "R3": "H + 2 * ((H + L + C) / 3 - L)", "S3": "L - 2 * (H - (H + L + C) / 3)"}.items()},
     },
     digits=5,
     doc="Moving averages, bands, volume measures, oscillators and pivots.",
 )
 
-_ge, _le2 = (f"list_reduce(list(greatest({s}ch, 0)) FILTER (ch IS NOT NULL) OVER {W} ROWS UNBOUNDED PRECEDING), lambda e, v: {1 / 14!r} * v + {1 - 1 / 14!r} * e)" for s in ("", "-"))
+_ge, _le2 = (ema_sql(f"CASE WHEN {x} > 0 THEN {x} ELSE 0 END", 1 / 14) for x in ("ch", "-ch"))
 columns(
     "indicators_recurrent",
     panel.bars,
     _TP,
     "tp",
+    lambda: {
+        "dif": indicators.macd()["dif"],
+        "dea": indicators.macd()["dea"],
+        "macd": indicators.macd()["macd"],
+        "rsi": indicators.rsi(),
+        "atr": indicators.atr(),
+    },
     {
-        "dif": (_macd["dif"], "dif"),
-        "dea": (_macd["dea"], ema_sql("dif", 0.2)),
-        "macd": (_macd["macd"], f"2 * (dif - {ema_sql('dif', 0.2)})"),
-        "rsi": (indicators.rsi(), f"CASE WHEN ch IS NOT NULL THEN 100 * {_ge} / nullif({_ge} + {_le2}, 0) END"),
-        "atr": (indicators.atr(), ema_sql("tr", 1 / 14)),
+        "dif": "dif",
+        "dea": ema_sql("dif", 0.2),
+        "macd": f"2 * (dif - {ema_sql('dif', 0.2)})",
+        "rsi": f"CASE WHEN ch IS NOT NULL THEN 100 * {_ge} / nullif({_ge} + {_le2}, 0) END",
+        "atr": ema_sql("tr", 1 / 14),
     },
     digits=4,
     doc="MACD, RSI and ATR by folds in the JVM.",

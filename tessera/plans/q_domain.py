@@ -232,7 +232,7 @@ def portfolio_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # feeds
 
-_BAD = F.col("event_type") == "error"
+_BAD = lambda: F.col("event_type") == "error"
 
 
 @query(
@@ -242,13 +242,13 @@ SELECT g.bucket AS bucket, coalesce(n, 0) AS n, {_N('mean')} AS mean, {_N('p50')
 )
 def latency_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly latency over a complete grid."""
-    d = feeds.latency_series(panel.table(spark, sf_dir, "events"), ts="ts", value="value", bad=_BAD, width="1 hour")
+    d = feeds.latency_series(panel.table(spark, sf_dir, "events"), ts="ts", value="value", bad=_BAD(), width="1 hour")
     return _near(d, "mean", "p50", "p95", "error_rate")
 
 
 @query(f"SELECT event_type, count(*) AS n, {_N('avg(value)')} AS mean, {_N('quantile_cont(value, 0.95)')} AS p95, {_N("avg((event_type = 'error')::INT)")} AS error_rate FROM events GROUP BY 1 ORDER BY quantile_cont(value, 0.95) DESC, event_type LIMIT 3")
 def slowest_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(feeds.slowest(panel.table(spark, sf_dir, "events"), "event_type", "value", _BAD, 3), "mean", "p95", "error_rate")
+    return _near(feeds.slowest(panel.table(spark, sf_dir, "events"), "event_type", "value", _BAD(), 3), "mean", "p95", "error_rate")
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9_-]{8,}', '[KEY]', 'g'), 'AKIA[0-9A-Z]{16}', '[KEY]', 'g'), '(?i)(password|passwd|token|secret|api[_-]?key)(\\s*[:=]\\s*)[^\\s,;]+', '\\1\\2[MASKED]', 'g'), '/(?:home|Users|root)/[^\\s]+', '[PATH]', 'g') AS text FROM documents")

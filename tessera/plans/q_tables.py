@@ -112,15 +112,25 @@ columns(
     panel.bars,
     panel.BARS,
     "bars",
+    lambda: {
+        "clipped": P.clip("close", 100.0, 5000.0),
+        "sigma": P.three_sigma("close", 2.0),
+        "huber": P.huber("close", 1.5),
+        "minmax": P.minmax("close"),
+        "pct": cs.pct_rank("close"),
+        "rz": P.rolling_zscore("close", 10),
+        "rm": P.rolling_minmax("close", 10),
+        "vs": P.volatility_scaling("volume", 10, shift=False),
+    },
     {
-        "clipped": (P.clip("close", 100.0, 5000.0), "least(greatest(close, 100), 5000)"),
-        "sigma": (P.three_sigma("close", 2.0), f"CASE WHEN {_std} IS NULL THEN close ELSE least(greatest(close, {_avg} - 2 * {_std}), {_avg} + 2 * {_std}) END"),
-        "huber": (P.huber("close", 1.5), f"CASE WHEN {_std} IS NULL THEN close ELSE least(greatest(close, {_avg} - 1.5 * {_std}), {_avg} + 1.5 * {_std}) END"),
-        "minmax": (P.minmax("close"), f"CASE WHEN max(close) {CS} - min(close) {CS} > 1e-12 THEN (close - min(close) {CS}) / (max(close) {CS} - min(close) {CS}) ELSE 0.5 END"),
-        "pct": (cs.pct_rank("close"), f"(rank() OVER (PARTITION BY trade_date ORDER BY close) + (count(*) OVER (PARTITION BY trade_date, close) - 1) / 2.0) / count(close) {CS}"),
-        "rz": (P.rolling_zscore("close", 10), f"CASE WHEN count(close) {w(10)} >= 10 THEN CASE WHEN stddev_samp(close) {w(10)} > 1e-12 THEN (close - avg(close) {w(10)}) / stddev_samp(close) {w(10)} ELSE 0 END END"),
-        "rm": (P.rolling_minmax("close", 10), f"CASE WHEN count(close) {w(10)} >= 10 THEN coalesce((close - min(close) {w(10)}) / nullif(max(close) {w(10)} - min(close) {w(10)}, 0), 0.5) END"),
-        "vs": (P.volatility_scaling("volume", 10, shift=False), f"CASE WHEN count(volume) {w(10)} = 10 THEN volume / nullif(stddev_samp(volume) {w(10)}, 0) END"),
+        "clipped": "least(greatest(close, 100), 5000)",
+        "sigma": f"CASE WHEN {_std} IS NULL THEN close ELSE least(greatest(close, {_avg} - 2 * {_std}), {_avg} + 2 * {_std}) END",
+        "huber": f"CASE WHEN {_std} IS NULL THEN close ELSE least(greatest(close, {_avg} - 1.5 * {_std}), {_avg} + 1.5 * {_std}) END",
+        "minmax": f"CASE WHEN max(close) {CS} - min(close) {CS} > 1e-12 THEN (close - min(close) {CS}) / (max(close) {CS} - min(close) {CS}) ELSE 0.5 END",
+        "pct": f"(rank() OVER (PARTITION BY trade_date ORDER BY close) + (count(*) OVER (PARTITION BY trade_date, close) - 1) / 2.0) / count(close) {CS}",
+        "rz": f"CASE WHEN count(close) {w(10)} >= 10 THEN CASE WHEN stddev_samp(close) {w(10)} > 1e-12 THEN (close - avg(close) {w(10)}) / stddev_samp(close) {w(10)} ELSE 0 END END",
+        "rm": f"CASE WHEN count(close) {w(10)} >= 10 THEN coalesce((close - min(close) {w(10)}) / nullif(max(close) {w(10)} - min(close) {w(10)}, 0), 0.5) END",
+        "vs": f"CASE WHEN count(volume) {w(10)} = 10 THEN volume / nullif(stddev_samp(volume) {w(10)}, 0) END",
     },
     doc="Clips, scalings and rolling standardisation.",
 )
