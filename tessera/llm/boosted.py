@@ -75,7 +75,7 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 1.0, least: float = 2.0) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 0.3, least: float = 0.3) -> Trees:
     """Second-order boosting of the logistic loss; splits are sought in histograms of gradients by quantile bin.
 
     Without rows the score is 0.5, with one class only it is near that class.
