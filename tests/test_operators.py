@@ -156,7 +156,7 @@ def test_streaks_follow_sessions(spark):
 
 
 def test_drawdown_episodes(spark):
-    nav = spark.createDataFrame([("s", DAY(k), v) for k, v in enumerate([1, 0.9, 0.8, 1.1, 1.0, 1.2])], "k string, trade_date date, nav double")
+    nav = spark.createDataFrame([("s", DAY(k), v) for k, v in enumerate([1.0, 0.9, 0.8, 1.1, 1.0, 1.2])], "k string, trade_date date, nav double")
     got = [(r["start"], r["trough"], r["end"], round(r["depth"], 6)) for r in strategy.drawdown_periods(nav, "k").orderBy("start").collect()]
     assert got == [(DAY(1), DAY(2), DAY(2), -0.2), (DAY(4), DAY(4), DAY(4), round(1 / 1.1 - 1, 6))]
 
