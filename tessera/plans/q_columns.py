@@ -6,9 +6,9 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from ..functions import base, cs, el, indicators, ts
+from ..functions import base, cs, el, indicators, patterns, ts
 from . import panel
-from .pairs import CS, WS, W, columns, full, w
+from .pairs import CS, WS, W, columns, full, query, w
 
 _C, _V = "close", "volume"
 
@@ -425,3 +425,16 @@ columns(
     digits=4,
     doc="MACD, RSI and ATR by folds in the JVM.",
 )
+
+_PARTS = {"o": "open", "h": "high", "l": "low", "c": "close", "b": "abs(close - open)", "r": "high - low", "u": "high - greatest(open, close)", "w": "least(open, close) - low", "t": "greatest(open, close)", "m": "least(open, close)"}
+_LAGS = ", ".join(f"lag({k}, {n}) {WS} AS {k}{n}" for n in range(1, patterns.BACK + 1) for k in _PARTS)
+
+
+@query(
+    f"WITH {panel.BARS}, p AS (SELECT *, {', '.join(f'{e} AS {k}' for k, e in _PARTS.items())} FROM bars), q AS (SELECT *, {_LAGS} FROM p) SELECT symbol, trade_date, "
+    + ", ".join(f"(CASE WHEN {patterns.condition(n)} THEN 1 ELSE 0 END)::TINYINT AS pattern_{n}" for n in patterns.names())
+    + " FROM q"
+)
+def candle_patterns(spark, sf_dir):
+    """Candlestick patterns as 0/1 columns, all from one window."""
+    return patterns.flags(panel.bars(spark, sf_dir)).select("symbol", "trade_date", *[f"pattern_{n}" for n in patterns.names()])
