@@ -106,3 +106,21 @@ def profile(weighted: DataFrame) -> DataFrame:
     d = weighted.where("weight IS NOT NULL").withColumn("rn", rn)
     h = F.sum(F.col("weight") * F.col("weight"))
     return d.groupBy("trade_date").agg(h.alias("hhi"), F.try_divide(F.lit(1.0), h).alias("effective"), F.sum(F.when(F.col("rn") <= 5, F.col("weight"))).alias("top5"), F.sum(F.when(F.col("rn") <= 10, F.col("weight"))).alias("top10"))
+
+
+def normal_cdf(x):
+    """Standard normal distribution function by a rational approximation (fixed values), to about 1e-7."""
+    z = F.abs(x)
+    t = 1 / (1 + 0.2316419 * z)
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    tail = 0.3989422804014327 * F.exp(-z * z / 2) * poly
+    return F.when(x >= 0, 1 - tail).otherwise(tail)
+
+
+def probabilistic_sharpe(returns: DataFrame, key: str, benchmark: float = 0.0) -> DataFrame:
+    """Per strategy: daily Sharpe, its moments, and the probability that the true one is above ``benchmark``."""
+    r = F.col("ret")
+    d = returns.where(r.isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.try_divide(F.avg(r), F.when(F.stddev_samp(r) > 1e-12, F.stddev_samp(r))).alias("sr"), F.skewness(r).alias("skew"), (F.kurtosis(r) + 3).alias("kurt"))
+    spread = 1 - F.col("skew") * F.col("sr") + (F.col("kurt") - 1) / 4 * F.col("sr") * F.col("sr")
+    z = (F.col("sr") - benchmark) * F.sqrt(F.col("n") - 1) / F.sqrt(F.when(spread > 0, spread))
+    return d.withColumn("psr", normal_cdf(z))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import base
+from ..operators import calendars as C
 from ..operators import feeds, strategy
 from ..operators import fundamentals as FU
 from ..operators import groups as G
@@ -268,3 +269,70 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each source within a byte budget."""
     return feeds.within_budget(panel.table(spark, sf_dir, "documents"), "source", [F.col("doc_id")], "text", 50_000).select("doc_id", "source", "bytes_so_far")
+
+
+# calendars and confidence
+
+_CAL = f"WITH {panel.DAILY}, cal AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS k, lag(trade_date) OVER (ORDER BY trade_date) AS prev, lead(trade_date) OVER (ORDER BY trade_date) AS nxt FROM (SELECT DISTINCT trade_date FROM daily))"
+
+
+@query(_CAL + " SELECT trade_date, k, prev, nxt AS next FROM cal")
+def session_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session with its place and neighbours."""
+    return C.sessions(panel.user_daily(spark, sf_dir))
+
+
+@query(_CAL + " SELECT symbol, max(d.trade_date) AS trade_date, (SELECT count(*) FROM cal) - max(k) AS lag FROM daily d JOIN cal ON d.trade_date = cal.trade_date GROUP BY 1")
+def session_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions since the newest row of every user."""
+    d = panel.user_daily(spark, sf_dir)
+    last = d.groupBy("symbol").agg(F.max("trade_date").alias("trade_date"))
+    return C.session_lag(last, "trade_date", d, "2100-01-01").select("symbol", "trade_date", F.col("lag").cast("long").alias("lag"))
+
+
+@query(f"WITH {panel.WIDE} SELECT symbol, trade_date, (CASE WHEN is_suspended THEN 1024 ELSE 0 END | CASE WHEN trade_date - min(trade_date) OVER (PARTITION BY symbol) < 60 THEN 512 ELSE 0 END)::INT AS quality_flags FROM wide")
+def tradability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suspended and newly listed rows by bits."""
+    wide = panel.wide_bars(spark, sf_dir)
+    return C.tradability(wide, wide.groupBy("symbol").agg(F.min("trade_date").alias("list_date"))).select("symbol", "trade_date", "quality_flags")
+
+
+@query(
+    f"""WITH {panel.BARS}, ix AS (SELECT trade_date, avg(close) AS ic FROM bars GROUP BY 1), j AS (SELECT symbol, b.trade_date, close, ic FROM bars b JOIN ix ON b.trade_date = ix.trade_date),
+d AS (SELECT symbol, trade_date, close / lag(close, 3) OVER w - ic / lag(ic, 3) OVER w AS d3 FROM j WINDOW w AS (PARTITION BY symbol ORDER BY trade_date))
+SELECT symbol, trade_date, {_N("d3")} AS dev_3, CASE WHEN d3 IS NULL THEN 0 WHEN (CASE WHEN d3 >= 0 THEN d3 / 2 ELSE -d3 / 1.5 END) >= 1 THEN 3 WHEN (CASE WHEN d3 >= 0 THEN d3 / 2 ELSE -d3 / 1.5 END) >= 0.7 THEN 2 WHEN (CASE WHEN d3 >= 0 THEN d3 / 2 ELSE -d3 / 1.5 END) >= 0.5 THEN 1 ELSE 0 END AS grade FROM d"""
+)
+def abnormal_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-session moves less the index's, graded by their threshold."""
+    b = panel.bars(spark, sf_dir)
+    d = C.deviation(b, b.groupBy("trade_date").agg(F.avg("close").alias("close")), (3,))
+    return d.select("symbol", "trade_date", near(F.col("dev_3")).alias("dev_3"), C.proximity("dev_3", 2.0, 1.5).alias("grade"))
+
+
+@query(
+    f"""WITH {panel.BARS}, e AS (SELECT symbol, high, low, volume, min(low) OVER (PARTITION BY symbol) AS a, (max(high) OVER (PARTITION BY symbol) - min(low) OVER (PARTITION BY symbol)) / 20 AS wd FROM bars),
+f AS (SELECT *, least(19, coalesce(floor((low - a) / nullif(wd, 0)), 0))::INT AS lo, least(19, coalesce(floor((high - a) / nullif(wd, 0)), 0))::INT AS hi FROM e),
+g AS (SELECT symbol, a, wd, volume / (hi - lo + 1) AS part, unnest(range(lo, hi + 1)) AS bin FROM f),
+s AS (SELECT symbol, bin, sum(part) AS volume, any_value(a) AS a, any_value(wd) AS wd FROM g GROUP BY 1, 2)
+SELECT symbol, bin::INT AS bin, {_N("a + (bin + 0.5) * wd", 4)} AS price, {_N("volume", 4)} AS volume, row_number() OVER (PARTITION BY symbol ORDER BY round(volume, 6) DESC, bin) AS rn FROM s QUALIFY rn <= 5"""
+)
+def volume_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fullest price bins of every symbol."""
+    d = C.volume_profile(panel.bars(spark, sf_dir))
+    return d.withColumns({"price": near(F.col("price"), 4), "volume": near(F.col("volume"), 4)})
+
+
+_SR = "avg(ret) / stddev_samp(ret)"
+_Mk = lambda k: f"avg(pow(ret - m, {k}))"
+
+
+@query(
+    _RET
+    + f""", c AS (SELECT symbol, ret, avg(ret) OVER (PARTITION BY symbol) AS m FROM ok), s AS (SELECT symbol, count(*) AS n, {_SR} AS sr, {_Mk(3)} / pow({_Mk(2)}, 1.5) AS skew, {_Mk(4)} / pow({_Mk(2)}, 2) AS kurt FROM c GROUP BY 1),
+z AS (SELECT *, sr * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) AS z FROM s), t AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z),
+p AS (SELECT *, 0.3989422804014327 * exp(-z * z / 2) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) AS tail FROM t)
+SELECT symbol, n, {_N("sr")} AS sr, {_N("skew")} AS skew, {_N("kurt")} AS kurt, {_N("CASE WHEN z >= 0 THEN 1 - tail ELSE tail END")} AS psr FROM p"""
+)
+def probabilistic_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability that each symbol's Sharpe ratio is above zero."""
+    return _near(strategy.probabilistic_sharpe(_returns(spark, sf_dir), "symbol"), "sr", "skew", "kurt", "psr")
