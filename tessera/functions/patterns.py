@@ -18,7 +18,27 @@ _white = lambda k="": f"c{k} > o{k}"
 _black = lambda k="": f"c{k} < o{k}"
 _long = lambda k, share=0.5: f"b{k} >= {share} * r{k}"
 _near = lambda x, y, tol=0.003: f"abs({x} - {y}) <= abs({y}) * {tol}"
-_inside_body = "t <= t1 AND m >= m1"
+_small = lambda k, share=0.1: f"b{k} <= {share} * r{k}"
+_within = lambda k, j: f"t{k} <= t{j} AND m{k} >= m{j}"
+_inside_body = _within("", 1)
+_bare = lambda k="": f"u{k} <= 0.1 * r{k} AND w{k} <= 0.1 * r{k}"
+_all = lambda rule, *bars: " AND ".join(rule(k) for k in bars)
+_rising = "c1 > c2 AND c > c1"
+_falling = "c1 < c2 AND c < c1"
+#: An open inside the upper or lower part of the body before.
+_opens_up = "o1 > o2 AND o1 < c2 AND o > o1 AND o < c1"
+_opens_down = "o1 < o2 AND o1 > c2 AND o < o1 AND o > c1"
+
+
+def _trap(bull: bool, strict: bool) -> str:
+    """An inside bar, a false break out of it, and within three bars a close beyond its other side."""
+    ways = []
+    for k in (1, 2, 3):
+        i, j = k + 1, k + 2
+        false, back, held = (f"c{k} < l{i}", f"c > h{i}", f"l{k} > l{j}") if bull else (f"c{k} > h{i}", f"c < l{i}", f"h{k} < h{j}")
+        ways.append(" AND ".join([f"h{i} < h{j} AND l{i} > l{j}", false, back, *([held] if strict else [])]))
+    return "(" + ") OR (".join(ways) + ")"
+
 
 _CONDITIONS: dict[str, tuple[str, ...]] = {
     "doji": (_sized(), "b <= 0.1 * r"),
@@ -56,6 +76,47 @@ _CONDITIONS: dict[str, tuple[str, ...]] = {
     "morning_star": (_black(2), "b1 <= 0.5 * b2", "t1 < c2", _white(), "c >= c2 + 0.5 * b2"),
     "gap_side_side_white_up": (_sized(), _white(2), _white(1), _long(1, 0.4), "o1 > h2", _white(), "o <= c1", "o >= o1", "c > c1", "l > h2"),
     "gap_side_side_white_down": (_sized(), _black(2), _black(1), _long(1, 0.4), "o1 < l2", _black(), "o >= c1", "o <= o1", "c < c1", "h < l2"),
+    "tasuki_gap_up": (_sized(), _white(2), _white(1), _long(1, 0.4), "o1 > h2", _black(), "o <= c1", "o >= o1", "c < c1", "c > h2"),
+    "tasuki_gap_down": (_sized(), _black(2), _black(1), _long(1, 0.4), "o1 < l2", _white(), "o >= c1", "o <= o1", "c > c1", "c < l2"),
+    "upside_gap_two_crows": (_sized(), _white(2), _long(2), _black(1), "o1 > h2", "c1 > c2", _black(), "o > c1", "c < c1", "c > c2"),
+    "two_crows": (_sized(), _white(2), _long(2), _black(1), "o1 > c2", "c1 < c2", _black(), "c < c1", "c < c2", "c > o2"),
+    "xside_gap_3_methods_up": (_sized(), _white(2), _white(1), _long(1, 0.4), "o1 > h2", _black(), "o <= c1", "c < c1", "c > c2"),
+    "xside_gap_3_methods_down": (_sized(), _black(2), _black(1), _long(1, 0.4), "o1 < l2", _white(), "o >= c1", "c > c1", "c < c2"),
+    "kicking": (_sized(), _black(1), _bare(1), _white(), _bare(), "o > o1"),
+    "kicking_by_length": (_sized(), _black(1), _bare(1), _white(), _bare(), "o > o1", _near("b", "b1", 0.02)),
+    "morning_doji_star": (_sized(), _black(2), _long(2), _small(1), "h1 < l2", _white(), "c > c2 + 0.5 * b2"),
+    "evening_star": (_sized(), _white(2), "b1 <= 0.5 * b2", "m1 > c2", _black(), "c <= c2 - 0.5 * b2"),
+    "evening_doji_star": (_sized(), _white(2), _long(2), _small(1), "l1 > h2", _black(), "c < c2 - 0.5 * b2"),
+    "abandoned_baby_bull": (_sized(), _black(2), _small(1), "h1 < l2", _white(), "l > h1"),
+    "abandoned_baby_bear": (_sized(), _white(2), _small(1), "l1 > h2", _black(), "h < l1"),
+    "three_white_soldiers": (_sized(), _all(_white, 2, 1, ""), _rising, _all(lambda k: _long(k, 0.4), 2, 1, ""), _opens_up),
+    "three_black_crows": (_sized(), _all(_black, 2, 1, ""), _falling, _all(lambda k: _long(k, 0.4), 2, 1, ""), _opens_down),
+    "identical_three_crows": (_sized(), _all(_black, 2, 1, ""), _all(lambda k: _long(k, 0.4), 2, 1, ""), _falling, _near("o1", "c2"), _near("o", "c1")),
+    "advance_block": (_sized(), _all(_white, 2, 1, ""), _rising, _long(2, 0.3), _long(1, 0.3), "b < b1", "u > u1", _opens_up),
+    "stalled_pattern": (_sized(), _all(_white, 2, 1, ""), _rising, _long(1), "b <= 0.3 * b1", _near("o", "c1")),
+    "three_stars_in_south": (_sized(), _black(2), _long(2, 0.45), "w2 >= 0.8 * b2", _black(1), "o1 > c2", "c1 < c2", _black(), "o >= m1", "o <= t1", "c > c1"),
+    "three_inside_up": (_sized(), _black(2), _long(2), _white(1), _within(1, 2), _white(), "c > c2"),
+    "three_inside_down": (_sized(), _white(2), _long(2), _black(1), _within(1, 2), _black(), "c < c2"),
+    "three_outside_up": (_sized(), _black(2), _white(1), "o1 <= c2", "c1 >= o2", "b1 > b2", _white(), "c > c1"),
+    "three_outside_down": (_sized(), _white(2), _black(1), "o1 >= c2", "c1 <= o2", "b1 > b2", _black(), "c < c1"),
+    "three_line_strike_bull": (_sized(), _all(_black, 3, 2, 1), "c2 < c3 AND c1 < c2", "o < c1", _long("", 0.8), "c > o3"),
+    "three_line_strike_bear": (_sized(), _all(_white, 3, 2, 1), "c2 > c3 AND c1 > c2", "o > c1", _long("", 0.8), "c < o3"),
+    "rising_three_methods": (_sized(), _white(4), _long(4, 0.6), _all(lambda k: f"b{k} <= 0.3 * b4", 3, 2, 1), _all(lambda k: _within(k, 4), 3, 2, 1), _white(), "c > c4"),
+    "falling_three_methods": (_sized(), _black(4), _long(4, 0.6), _all(lambda k: f"b{k} <= 0.3 * b4", 3, 2, 1), _all(lambda k: _within(k, 4), 3, 2, 1), _black(), "c < c4"),
+    "mat_hold": (_sized(), _white(4), _long(4, 0.6), "o3 > h4", _all(lambda k: f"b{k} <= 0.3 * b4", 3, 2, 1), _within(2, 4), _within(1, 4), _white(), "c > c4"),
+    "breakaway_bull": (_sized(), _black(4), _long(4), "h3 < l4", _white(), "c > least(l3, l2, l1)", "c < c4"),
+    "breakaway_bear": (_sized(), _white(4), _long(4), "l3 > h4", _black(), "c < greatest(h3, h2, h1)", "c > c4"),
+    "ladder_bottom": (_sized(), _all(_black, 4, 3, 2), "c3 < c4 AND c2 < c3", _black(1), "u1 >= 0.3 * r1", _white(), "c > o1"),
+    "concealing_baby_swallow": (_sized(), _all(_black, 3, 2, 1, ""), _long(3, 0.4), _long(2, 0.4), "o1 < l2", "t >= t1 AND m <= m1", "c < c1", "w1 >= 0.4 * r1", "w >= 0.4 * r"),
+    "stick_sandwich": (_sized(), _black(2), _white(1), "o1 > h2", _black(), _near("c", "c2")),
+    "tri_star": (_sized(0.006), _all(_small, 2, 1, ""), "h1 < l2 OR l1 > h2"),
+    "unique_three_river": (_sized(), _black(2), _long(2), _black(1), "b1 <= 0.5 * b2", "w1 >= 2 * b1", _white(), "o < c1", "c < c1"),
+    "doji_star": (_sized(), _long(1), _small(""), "m >= t1 OR t <= m1"),
+    "rickshaw_man": (_sized(0.01), _small(""), "u >= 0.4 * r", "w >= 0.4 * r"),
+    "hikkake_bull": (_sized(), _trap(True, False)),
+    "hikkake_bear": (_sized(), _trap(False, False)),
+    "hikkake_mod_bull": (_sized(), _trap(True, True)),
+    "hikkake_mod_bear": (_sized(), _trap(False, True)),
 }
 
 #: Bars a condition may look back.
