@@ -7,8 +7,9 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from ..functions import base, cs, el, indicators, patterns, ts
+from ..operators import recur
 from . import panel
-from .pairs import CS, WS, W, columns, full, query, w
+from .pairs import CS, WS, W, columns, full, near, query, w
 
 _C, _V = "close", "volume"
 
@@ -438,3 +439,16 @@ _LAGS = ", ".join(f"lag({k}, {n}) {WS} AS {k}{n}" for n in range(1, patterns.BAC
 def candle_patterns(spark, sf_dir):
     """Candlestick patterns as 0/1 columns, all from one window."""
     return patterns.flags(panel.bars(spark, sf_dir)).select("symbol", "trade_date", *[f"pattern_{n}" for n in patterns.names()])
+
+
+@query()
+def indicators_recurrent(spark, sf_dir):
+    """MACD, RSI and ATR from one ordered pass per symbol."""
+    d = recur.oscillators(panel.bars(spark, sf_dir).select("symbol", "trade_date", "high", "low", "close"))
+    return d.select("symbol", "trade_date", *[near(F.col(c), 4).alias(c) for c in ("dif", "dea", "macd", "rsi", "atr")])
+
+
+@query()
+def stop_and_reverse(spark, sf_dir):
+    """The parabolic stop of every symbol."""
+    return recur.stop_and_reverse(panel.bars(spark, sf_dir).select("symbol", "trade_date", "high", "low"))

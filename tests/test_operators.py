@@ -164,3 +164,26 @@ def test_drawdown_episodes(spark):
 def test_division_by_zero_is_null(spark):
     r = spark.createDataFrame([(1.0, 0.0)], "a double, b double").select(base.div("a", "b").alias("d"), base.fin(F.lit(math.inf)).alias("f")).first()
     assert r["d"] is None and r["f"] is None
+
+
+def test_stop_and_reverse_against_a_loop(spark):
+    from tessera.operators import recur
+
+    rng = np.random.default_rng(3)
+    mid = 100 + np.cumsum(rng.normal(size=80))
+    high, low = mid + rng.uniform(0.1, 1, 80), mid - rng.uniform(0.1, 1, 80)
+    df = spark.createDataFrame([("A", DAY(k), float(h), float(x)) for k, (h, x) in enumerate(zip(high, low, strict=True))], "symbol string, trade_date date, high double, low double")
+    up = high[1] >= high[0]
+    ep, sar, af = (max(high[:2]), min(low[:2]), 0.02) if up else (min(low[:2]), max(high[:2]), 0.02)
+    want = [(None, None), (sar, 1 if up else -1)]
+    for i in range(2, 80):
+        sar += af * (ep - sar)
+        sar = min(sar, low[i - 1], low[i - 2]) if up else max(sar, high[i - 1], high[i - 2])
+        if (low[i] < sar) if up else (high[i] > sar):
+            up, sar, ep, af = not up, ep, (low[i] if up else high[i]), 0.02
+        elif (high[i] > ep) if up else (low[i] < ep):
+            ep, af = (high[i] if up else low[i]), min(af + 0.02, 0.2)
+        want.append((sar, 1 if up else -1))
+    got = [(r["sar"], r["sar_dir"]) for r in recur.stop_and_reverse(df).orderBy("trade_date").collect()]
+    assert [d for _, d in got] == [d for _, d in want]
+    assert got[0][0] is None and [x for x, _ in got[1:]] == pytest.approx([x for x, _ in want[1:]])
