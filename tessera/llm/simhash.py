@@ -206,43 +206,208 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4, recall: float = 0.97) -> DataFrame:
-    """(doc_id, component_id) by similarity: documents whose word shingles have a Jaccard similarity of about ``similarity`` or more.
-
-    At similarity s the shingle vectors have cosine 2s / (1 + s), so each bit of a fingerprint differs with probability
-    arccos(cosine) / pi. Fingerprints of 64 * ``words`` bits within that share plus one standard error link. Candidates
-    meet in shards by samples of bits, as many as find a pair at the limit with probability ``recall`` (closer pairs
-    more surely); the width of a sample follows the number of distinct fingerprints, so that shards stay small. Inside a
-    shard vantage-point trees connect what is within the radius. Nulls, empty texts, repeats and empty tables: as in
+MIX = np.uint64(0x9FB21C651E98DF25)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * MIX
+    return h ^ (h >> np.uint64(28))
+
+
+def shingle_sets(texts, shingle: int = 5):
+    """The distinct 64-bit hashes of each text's word shingles, sorted; a text of fewer words is one shingle."""
+    from xxhash import xxh64_intdigest
+
+    number: dict[bytes, int] = {}
+    for text in texts:
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        if len(number) > 1_000_000:
+            number = {}
+        for w in set(words):
+            if w not in number:
+                number[w] = xxh64_intdigest(w, SEED)
+        of = np.fromiter(map(number.__getitem__, words), np.uint64, len(words))
+        k = min(shingle, len(words))
+        h = np.full(len(words) - k + 1, k, np.uint64)
+        for i in range(k):
+            h = h * MIX + of[i : i + len(h)]
+        yield np.unique(_mixed(h))
+
+
+def _least(size, similarity: float):
+    """Shingles that a set of this size shares at least with any other at the similarity."""
+    return np.ceil(similarity * size - 1e-9).astype(np.int64)
+
+
+def _whole_keys(batches, name: str):
+    """The rows of sorted batches, dealt anew so that equal keys come together."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        key = pdf[name].to_numpy()
+        cut = int(np.searchsorted(key, key[-1], "left"))
+        if cut == 0 and held and held[-1][name].iat[-1] == key[-1]:
+            held.append(pdf)
+            continue
+        if held or cut:
+            yield pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
+        held = [pdf.iloc[cut:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def plausible_pairs(bits: np.ndarray, size: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs that connect all sets which may be at the similarity: exact, by a bound that no such pair exceeds.
+
+    ``bits``: parities of the members by class. Each differs only where the sets do, so no more of them than members.
+    """
+    left, open_, out = np.ones(len(size), bool), [], []
+    most = (1 - similarity) / (1 + similarity)
+    while left.any():
+        if not open_:
+            open_.append(int(left.argmax()))
+            left[open_[0]] = False
+        c, own = open_.pop(), np.flatnonzero(left)
+        low, high = np.minimum(size[own], size[c]), np.maximum(size[own], size[c])
+        near = (_distance(bits[own], bits[c]) <= most * (low + high) + 1e-6) & (low >= _least(high, similarity))
+        hit = own[near].tolist()
+        left[hit] = False
+        open_ += hit
+        out += [(c, k) for k in hit]
+    return out
+
+
+def similar_pairs(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs (a, b) of sets at the similarity or over, enough of them to connect all that are: exact, by counting shared members.
+
+    Each set in turn is held against those that nothing has reached yet, so sets alike cost one pass, not one a pair.
+    """
+    size = np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    each = np.split(ids, np.cumsum(size)[:-1])
+    on = np.zeros(int(ids.max()) + 1, bool)
+    left, open_, out = np.ones(len(sets), bool), [], []
+    own = np.arange(len(sets))
+    flat, start = ids, np.cumsum(size) - size
+    while left.any():
+        if not open_:
+            open_.append(int(left.argmax()))
+            left[open_[0]] = False
+        c = open_.pop()
+        if 2 * np.count_nonzero(left) < len(own):
+            own = np.flatnonzero(left)
+            if not len(own):
+                break
+            flat, start = np.concatenate([each[k] for k in own]), np.cumsum(size[own]) - size[own]
+        on[each[c]] = True
+        both = np.add.reduceat(on[flat], start, dtype=np.int64)
+        on[each[c]] = False
+        hit = own[left[own] & (both >= similarity * (size[own] + size[c] - both) - 1e-9)].tolist()
+        left[hit] = False
+        open_ += hit
+        out += [(c, k) for k in hit]
+    return out
+
+
+def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) by similarity: documents linked by a Jaccard similarity of ``similarity`` or more of their word shingles.
+
+    Exact but for collisions of 64-bit hashes. Shingles have one order, rare ones first; two sets at the limit share one
+    of the first size - least + 1 of each, least being what they must share, so no pair is missed. Documents that share
+    such a shingle form a block, apart where sizes rule a link out; equal blocks are one. Inside a block sizes and
+    parities tell which may link; what these connect meets with whole sets, each sent once, and is verified there. Which shingles count as common comes from a sample: it bears on the size of
+    blocks, never on the result. Equal sets are one node. Nulls, empty texts, repeats and empty tables: as in
     near_duplicates.
     """
-    bits = 64 * words
-    differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    radius = int(bits * differ + np.sqrt(bits * differ * (1 - differ)))
+    spark = docs.sparkSession
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
 
-    @F.pandas_udf("binary")
-    def coded(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: fingerprint(t, shingle, words).to_bytes(bits // 8, "big"))
+    def seen(batches):
+        for pdf in batches:
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(pdf["text"], shingle)]), return_counts=True)
+            yield pd.DataFrame({"h": h[n > 1].view(np.int64), "n": n[n > 1]})
 
-    # a null text reaches the function as None
-    rows = stage(docs.select(F.col(doc_id).alias("doc_id"), coded(F.coalesce(F.col(text), F.lit(""))).alias("fp")), "wide-fingerprints")
-    codes = stage(rows.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "wide-codes")
-    width = max(14, int(np.ceil(np.log2(max(2, codes.count())))) - 4)
-    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - differ) ** width)))
-    chosen = np.stack([np.random.Generator(np.random.PCG64([SEED, t])).choice(bits, width, False) for t in range(tables)])
+    sample = texts.where(F.pmod(F.xxhash64("doc_id", "row"), F.lit(8)) == 0).select("text").mapInPandas(seen, "h long, n long")
+    top = sample.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(200_000).toPandas().sort_values("h")
+    shared = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))
 
-    def dealt(batches):
-        weight = 1 << np.arange(width, dtype=np.int64)
+    def first(batches):
+        common, often = shared.value
         for pdf in batches:
-            if not len(pdf):
-                continue
-            on = np.unpackbits(np.frombuffer(b"".join(pdf["fp"]), np.uint8).reshape(len(pdf), -1), axis=1)
-            for t in range(tables):
-                yield pd.DataFrame({"key": (t << 48) + on[:, chosen[t]].astype(np.int64) @ weight, "node": pdf["node"], "fp": pdf["fp"]})
-
-    roots = components(_links_in_shards(codes.mapInPandas(dealt, "key long, node long, fp binary"), radius))
-    named = codes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return rows.join(named, "fp", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+            node, size, bits, keys = [], [], [], []
+            for s in shingle_sets(pdf["text"], shingle):
+                h = s.view(np.int64)
+                n = np.zeros(len(h), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    n = np.where(common[at] == h, often[at], 0)
+                node.append(int(_mixed(_mixed(s).sum(keepdims=True)).view(np.int64)[0]))
+                size.append(len(h))
+                bits.append(np.packbits(np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=2048) & 1 > 0).tobytes())
+                keys.append(h[np.lexsort((h, n))[: len(h) - int(_least(len(h), similarity)) + 1]])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "node": node, "size": size, "bits": bits, "keys": keys})
+
+    ids = dict(docs.select(F.col(doc_id).alias("doc_id")).dtypes)["doc_id"]
+    rows = stage(texts.where("doc_id IS NOT NULL").mapInPandas(first, f"doc_id {ids}, row long, node long, size int, bits binary, keys array<long>"), "shingle-prefixes")
+
+    def blocks(batches):
+        for pdf in _whole_keys(batches, "key"):
+            key, size, node = (pdf[c].to_numpy() for c in ("key", "size", "node"))
+            new = np.r_[True, (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (node[1:] != node[:-1])]
+            key, size, node = key[new], size[new], node[new]
+            start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (_least(size[1:], similarity) > size[:-1])])
+            n = np.diff(np.r_[start, len(key)])
+            block = np.repeat(np.add.reduceat(_mixed(node.view(np.uint64)), start).view(np.int64), n)
+            yield pd.DataFrame({"block": block, "node": node})[np.repeat(n > 1, n)].drop_duplicates()
+
+    keyed = rows.select(F.explode("keys").alias("key"), "size", "node")
+    keyed = keyed.repartition(tasks(spark), "key").sortWithinPartitions("key", "size", "node")
+    met = stage(keyed.mapInPandas(blocks, "block long, node long").distinct(), "blocks")
+    one = rows.groupBy("node").agg(F.min(F.struct("size", "bits")).alias("own")).select("node", "own.*")
+
+    def plausible(batches):
+        for pdf in _whole_keys(batches, "block"):
+            block, node, size = (pdf[c].to_numpy() for c in ("block", "node", "size"))
+            bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
+            ends = np.r_[np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)].tolist()
+            found, at = [], 0
+            for end in ends:
+                found += [(node[at + a], node[at + b]) for a, b in plausible_pairs(bits[at:end], size[at:end], similarity)]
+                at = end
+            yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64).drop_duplicates()
+
+    meeting = met.join(one, "node").repartition(tasks(spark), "block").sortWithinPartitions("block")
+    near = components(meeting.mapInPandas(plausible, "a long, b long"))
+    met = near.select("node", F.col("root").alias("block")).unionByName(near.select(F.col("root").alias("node"), F.col("root").alias("block")).distinct())
+    own = rows.join(met.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("own"))
+    own = own.select("node", "own.doc_id", "own.row")
+
+    def whole(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"node": pdf["node"], "shingles": [s.tobytes() for s in shingle_sets(pdf["text"], shingle)]})
+
+    sets = texts.join(own, ["doc_id", "row"]).select("node", "text").mapInPandas(whole, "node long, shingles binary")
+
+    def verified(batches):
+        for pdf in _whole_keys(batches, "block"):
+            pdf = pdf.drop_duplicates("node")  # a repeated row
+            block, node = pdf["block"].to_numpy(), pdf["node"].to_numpy()
+            ends = np.r_[np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)].tolist()
+            found, at = [], 0
+            for end in ends:
+                members = [np.frombuffer(s, np.uint64) for s in pdf["shingles"].iloc[at:end]]
+                found += [(node[at + a], node[at + b]) for a, b in similar_pairs(members, similarity)]
+                at = end
+            yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64).drop_duplicates()
+
+    meeting = met.join(sets, "node").repartition(tasks(spark), "block").sortWithinPartitions("block")
+    roots = components(meeting.mapInPandas(verified, "a long, b long"))
+    rooted = rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    rooted = stage(rooted, "similar-roots")
+    named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = rooted.join(named, "root").select("doc_id", "component_id")
+    return out.unionByName(texts.where("doc_id IS NULL").select("doc_id", F.lit(None).cast(ids).alias("component_id")))
 
 
 def hex_of(fp: str = "fp"):

@@ -162,3 +162,35 @@ def test_near_copy_stage_keeps_one_of_repeated_rows(spark):
     kept = sorted(r["doc_id"] for r in rows(corpus_pipeline.drop_near_copies(spark, docs, SF)))
     assert kept == [4, 5, 7]
     assert simhash.similar_groups(docs).count() == 5
+
+
+def brute_groups(texts, limit=0.8):
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for b in range(len(sets)):
+        for a in range(b):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def test_similar_groups_equal_brute_force_at_the_limit(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(4000)]
+    line = " ".join(rng.choice(words, 30))
+    texts = []
+    for n in (9, 13, 40, 60, 90, 150, 400):
+        for _ in range(12):
+            base = rng.choice(words, n).tolist()
+            texts.append(" ".join(base))
+            for share in (0.01, 0.02, 0.03, 0.04, 0.05, 0.06):
+                texts.append(" ".join(w if rng.random() > share else str(rng.choice(words)) for w in base))
+            texts.append(" ".join([*base, line]))
+    base = rng.choice(words, 13).tolist()
+    texts += [" ".join(base), " ".join([*base[:12], "other"]), " ".join([*base[:11], "third", "word"])]  # 8 of 10 and 7 of 11 shingles
+    root = brute_groups(texts)
+    assert root[-2] == len(texts) - 3
+    docs = documents(spark, texts)
+    got = {r["doc_id"]: r["component_id"] for r in rows(simhash.similar_groups(docs))}
+    assert got == dict(enumerate(root))
+    assert simhash.similar_groups(docs.limit(0)).count() == 0
