@@ -38,66 +38,77 @@ def pieces(docs: DataFrame, *, path: str, doc_id: str = "doc_id", text: str = "t
     return rows.mapInPandas(cut, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
 
 
-def price(value: np.ndarray, size: int) -> tuple[float, dict[int, int]]:
-    """The most valuable filling of one sequence: dynamic program over its room. value[l]: what a piece of length l counts."""
-    best, pick = np.zeros(size + 1), np.zeros(size + 1, np.int64)
-    have = np.flatnonzero(value > 0)
-    worth = value[have]
-    for room in range(1, size + 1):
-        n = np.searchsorted(have, room, "right")
-        best[room] = best[room - 1]
-        if n:
-            got = worth[:n] + best[room - have[:n]]
-            k = int(got.argmax())
-            if got[k] > best[room]:
-                best[room], pick[room] = got[k], have[k]
+def price(value: np.ndarray, size: int, most: np.ndarray | None = None) -> tuple[float, dict[int, int]]:
+    """The most valuable filling of one sequence with at most ``most[l]`` pieces of length l: dynamic program over its room.
+
+    value[l]: what a piece of length l counts. Copies of a length are taken in lots of 1, 2, 4, ... and a rest.
+    """
+    lots = []
+    for length in np.flatnonzero(value[1:] > 0)[::-1].tolist():
+        length += 1
+        n, lot = min(size // length, size if most is None else int(most[length])), 1
+        while n > 0:
+            lots.append((length, min(lot, n)))
+            n, lot = n - lot, 2 * lot
+    best, took = np.zeros(size + 1), np.zeros((len(lots), size + 1), bool)
+    for i, (length, k) in enumerate(lots):
+        room = length * k
+        got = best[: size + 1 - room] + value[length] * k
+        np.greater(got, best[room:], out=took[i, room:])
+        np.maximum(best[room:], got, out=best[room:])
     config: dict[int, int] = {}
     room = size
-    while room > 0:
-        if pick[room]:
-            config[int(pick[room])] = config.get(int(pick[room]), 0) + 1
-            room -= int(pick[room])
-        else:
-            room -= 1
+    for i in range(len(lots) - 1, -1, -1):
+        if took[i, room]:
+            length, k = lots[i]
+            config[length] = config.get(length, 0) + k
+            room -= length * k
     return float(best[size]), config
 
 
-def solve(counts: np.ndarray, size: int, *, rounds: int = 120, step: float = 0.3) -> list[tuple[int, dict[int, int]]]:
-    """(how many sequences, pieces by length in each) for a histogram of lengths below ``size``.
+def configurations(counts: np.ndarray, size: int, *, step: float = 0.3, tilt: float = 0.05, partial: int = 96, gap: float = 0.01) -> tuple[list[tuple[int, dict[int, int]]], np.ndarray]:
+    """(how many sequences, pieces by length in each) of the covering program, and the counts it leaves.
 
-    Covering program: the fewest sequences such that every length is covered counts[l] times. Multiplicative weights:
-    a length's weight falls as it gets covered; each round prices the most valuable filling under weight / count and
-    uses it so often that its least covered length moves one step. The scaled solution is rounded down, what is left is
-    placed by best fit, longest first, on the histogram.
+    Covering program: the fewest sequences such that every length is covered counts[l] times. Multiplicative weights: a
+    length's weight falls as it gets covered. Each round prices the most valuable filling of a sequence, a piece
+    counting its share of the room and up to ``tilt`` of that more by weight and length, from the ``partial`` lengths of the
+    largest weight, and from all where these don't fill it. Use goes by powers of two, from the largest count down to
+    one: at ``unit``, a filling takes of each length no more copies than are left for ``unit`` sequences, so it is used
+    a whole number of times, ``unit`` or until its least covered length has moved one step, and there is nothing to
+    round. A unit ends when nothing fills a sequence to within ``gap``, the program when that holds for unit one or
+    ``gap`` of the pieces or fewer are left.
     """
-    counts = counts.astype(np.int64).copy()
-    have = np.flatnonzero(counts)
+    left, total = counts.astype(np.int64).copy(), int(counts.sum())
     plan: list[tuple[int, dict[int, int]]] = []
-    if not len(have):
-        return plan
-    covered, used = np.zeros(len(counts)), {}
-    for _ in range(rounds):
-        weight = np.zeros(len(counts))
-        lag = covered[have] / counts[have]
-        weight[have] = np.exp(-(lag - lag.min()) / step * np.log(2)) / counts[have]
-        # a price of at least its length's share keeps room from being wasted on short pieces
-        weight[have] = weight[have] / weight[have].max() * 0.5 + have / size
-        _, config = price(weight, size)
-        often = min(max(1.0, step * counts[n] / k) for n, k in config.items())
+    unit = 1 << max(0, int(left.max()).bit_length() - 1)
+    while unit and left.sum() > gap * total:
+        most = left // unit
+        have = np.flatnonzero(most)
+        weight = np.exp((left[have] / counts[have] - 1) / step * np.log(2))
+        value, few = np.zeros(len(counts)), np.zeros(len(counts))
+        value[have] = have / size * (1 + tilt * (weight + have / size) / 2)
+        chosen = have[np.lexsort((-have, -weight))[:partial]]
+        few[chosen] = value[chosen]
+        for tried in (few, value):
+            _, config = price(tried, size, most)
+            if full := sum(n * k for n, k in config.items()) >= (1 - gap) * size:
+                break
+        if not full:
+            unit //= 2
+            continue
+        often = max(unit, int(min(step * left[n] / k for n, k in config.items())))
+        plan.append((often, config))
         for n, k in config.items():
-            covered[n] += often * k
-        key = tuple(sorted(config.items()))
-        used[key] = used.get(key, 0.0) + often
-        if (covered[have] / counts[have]).min() >= 1:
-            break
-    left = counts.copy()
-    for key, often in sorted(used.items(), key=lambda x: -x[1]):
-        n = min(int(often), *(left[length] // k for length, k in key))
-        if n > 0:
-            plan.append((int(n), dict(key)))
-            for length, k in key:
-                left[length] -= n * k
-    return _best_fit(plan, left, size)
+            left[n] -= often * k
+    return plan, left
+
+
+def solve(counts: np.ndarray, size: int) -> list[tuple[int, dict[int, int]]]:
+    """(how many sequences, pieces by length in each) for a histogram of lengths below ``size``.
+
+    The configuration program's sequences; what it leaves is placed by best fit, longest first, on the histogram.
+    """
+    return _best_fit(*configurations(counts, size), size)
 
 
 def _best_fit(plan: list[tuple[int, dict[int, int]]], left: np.ndarray, size: int) -> list[tuple[int, dict[int, int]]]:

@@ -136,6 +136,29 @@ def test_packing_repeats_and_empty(spark):
     assert packing.pack(documents(spark).limit(0)).count() == 0
 
 
+def test_pricing_takes_no_more_than_there_is():
+    value = np.arange(31) / 30
+    got, config = packing.price(np.where(np.isin(np.arange(31), [4, 7, 11]), value, 0), 30, np.where(np.arange(31) == 11, 1, 2))
+    assert got * 30 == pytest.approx(29) and config == {11: 1, 7: 2, 4: 1}
+
+
+def test_configurations_carry_a_wide_skewed_histogram():
+    rng = np.random.default_rng(5)
+    lengths = np.minimum(4095, np.exp(rng.normal(5.5, 1.3, 12_000)).astype(int) + 1)
+    counts = np.bincount(np.r_[lengths, np.full(3000, 37), np.full(500, 1500)], minlength=4097)
+    assert (counts > 0).sum() > 1000 and ((counts > 0) & (counts * np.arange(4097) < 4096)).sum() > 700
+    plan, left = packing.configurations(counts, 4096)
+    assert left.min() >= 0 and left.sum() <= 0.03 * counts.sum()
+    assert all(4055 <= sum(n * k for n, k in config.items()) <= 4096 for _, config in plan)
+    done = packing.solve(counts, 4096)
+    held = np.zeros(4097, np.int64)
+    for n, config in done:
+        for length, k in config.items():
+            held[length] += n * k
+    assert (held == counts).all()
+    assert sum(n for n, _ in done) <= 1.002 * -(-(counts * np.arange(4097)).sum() // 4096) + 1
+
+
 def test_pricing_is_the_knapsack_optimum():
     value = np.zeros(31)
     value[[4, 7, 11]] = [5.0, 9.5, 15.0]
