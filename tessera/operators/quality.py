@@ -121,3 +121,9 @@ def fingerprints(issues: DataFrame, columns: list[str]) -> DataFrame:
 
 def append_new(old: DataFrame, new: DataFrame, key: str = "issue_id") -> DataFrame:
     return old.unionByName(new.dropDuplicates([key]).join(old.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+def missing_by_symbol(have: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(symbol, trade_date) of every calendar day on which a symbol has no row; the calendar is sent whole."""
+    days = calendar.select("trade_date").distinct()
+    return have.select("symbol").distinct().crossJoin(F.broadcast(days)).join(have.select("symbol", "trade_date"), ["symbol", "trade_date"], "left_anti")

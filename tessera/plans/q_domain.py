@@ -61,6 +61,13 @@ def missing_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.missing_dates(d.where("symbol = 'U1'"), d)
 
 
+@query(f"WITH {panel.DAILY} SELECT s.symbol, c.trade_date FROM (SELECT DISTINCT symbol FROM daily) s CROSS JOIN (SELECT DISTINCT trade_date FROM daily) c WHERE NOT EXISTS (SELECT 1 FROM daily d WHERE d.symbol = s.symbol AND d.trade_date = c.trade_date)")
+def missing_dates_by_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calendar days on which a user has no row, for every user."""
+    d = panel.user_daily(spark, sf_dir)
+    return Q.missing_by_symbol(d, d)
+
+
 @query(f"WITH {panel.WIDE}, r AS (SELECT symbol, trade_date, close / lag(close) OVER w - 1 AS ret, adj_factor / lag(adj_factor) OVER w - 1 AS f FROM wide WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)) SELECT symbol, trade_date, {_N('ret')} AS ret, abs(ret) > 0.35 AND abs(f) <= 0.02 AS unexplained FROM r")
 def adjustment_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price jumps that no factor jump explains."""

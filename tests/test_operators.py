@@ -187,3 +187,9 @@ def test_stop_and_reverse_against_a_loop(spark):
     got = [(r["sar"], r["sar_dir"]) for r in recur.stop_and_reverse(df).orderBy("trade_date").collect()]
     assert [d for _, d in got] == [d for _, d in want]
     assert got[0][0] is None and [x for x, _ in got[1:]] == pytest.approx([x for x, _ in want[1:]])
+
+
+def test_missing_dates_of_every_symbol(spark):
+    have = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("c", 3)], "symbol string, trade_date int")
+    got = sorted(map(tuple, quality.missing_by_symbol(have, have).collect()))
+    assert got == [("a", 3), ("b", 1), ("b", 3), ("c", 1), ("c", 2)]
