@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,76 +55,121 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class _Pieces(dict):
+    """Numbers pieces by first use and keeps the ids of each."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.starts, self.flat = encode, np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        return n
+
+    def ids(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, given by their pieces, one after the other, and how many each text has."""
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        if added := len(self) - (len(self.starts) - 1):
+            sizes, ids = self.encode(list(islice(reversed(self), added))[::-1])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.flat = np.concatenate([self.flat, ids])
+        first = self.starts[numbers]
+        size = self.starts[numbers + 1] - first
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)]
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
+
+
+def _byte_characters() -> dict[int, str]:
+    """The characters that stand for the bytes 0 to 255 in a byte-level vocabulary: visible ones for themselves."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+#: Letters and numbers among the first 256 characters, where lower case and composition are the same everywhere.
+_LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+
+
 class PieceCoder:
     """Token ids of whole texts by looking up the ids of their pieces.
 
     The tokenizer's own pre-tokenizer never joins what the patterns separate, so a text's ids are its pieces' ids in
-    order. Ids of new pieces come from the tokenizers library and stay in a table of bounded size.
+    order. Ids of new pieces come from the tokenizers library and stay in a table of bounded size. Texts of the first
+    256 characters (``narrow``) are cut as finely as the pre-tokenizer does, and their pieces go straight to the
+    library's model; others, and texts with a special token, are cut at white space only and go through all of it.
     """
 
-    LIMIT = 1_000_000
+    LIMIT = 500_000
 
-    def __init__(self, path: str, plain: str, special: str, mark: str):
+    def __init__(self, path: str, narrow: str, wide: str, special: str, mark: str, lower: bool):
         """mark: a character with an id of its own that no other text has; it keeps many pieces apart in one call."""
         import os
         import re
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.plain, self.special = re.compile(plain).findall, re.compile(special).findall
-        self.mark, self.white = mark, re.compile(rf"[{_WS}]").match
-        (self.mark_id,) = self.tokenizer.encode(mark, add_special_tokens=False).ids
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.whole.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.narrow, self.wide, self.special = (re.compile(p).findall for p in (narrow, wide, special))
+        self.lower, self.mark = lower, mark
+        (self.mark_id,) = self.whole.encode(mark, add_special_tokens=False).ids
+        of_byte = _byte_characters()
+        self.written = {c: "".join(of_byte[b] for b in chr(c).encode()) for c in range(256)}
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[str, int] = {}
-        self.starts, self.flat = [np.zeros(1, np.int64)], [np.zeros(0, np.uint32)]
-        self.total = 0
-
-    def add(self, new: list[str]) -> None:
-        alone = [p for p in new if self.mark in p or "<|" in p or self.white(p[-1])]
-        apart = set(alone)
-        new = alone + [p for p in new if p not in apart]
-        coded = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
-        sizes = [np.array([len(c) for c in coded], np.int64)]
-        between = self.mark if self.mark == "\n" else f" {self.mark} "
-        for at in range(len(alone), len(new), 20_000):
-            (one,) = self.tokenizer.encode_batch_fast([between.join([*new[at : at + 20_000], ""])], add_special_tokens=False)
-            ids = np.array(one.ids, np.uint32)
-            cut = np.flatnonzero(ids == self.mark_id)
-            sizes.append(np.diff(cut, prepend=-1) - 1)
-            coded.append(np.delete(ids, cut))
-        ends = self.total + np.cumsum(np.concatenate(sizes))
-        self.starts.append(ends)
-        self.flat.extend(coded)
-        self.total = int(ends[-1])
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-
-    def pieces(self, text: str) -> list[str]:
-        return (self.special if "<|" in text else self.plain)(text)
+        self.fine, self.coarse = _Pieces(self._of_model), _Pieces(self._of_library)
+
+    def _of_library(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each new piece has, and all ids."""
+        coded = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(new, add_special_tokens=False)]
+        return np.array([len(c) for c in coded], np.int64), np.concatenate(coded)
+
+    def _of_model(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        mark = self.mark.translate(self.written)
+        own = [p.translate(self.written) for p in new]
+        lone = np.array([mark in p for p in own])
+        many = [p for p in own if mark not in p]
+        n, parts = np.zeros(len(new), np.int64), [np.zeros(0, np.uint32)]
+        for at in range(0, len(many), 20_000):
+            (one,) = self.model.encode_batch_fast([" ".join([x for p in many[at : at + 20_000] for x in (p, mark)])], add_special_tokens=False)
+            parts.append(np.array(one.ids, np.uint32))
+        marked = np.concatenate(parts)
+        cut = np.flatnonzero(marked == self.mark_id)
+        n[~lone] = np.diff(cut, prepend=-1) - 1
+        few = [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast([p for p in own if mark in p], add_special_tokens=False)]
+        n[lone] = [len(p) for p in few]
+        ids, of_lone = np.empty(int(n.sum()), np.uint32), np.repeat(lone, n)
+        ids[~of_lone] = np.delete(marked, cut)
+        ids[of_lone] = np.concatenate([np.zeros(0, np.uint32), *few])
+        return n, ids
 
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
-        if len(self.number) > self.LIMIT:
+        if len(self.fine) + len(self.coarse) > self.LIMIT:
             self.reset()
-        split = [self.pieces(t) for t in texts]
-        number = self.number
-        if new := set(chain.from_iterable(split)) - number.keys():
-            self.add(list(new))
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        numbers = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        if len(self.flat) > 1:
-            self.starts, self.flat = [np.concatenate(self.starts)], [np.concatenate(self.flat)]
-        starts, flat = self.starts[0], self.flat[0]
-        first = starts[numbers]
-        size = starts[numbers + 1] - first
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = flat[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)]
-        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
-
-    def batches(self, texts: list[str], chars: int = 4_000_000):
+        fine = np.array([_narrow(t) for t in texts], bool)
+        done = {}
+        for kind in (True, False):
+            own = [texts[k] for k in np.flatnonzero(fine == kind)]
+            if own:
+                split = [self.narrow(t.lower() if self.lower else t) for t in own] if kind else [(self.special if "<|" in t else self.wide)(t) for t in own]
+                done[kind] = (self.fine if kind else self.coarse).ids(split)
+        if len(done) < 2:
+            return next(iter(done.values()), (np.zeros(0, np.uint32), np.zeros(0, np.int64)))
+        counts = np.zeros(len(texts), np.int64)
+        for kind, (_, n) in done.items():
+            counts[fine == kind] = n
+        ids, of = np.empty(int(counts.sum()), np.uint32), np.repeat(fine, counts)
+        for kind, (own, _) in done.items():
+            ids[of == kind] = own
+        return ids, counts
+
+    def batches(self, texts: list[str], chars: int = 2_000_000):
         """Like encode_many, by runs of texts of about ``chars`` characters: yields (first text, ids, counts)."""
         at = 0
         while at < len(texts):
@@ -136,22 +181,33 @@ class PieceCoder:
             at = end
 
 
+def _narrow(text: str) -> bool:
+    if text.isascii():
+        return "<|" not in text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return "<|" not in text
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-
-
 @functools.cache
 def byte_coder(path: str) -> PieceCoder:
     """For byte_bpe_50k: a blank goes with the word after it; of longer white space all but the last character stand alone."""
     white = rf"[{_WS}]+(?![^{_WS}])|[{_WS}]+"
-    return PieceCoder(path, rf" ?[^{_WS}]+|{white}", rf"<\|endoftext\|>| ?(?:(?!<\|endoftext\|>)[^{_WS}])+|{white}", "\n")
+    narrow = rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_WS}{_LETTER}{_NUMBER}]+|{white}"
+    return PieceCoder(path, narrow, rf" ?[^{_WS}]+|{white}", rf"<\|endoftext\|>| ?(?:(?!<\|endoftext\|>)[^{_WS}])+|{white}", "\n", False)
 
 
 @functools.cache
 def word_coder(path: str) -> PieceCoder:
-    """For word_bpe_49k: white space is dropped and separates words."""
-    return PieceCoder(path, rf"[^{_WS}]+", rf"<\|(?:start|end)oftext\|>|(?:(?!<\|(?:start|end)oftext\|>)[^{_WS}])+", "\x01")
+    """For word_bpe_49k: lower case; white space is dropped and separates words, numbers stand by the digit."""
+    narrow = rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_WS}{_LETTER}{_NUMBER}]+"
+    special = r"<\|(?:start|end)oftext\|>"
+    return PieceCoder(path, narrow, rf"[^{_WS}]+", rf"{special}|(?:(?!{special})[^{_WS}])+", "\x01", True)
