@@ -50,12 +50,14 @@ def price(value: np.ndarray, size: int, most: np.ndarray | None = None) -> tuple
         while n > 0:
             lots.append((length, min(lot, n)))
             n, lot = n - lot, 2 * lot
-    best, took = np.zeros(size + 1), np.zeros((len(lots), size + 1), bool)
+    best, took, space = np.zeros(size + 1), np.zeros((len(lots), size + 1), bool), np.empty(size + 1)
+    worth = value.tolist()
     for i, (length, k) in enumerate(lots):
         room = length * k
-        got = best[: size + 1 - room] + value[length] * k
-        np.greater(got, best[room:], out=took[i, room:])
-        np.maximum(best[room:], got, out=best[room:])
+        got, own = space[room:], best[room:]
+        np.add(best[: size + 1 - room], worth[length] * k, got)
+        np.greater(got, own, took[i, room:])
+        np.maximum(own, got, own)
     config: dict[int, int] = {}
     room = size
     for i in range(len(lots) - 1, -1, -1):
@@ -72,7 +74,7 @@ def configurations(counts: np.ndarray, size: int, *, step: float = 0.3, tilt: fl
     Covering program: the fewest sequences such that every length is covered counts[l] times. Multiplicative weights: a
     length's weight falls as it gets covered. Each round prices the most valuable filling of a sequence, a piece
     counting its share of the room and up to ``tilt`` of that more by weight and length, from the ``partial`` lengths of the
-    largest weight, and from all where these don't fill it. Use goes by powers of two, from the largest count down to
+    largest weight, from four times as many where these don't fill it, and at last from all. Use goes by powers of two, from the largest count down to
     one: at ``unit``, a filling takes of each length no more copies than are left for ``unit`` sequences, so it is used
     a whole number of times, ``unit`` or until its least covered length has moved one step, and there is nothing to
     round. A unit ends when nothing fills a sequence to within ``gap``, the program when that holds for unit one or
@@ -85,12 +87,13 @@ def configurations(counts: np.ndarray, size: int, *, step: float = 0.3, tilt: fl
         most = left // unit
         have = np.flatnonzero(most)
         weight = np.exp((left[have] / counts[have] - 1) / step * np.log(2))
-        value, few = np.zeros(len(counts)), np.zeros(len(counts))
+        value = np.zeros(len(counts))
         value[have] = have / size * (1 + tilt * (weight + have / size) / 2)
-        chosen = have[np.lexsort((-have, -weight))[:partial]]
-        few[chosen] = value[chosen]
-        for tried in (few, value):
-            _, config = price(tried, size, most)
+        order = have[np.lexsort((-have, -weight))]
+        for n in (partial, 4 * partial, len(order)):
+            some = np.zeros(len(counts))
+            some[order[:n]] = value[order[:n]]
+            _, config = price(some, size, most)
             if full := sum(n * k for n, k in config.items()) >= (1 - gap) * size:
                 break
         if not full:
