@@ -96,15 +96,16 @@ class PieceCoder:
     """Token ids of whole texts by looking up the ids of their pieces.
 
     The tokenizer's own pre-tokenizer never joins what the patterns separate, so a text's ids are its pieces' ids in
-    order. Ids of new pieces come from the tokenizers library and stay in a table of bounded size. Texts of the first
-    256 characters (``narrow``) are cut as finely as the pre-tokenizer does, and their pieces go straight to the
-    library's model; others, and texts with a special token, are cut at white space only and go through all of it.
+    order. Ids of new pieces come from the tokenizers library and stay in tables of bounded size. Texts of the first
+    256 characters are cut at blanks (``chunks``, unless ``odd`` is in them), new chunks as finely as the pre-tokenizer
+    does (``narrow``), and new pieces of these go straight to the library's model. Other texts, and texts with a special
+    token, are cut at white space only and go through all of the library.
     """
 
-    LIMIT = 500_000
+    LIMIT = 800_000
 
-    def __init__(self, path: str, narrow: str, wide: str, special: str, mark: str, lower: bool):
-        """mark: a character with an id of its own that no other text has; it keeps many pieces apart in one call."""
+    def __init__(self, path: str, chunks, whole, odd: tuple[str, ...], narrow: str, wide: str, special: str, mark: str, lower: bool):
+        """mark: a character with an id of its own; it keeps many pieces apart in one call. whole(chunk): its text."""
         import os
         import re
 
@@ -115,14 +116,18 @@ class PieceCoder:
         self.model = Tokenizer(self.whole.model)
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.narrow, self.wide, self.special = (re.compile(p).findall for p in (narrow, wide, special))
-        self.lower, self.mark = lower, mark
+        self.chunks, self.text_of, self.odd, self.mark, self.lower = chunks, whole, odd, mark, lower
         (self.mark_id,) = self.whole.encode(mark, add_special_tokens=False).ids
         of_byte = _byte_characters()
         self.written = {c: "".join(of_byte[b] for b in chr(c).encode()) for c in range(256)}
         self.reset()
 
     def reset(self) -> None:
-        self.fine, self.coarse = _Pieces(self._of_model), _Pieces(self._of_library)
+        self.tables = {"chunks": _Pieces(self._of_chunks), "narrow": _Pieces(self._of_model), "wide": _Pieces(self._of_library)}
+
+    def _of_chunks(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = self.tables["narrow"].ids([self.narrow(self.text_of(c)) for c in new])
+        return counts, ids
 
     def _of_library(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each new piece has, and all ids."""
@@ -150,25 +155,39 @@ class PieceCoder:
 
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
-        if len(self.fine) + len(self.coarse) > self.LIMIT:
+        if sum(map(len, self.tables.values())) > self.LIMIT:
             self.reset()
-        fine = np.array([_narrow(t) for t in texts], bool)
-        done = {}
-        for kind in (True, False):
-            own = [texts[k] for k in np.flatnonzero(fine == kind)]
-            if own:
-                split = [self.narrow(t.lower() if self.lower else t) for t in own] if kind else [(self.special if "<|" in t else self.wide)(t) for t in own]
-                done[kind] = (self.fine if kind else self.coarse).ids(split)
+        kinds, done = [self._kind(t) for t in texts], {}
+        for kind in set(kinds):
+            own = [t for t, k in zip(texts, kinds, strict=True) if k == kind]
+            cut = {"chunks": self.chunks, "narrow": self._finely, "wide": self._broadly}[kind]
+            done[kind] = self.tables[kind].ids([cut(t) for t in own])
         if len(done) < 2:
             return next(iter(done.values()), (np.zeros(0, np.uint32), np.zeros(0, np.int64)))
-        counts = np.zeros(len(texts), np.int64)
+        which, counts = np.array(kinds), np.zeros(len(texts), np.int64)
         for kind, (_, n) in done.items():
-            counts[fine == kind] = n
-        ids, of = np.empty(int(counts.sum()), np.uint32), np.repeat(fine, counts)
+            counts[which == kind] = n
+        ids, of = np.empty(int(counts.sum()), np.uint32), np.repeat(which, counts)
         for kind, (own, _) in done.items():
             ids[of == kind] = own
         return ids, counts
 
+    def _finely(self, text: str) -> list[str]:
+        return self.narrow(text.lower() if self.lower else text)
+
+    def _broadly(self, text: str) -> list[str]:
+        return (self.special if "<|" in text else self.wide)(text)
+
+    def _kind(self, text: str) -> str:
+        if "<|" in text:
+            return "wide"
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return "wide"
+        return "narrow" if any(x in text for x in self.odd) else "chunks"
+
     def batches(self, texts: list[str], chars: int = 2_000_000):
         """Like encode_many, by runs of texts of about ``chars`` characters: yields (first text, ids, counts)."""
         at = 0
@@ -181,28 +200,30 @@ class PieceCoder:
             at = end
 
 
-def _narrow(text: str) -> bool:
-    if text.isascii():
-        return "<|" not in text
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return "<|" not in text
-
-
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def _blank_parts(text: str) -> list[str]:
+    """What stands between single blanks; the first part is marked."""
+    parts = text.split(" ")
+    parts[0] = "\0" + parts[0]
+    return parts
+
+
+def _blank_part(part: str) -> str:
+    return part[1:] if part[:1] == "\0" else " " + part
+
+
 @functools.cache
 def byte_coder(path: str) -> PieceCoder:
     """For byte_bpe_50k: a blank goes with the word after it; of longer white space all but the last character stand alone."""
     white = rf"[{_WS}]+(?![^{_WS}])|[{_WS}]+"
     narrow = rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_WS}{_LETTER}{_NUMBER}]+|{white}"
-    return PieceCoder(path, narrow, rf" ?[^{_WS}]+|{white}", rf"<\|endoftext\|>| ?(?:(?!<\|endoftext\|>)[^{_WS}])+|{white}", "\n", False)
+    special = rf"<\|endoftext\|>| ?(?:(?!<\|endoftext\|>)[^{_WS}])+|{white}"
+    return PieceCoder(path, _blank_parts, _blank_part, (*"\0\t\r\x0b\x0c\x85\xa0", "  ", " \n", "\n "), narrow, rf" ?[^{_WS}]+|{white}", special, "\n", False)
 
 
 @functools.cache
@@ -210,4 +231,4 @@ def word_coder(path: str) -> PieceCoder:
     """For word_bpe_49k: lower case; white space is dropped and separates words, numbers stand by the digit."""
     narrow = rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_WS}{_LETTER}{_NUMBER}]+"
     special = r"<\|(?:start|end)oftext\|>"
-    return PieceCoder(path, narrow, rf"[^{_WS}]+", rf"{special}|(?:(?!{special})[^{_WS}])+", "\x01", True)
+    return PieceCoder(path, lambda t: t.lower().split(), str, tuple("\x1c\x1d\x1e\x1f"), narrow, rf"[^{_WS}]+", rf"{special}|(?:(?!{special})[^{_WS}])+", "\x01", True)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_coder, shared_dir, stage, tasks, tokenizer_path
 
-SCALE, LANES, SEGMENT, BLOCK = 20, 512, 1 << 17, 1 << 16
+SCALE, LANES, SEGMENT, BLOCK = 20, 2048, 1 << 18, 1 << 18
 _LOW = np.uint64(1 << 31)
 
 
