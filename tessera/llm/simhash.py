@@ -1,9 +1,7 @@
-"""SimHash near-dedup: fingerprints, shards by equal blocks, and vantage-point trees inside a shard."""
+"""SimHash near-dedup: fingerprints, vantage-point trees over them, and verified groups of similar documents."""
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -98,97 +96,139 @@ def _across(f: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, labels: _L
             labels.join(a[at : at + step][x], b[y])
 
 
-def tree_labels(f: np.ndarray, radius: int, leaf: int = 192) -> np.ndarray:
-    """Component of each fingerprint (a row of words) of a shard, by its vantage-point tree.
+#: A level of a tree measures WIDTH bits; a half of the fingerprint has LEVELS of them.
+WIDTH, LEVELS = 4, 8
+#: Fixed vantage points of the levels that deal fingerprints to shards, one for each half.
+VANTAGE = (0x5BD1E995, 0x27D4EB2F)
+#: Codes a shard is meant to hold, members above which it is split, and pairs of a leaf.
+SHARD, MOST, LEAF = 16_384, 250_000, 250_000
+
+
+def _ring(half: np.ndarray, vantage: int, level: int) -> np.ndarray:
+    """Hamming distance to the vantage point in the bits of one level."""
+    return np.bitwise_count((half ^ np.uint64(vantage)) >> np.uint64(WIDTH * level) & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
+
 
-    A node splits its points at the median distance m from its vantage point. For points of different halves to link,
-    the triangle bound asks the inner one to be over m - radius and the outer one at m + radius at most; only these are
-    compared.
+class VantageTree:
+    """Links within ``radius`` between residents, and from residents to visitors, of one shard.
+
+    Each level takes one of the members as its vantage point and splits residents and visitors by their Hamming distance
+    to it in the level's own bits. Distances of disjoint bits add up, so triangle bounds do too: a pair of this tree
+    differs in ``budget`` bits of the half at most, of which each level uses up the difference of the two distances.
+    Branches over budget are pruned; ``compared`` counts the pairs whose whole fingerprints were compared.
     """
-    labels, open_ = _Labels(len(f)), [np.arange(len(f))]
-    while open_:
-        own = open_.pop()
-        if len(own) <= leaf:
-            _across(f, own, own, radius, labels)
-            continue
-        d = _distance(f[own], f[own[len(own) // 2]])
-        m = int(np.median(d))
-        if (d > m).sum() == 0:
-            m -= 1
-        inner = d <= m
-        if not inner.any() or inner.all():
-            _across(f, own, own, radius, labels)
-            continue
-        open_ += [own[inner], own[~inner]]
-        _across(f, own[inner & (d > m - radius)], own[~inner & (d <= m + radius)], radius, labels)
-    return labels.of
-
-
-def _shard_links(key: np.ndarray, f: np.ndarray, node: np.ndarray, radius: int, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Links (nodes) that connect what is within the radius inside equal keys; rows come sorted by key."""
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[start, len(key)])
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    of_row = np.repeat(size, size)
-    few = np.flatnonzero((of_row > 1) & (of_row <= small))
-    fs, ks, ns = f[few], key[few], node[few]
-    for step in range(1, min(small, len(few))):
-        same = ks[step:] == ks[:-step]
-        if not same.any():
-            break
-        hit = same & (_distance(fs[step:], fs[:-step]) <= radius)
-        a.append(ns[step:][hit])
-        b.append(ns[:-step][hit])
-    for k in np.flatnonzero(size > small):
-        s = slice(start[k], start[k] + size[k])
-        of = tree_labels(f[s], radius)
-        a.append(node[s])
-        b.append(node[s][of])
-    a, b = np.concatenate(a), np.concatenate(b)
-    return a[a != b], b[a != b]
-
-
-def _links_in_shards(shards: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) inside the shards; ``shards``: key, node, fp (bytes of the words)."""
-    dealt = shards.repartition(tasks(shards.sparkSession), "key").sortWithinPartitions("key", "fp")
-
-    def joined(batches):
-        held: list[tuple] = []
+
+    def __init__(self, f: np.ndarray, half: np.ndarray, radius: int):
+        self.f, self.half, self.radius = f, half, radius
+        self.labels, self.compared = _Labels(len(f)), 0
+
+    def within(self, own: np.ndarray, level: int, budget: int) -> None:
+        if level >= LEVELS or len(own) ** 2 <= LEAF:
+            return self._compare(own, own)
+        of = self._rings(own, own, level)[0]
+        parts = [own[of == d] for d in range(WIDTH + 1)]
+        for d, part in enumerate(parts):
+            if len(part):
+                self.within(part, level + 1, budget)
+            for gap in range(1, min(budget, WIDTH - d) + 1):
+                self.between(part, parts[d + gap], level + 1, budget - gap)
+
+    def between(self, own: np.ndarray, others: np.ndarray, level: int, budget: int) -> None:
+        if not len(own) or not len(others):
+            return None
+        if level >= LEVELS or len(own) * len(others) <= LEAF:
+            return self._compare(own, others)
+        a, b = self._rings(own, others, level)
+        theirs = [others[b == d] for d in range(WIDTH + 1)]
+        for d in range(WIDTH + 1):
+            mine = own[a == d]
+            for e in range(max(0, d - budget), min(WIDTH, d + budget) + 1):
+                self.between(mine, theirs[e], level + 1, budget - abs(d - e))
+
+    def _rings(self, own: np.ndarray, others: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        vantage = int(self.half[own[len(own) // 2]])
+        return _ring(self.half[own], vantage, level), _ring(self.half[others], vantage, level)
+
+    def _compare(self, own: np.ndarray, others: np.ndarray) -> None:
+        self.compared += len(own) * len(others)
+        _across(self.f[:, None], own, others, self.radius, self.labels)
+
+
+def _gaps(levels: int, budget: int) -> list[tuple[int, ...]]:
+    """Differences of ring vectors whose sizes add up to ``budget`` at most, first nonzero one positive."""
+    out = [()]
+    for _ in range(levels):
+        out = [(*g, d) for g in out for d in range(-budget, budget + 1) if sum(map(abs, g)) + abs(d) <= budget]
+    return [g for g in out if next((d for d in g if d), 0) > 0]
+
+
+def _routed(codes: DataFrame, levels: int, budget: int) -> DataFrame:
+    """(key, visits, fp, node): each code in its own shard of either half, and as a visitor where the triangle bound asks."""
+    gaps = _gaps(levels, budget)
+    place = [(WIDTH + 1) ** k for k in range(levels)]
+
+    def dealt(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            key, node = pdf["key"].to_numpy(), pdf["node"].to_numpy()
-            f = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(key), -1)
-            cut = int(np.searchsorted(key, key[-1], "left"))
-            if cut == 0 and held and held[-1][0][-1] == key[-1]:
-                held.append((key, f, node))
-                continue
-            held.append((key[:cut], f[:cut], node[:cut]))
-            yield found(held)
-            held = [(key[cut:], f[cut:], node[cut:])]
-        if held:
-            yield found(held)
-
-    def found(held):
-        a, b = _shard_links(*[np.concatenate([h[k] for h in held if len(h[0])]) for k in range(3)], radius)
-        return pd.DataFrame({"a": a, "b": b})
-
-    return dealt.mapInPandas(joined, "a long, b long")
+            f, node = pdf["fp"].to_numpy(np.int64), pdf["node"].to_numpy(np.int64)
+            for side in (0, 1):
+                half = f.view(np.uint64) >> np.uint64(32 * side) & np.uint64(0xFFFFFFFF)
+                rings = np.stack([_ring(half, VANTAGE[side], k) for k in range(levels)])
+                key = side + 2 * sum(p * r for p, r in zip(place, rings, strict=True))
+                yield pd.DataFrame({"key": key, "visits": False, "fp": f, "node": node})
+                for gap in gaps:
+                    to = rings + np.array(gap)[:, None]
+                    ok = ((to >= 0) & (to <= WIDTH)).all(0)
+                    yield pd.DataFrame({"key": key[ok] + 2 * sum(p * g for p, g in zip(place, gap, strict=True)), "visits": True, "fp": f[ok], "node": node[ok]})
+
+    return codes.select("fp", "node").mapInPandas(dealt, "key long, visits boolean, fp long, node long")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members with a ``block`` each: shards of up to MOST members are one; larger ones meet in pairs of parts."""
+    parts = members.groupBy("key").count().where(F.col("count") > MOST).select("key", F.ceil(F.col("count") / MOST).alias("parts"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts"))
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
+    met = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(met)
+    return members.join(parts, "key", "left").withColumn("block", F.explode(met)).select("key", "block.i", "block.j", "visits", "fp", "node")
 
 
 def links(codes: DataFrame, radius: int = 4) -> DataFrame:
     """Links (a, b: nodes) that connect all fingerprints within ``radius``; ``codes``: fp and node, fp distinct.
 
-    Of radius + 2 blocks of bits at least two agree in a linked pair, so it meets in a shard of one pair of blocks: a
-    ball of radius 0 in those blocks' own metric. Inside a shard the vantage-point tree finds what links.
+    A pair within the radius differs in half of it at most in one half of the bits, so there is a tree for each half. Its
+    upper levels, with fixed vantage points, deal the codes to shards: a shard is a vector of Hamming distances to the
+    vantage points. A code lives in one shard and visits those whose distances differ by no more than the bound; the
+    lower levels are built and searched inside the shard. How many upper levels there are follows from the number of
+    codes; the links don't depend on it. A shard of more than MOST members meets in pairs of parts, each in a task.
     """
-    n = radius + 2
-    widths = [64 // n + (k < 64 % n) for k in range(n)]
-    offset = [sum(widths[:k]) for k in range(n)]
-    block = [F.shiftrightunsigned("fp", o).bitwiseAND(F.lit((1 << w) - 1)) for o, w in zip(offset, widths, strict=True)]
-    keys = [F.lit(t << 44) + F.shiftleft(block[i], 22) + block[j] for t, (i, j) in enumerate(combinations(range(n), 2))]
-    word = F.unhex(F.lpad(F.hex("fp"), 16, "0"))  # the order of its bytes doesn't matter to distances
-    return _links_in_shards(codes.select(word.alias("fp"), "node", F.explode(F.array(*keys)).alias("key")), radius)
+    spark, levels, n = codes.sparkSession, 1, codes.count()
+    while levels < LEVELS and n > SHARD * 4**levels:
+        levels += 1
+    budget = radius // 2
+    members = _blocks(stage(_routed(codes, levels, budget), "shard-members")).withColumn("where", F.xxhash64("key", "i", "j"))
+    dealt = members.repartition(tasks(spark), "where").sortWithinPartitions("where", "key", "i", "j")
+
+    def searched(batches):
+        for pdf in _whole_keys(batches, "where"):
+            key, i, j = (pdf[c].to_numpy() for c in ("key", "i", "j"))
+            ends = np.r_[np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, len(key)].tolist()
+            at = 0
+            for end in ends:
+                f, visits, node = (pdf[c].to_numpy()[at:end] for c in ("fp", "visits", "node"))
+                yield _found(f.view(np.uint64), visits.astype(bool), node, int(key[at]) % 2, levels, budget, radius)
+                at = end
+
+    return dealt.mapInPandas(searched, "a long, b long")
+
+
+def _found(f, visits, node, side, levels, budget, radius) -> pd.DataFrame:
+    tree = VantageTree(f, f >> np.uint64(32 * side) & np.uint64(0xFFFFFFFF), radius)
+    own, others = np.flatnonzero(~visits), np.flatnonzero(visits)
+    tree.within(own, levels, budget)
+    tree.between(own, others, levels, budget)
+    to = tree.labels.of
+    linked = to != np.arange(len(to))
+    return pd.DataFrame({"a": node[linked], "b": node[to[linked]]})
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:

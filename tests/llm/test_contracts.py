@@ -257,17 +257,39 @@ def test_simhash_hex(spark):
     assert {r["doc_id"]: r["fingerprint"] for r in got} == {d: f"{naive_fingerprint(t):016x}" for d, t in sf_docs().items()}
 
 
-def test_links_join_all_within_the_radius(spark):
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 1 << 63, 12, np.uint64)
-    f = np.unique([b ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, False).astype(np.uint64)) for b in base for n in rng.integers(1, 6, 60).tolist()])
-    want = naive_components({i: int(x) for i, x in enumerate(f)})
-    assert dict(enumerate(_roots(simhash.tree_labels(f[:, None], 4, leaf=20)))) == want
-    codes = spark.createDataFrame([(int(x) - (1 << 64) if x >> np.uint64(63) else int(x), i) for i, x in enumerate(f)], "fp long, node long")
+def near_codes(seed=1, groups=12, each=60):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 63, groups, np.uint64) * np.uint64(2) + rng.integers(0, 2, groups, np.uint64)
+    return np.unique([b ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, False).astype(np.uint64)) for b in base for n in rng.integers(1, 6, each).tolist()])
+
+
+@pytest.mark.parametrize(("shard", "most", "leaf"), [(16_384, 250_000, 250_000), (8, 250_000, 16), (1, 40, 16)])
+def test_links_join_all_within_the_radius(spark, monkeypatch, shard, most, leaf):
     from tessera.llm.components import components
 
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    monkeypatch.setattr(simhash, "MOST", most)
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    f = near_codes()
+    codes = spark.createDataFrame([(int(x.view(np.int64)), i) for i, x in enumerate(f)], "fp long, node long")
     root = {r["node"]: r["root"] for r in rows(components(simhash.links(codes)))}
-    assert {i: root.get(i, i) for i in range(len(f))} == want
+    assert {i: root.get(i, i) for i in range(len(f))} == naive_components({i: int(x) for i, x in enumerate(f)})
+
+
+def test_vantage_trees_prune_and_lose_nothing(monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", 400)
+    rng = np.random.default_rng(4)
+    f = np.unique(np.r_[near_codes(2, 40, 20), rng.integers(0, 1 << 63, 6000, np.uint64)])
+    links, compared = [], 0
+    for side in (0, 1):
+        tree = simhash.VantageTree(f, f >> np.uint64(32 * side) & np.uint64(0xFFFFFFFF), 4)
+        tree.within(np.arange(len(f)), 0, 2)
+        links += [(i, int(x)) for i, x in enumerate(tree.labels.of)]
+        compared += tree.compared
+    both = simhash._Labels(len(f))
+    both.join(*np.array(links).T)
+    assert dict(enumerate(_roots(both.of))) == naive_components({i: int(x) for i, x in enumerate(f)})
+    assert compared < 0.1 * len(f) ** 2
 
 
 def _roots(of):
