@@ -1,4 +1,4 @@
-"""Exact top-k search by MaxScore: essential terms for all candidates, the others only for those still in the race."""
+"""Exact top-k search by MaxScore: essential postings for all candidates, the others only for those still competitive."""
 
 from __future__ import annotations
 
@@ -10,7 +10,11 @@ from pyspark.sql import Window as W
 
 from .common import stage
 
-SHARD, QUERIES = 2048, 1024
+#: Rows of a shard of candidates and of a pack of queries, rows of the first sample, growth of the samples.
+SHARD, QUERIES, SEED, GROWTH = 8192, 4096, 4096, 4
+#: Non-essential terms probed before candidates are dropped again.
+PROBE = 8
+_LEAST = -(1 << 63)
 
 
 def integer_vectors(rows: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
@@ -21,92 +25,127 @@ def integer_vectors(rows: DataFrame, *, vec_id: str = "vec_id", vector: str = "e
     return rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v"))
 
 
-def _packed(rows: DataFrame, per_pack: int) -> tuple[DataFrame, int]:
-    """Rows in packs of about ``per_pack``: (pack, ids, values, width); the vectors of a pack as one matrix."""
-    n = max(1, -(-rows.count() // per_pack))
+def _packed(rows: DataFrame, per_pack: int, extra: str) -> tuple[DataFrame, int]:
+    """Distinct rows in packs of about ``per_pack``: (pack, ids, v, width and the columns ``extra``), as matrices."""
+    n, names = max(1, -(-rows.count() // per_pack)), extra.split()
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         width = max(map(len, pdf["v"]))
         m = np.zeros((len(pdf), width), np.int64)
         for k, v in enumerate(pdf["v"]):
             m[k, : len(v)] = v
-        return pd.DataFrame({"pack": [pdf["pack"].iat[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "v": [m.tobytes()], "width": [width]})
-
-    dealt = rows.withColumn("pack", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)))
-    return stage(dealt.groupBy("pack").applyInPandas(packed, "pack long, ids binary, v binary, width int"), "packs"), n
-
+        out = {"pack": [pdf["pack"].iat[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "v": [m.tobytes()], "width": [width]}
+        return pd.DataFrame(out | {c: [pdf[c].to_numpy(np.int64).tobytes()] for c in names})
+
+    dealt = rows.withColumn("pack", F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(n)))
+    return stage(dealt.groupBy("pack").applyInPandas(packed, "pack long, ids binary, v binary, width int" + "".join(f", {c} binary" for c in names)), "packs"), n
+
+
+class Postings:
+    """A shard by component: the list of all candidates' values of each, with its bounds."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.columns = ids, np.ascontiguousarray(x.T)
+        self.low, self.high = x.min(0), x.max(0)
+        self.norm = np.sqrt((x.astype(float) ** 2).sum(1))
+        self.read = 0  # values read for all queries
+
+    def top(self, q_id: int, q: np.ndarray, floor: int, floor_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k best for one query that reach (floor, floor_id): a score at least as high, ties by id.
+
+        Terms go by falling spread of what they can add. What all terms after the first e add is bounded by the sum of
+        their largest products and by the product of the norms; the first e, at the least e at which that can't reach the
+        floor, are the essential terms: nothing gets there on the others alone. Essential postings are traversed; the
+        others are probed, a few at a time, for the candidates whose score plus what is left may still reach the floor.
+        """
+        low, high = np.minimum(q * self.low, q * self.high).astype(float), np.maximum(q * self.low, q * self.high).astype(float)
+        order = np.argsort(low - high, kind="stable")
+        rest = np.r_[np.cumsum(high[order][::-1])[::-1], 0.0]
+        length = np.sqrt(np.r_[np.cumsum((q[order].astype(float) ** 2)[::-1])[::-1], 0.0])
+        slack = 1e-9 * (np.abs(low) + np.abs(high)).sum() + 1e-6
+        most = np.minimum(rest, length * self.norm.max()) + slack
+        e = int(np.argmax(most < floor)) if floor > _LEAST and most[-1] < floor else len(q)
+        score = q[order[:e]] @ self.columns[order[:e]]
+        self.read += e * len(self.ids)
+        at = np.arange(len(self.ids))
+        while True:
+            if floor > _LEAST:
+                near = score + np.minimum(rest[e], length[e] * self.norm[at]) + slack >= floor
+                at, score = at[near], score[near]
+            if e == len(q) or not len(at):
+                break
+            terms = order[e : e + PROBE]
+            score = score + q[terms] @ self.columns[np.ix_(terms, at)]
+            self.read += len(terms) * len(at)
+            e += len(terms)
+        keep = (self.ids[at] != q_id) & ((score > floor) | (score == floor) & (self.ids[at] <= floor_id))
+        at, score = at[keep], score[keep]
+        if len(at) > k:
+            best = score >= np.partition(score, len(score) - k)[len(score) - k]
+            at, score = at[best], score[best]
+        best = np.lexsort((self.ids[at], -score))[:k]
+        return at[best], score[best].astype(np.int64)
 
-def top_of_shard(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, vec_id, score) of the k best of one shard for each query.
 
-    A term is a component; its bounds come from the shard's smallest and largest values. The threshold of a query is its
-    k-th best score over a few candidates that are scored in full. Terms are taken by falling spread of their bounds;
-    those at the end whose spreads together don't reach from the least possible score to the threshold are
-    non-essential: nothing enters on them alone. Candidates get their essential score; only where that plus the upper
-    bound of the rest reaches the threshold is the rest probed.
-    """
+def _aligned(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both of one width, in the smallest type in which all sums are whole numbers."""
     width = max(q.shape[1], x.shape[1])
     q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, x))
-    exact = width * float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) < 2**52
-    q, x = (m.astype(np.float64 if exact else np.int64) for m in (q, x))
-    same = q_ids[:, None] == ids[None, :]
-    low, high = np.minimum(q * x.min(0), q * x.max(0)), np.maximum(q * x.min(0), q * x.max(0))
-    probe = x[: min(len(x), max(4 * k, 64))]
-    first = np.where(same[:, : len(probe)], -np.inf, q @ probe.T)
-    bound = np.partition(first, len(probe) - k, axis=1)[:, len(probe) - k] if len(probe) >= k else np.full(len(q), -np.inf)
-    order = np.argsort(-(high - low), axis=1, kind="stable")
-    spread = np.take_along_axis(high - low, order, axis=1)
-    behind = np.cumsum(spread[:, ::-1], axis=1)[:, ::-1]  # of this term and all after it
-    essential = np.zeros(q.shape, bool)
-    np.put_along_axis(essential, order, behind > np.maximum(0, bound - low.sum(1))[:, None], axis=1)
-    essential |= (~np.isfinite(bound))[:, None]
-    score = np.where(essential, q, 0) @ x.T
-    alive = (score + np.where(essential, 0, high).sum(1)[:, None] >= bound[:, None]) & ~same
-    rest = np.where(essential, 0, q)
-    if alive.mean() > 0.2:
-        score = score + rest @ x.T
-    else:
-        for i in np.flatnonzero(rest.any(1)):
-            at = np.flatnonzero(alive[i])
-            terms = np.flatnonzero(rest[i])
-            score[i, at] += x[np.ix_(at, terms)] @ rest[i, terms]
-    out = []
-    for i in range(len(q)):
-        at = np.flatnonzero(alive[i])
-        s = score[i, at]
-        if len(at) > k:
-            keep = s >= np.partition(s, len(s) - k)[len(s) - k]
-            at, s = at[keep], s[keep]
-        best = np.lexsort((ids[at], -s))[:k]
-        out.append((np.full(len(best), q_ids[i]), ids[at[best]], s[best].astype(np.int64)))
-    return out
+    most = width * float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0))
+    kind = np.float32 if most < 2**24 else np.float64 if most < 2**52 else np.int64
+    return q.astype(kind), x.astype(kind)
 
 
-def search(queries: DataFrame, candidates: DataFrame, *, k: int = 20) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k candidates of largest inner product, ties to the smaller id.
-
-    Both tables: vec_id, v (see integer_vectors). Queries and candidates are dealt into packs of bounded size; every
-    pack of queries meets every shard of candidates once, shards give their k best, and these are merged, in two steps
-    where there are many. A candidate with the query's id is the query's own row. Vectors of different length are padded
-    with zeros. An empty table on either side gives an empty table; repeated candidate rows appear as often as they are
-    there, repeated queries once.
-    """
-    queries = queries.dropDuplicates(["vec_id"])
-    shards, n = _packed(candidates, SHARD)
-    asked, _ = _packed(queries, QUERIES)
-    asked = asked.select(F.col("ids").alias("q_ids"), F.col("v").alias("q"), F.col("width").alias("q_width"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("pack"))
+def _pass(asked: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, copies): of every shard the candidates that reach a query's floor, k at most."""
+    shards, n = _packed(candidates, SHARD, "copies")
+    packs, _ = _packed(asked, QUERIES, "floor floor_id")
+    to = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("pack")
+    packs = packs.select(F.col("ids").alias("q_ids"), F.col("v").alias("q"), F.col("width").alias("q_width"), "floor", "floor_id", to)
+    names = ["q_ids", "q", "q_width", "floor", "floor_id", "ids", "v", "width", "copies"]
 
     def scored(batches):
         for pdf in batches:
-            for shard, q_ids, q, q_width, ids, v, width in zip(*(pdf[c] for c in ("pack", "q_ids", "q", "q_width", "ids", "v", "width")), strict=True):
-                q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                got = top_of_shard(q_ids, np.frombuffer(q, np.int64).reshape(len(q_ids), q_width), ids, np.frombuffer(v, np.int64).reshape(len(ids), width), k)
-                a, b, c = (np.concatenate(z) for z in zip(*got, strict=True))
-                yield pd.DataFrame({"query_id": a, "vec_id": b, "score": c, "part": np.full(len(a), shard // 256)})
-
-    found = asked.join(shards, "pack").select("pack", "q_ids", "q", "q_width", "ids", "v", "width").mapInPandas(scored, "query_id long, vec_id long, score long, part long")
-    order = [F.desc("score"), F.col("vec_id")]
-    if n > 256:
-        found = found.withColumn("r", F.row_number().over(W.partitionBy("query_id", "part").orderBy(*order))).where(F.col("r") <= k).drop("r")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
+            for q_ids, q, q_width, floor, floor_id, ids, v, width, copies in pdf.itertuples(index=False):
+                q_ids, floor, floor_id, ids, copies = (np.frombuffer(z, np.int64) for z in (q_ids, floor, floor_id, ids, copies))
+                q, x = _aligned(np.frombuffer(q, np.int64).reshape(len(q_ids), q_width), np.frombuffer(v, np.int64).reshape(len(ids), width))
+                shard, out = Postings(ids, x), []
+                for i, q_id in enumerate(q_ids.tolist()):
+                    at, s = shard.top(q_id, q[i], int(floor[i]), int(floor_id[i]), k)
+                    out.append((np.full(len(at), q_id), ids[at], s, copies[at]))
+                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score", "copies"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    met = packs.join(shards.hint("shuffle_hash"), "pack").select(*names)
+    return met.mapInPandas(scored, "query_id long, vec_id long, score long, copies long")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query with their ranks; copies count each."""
+    each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k).cast("long")))))
+    ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search(queries: DataFrame, candidates: DataFrame, *, k: int = 20) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k candidates of largest inner product, ties to the smaller id.
+
+    Both tables: vec_id, v (see integer_vectors). A query's floor is its k-th best (score, id) in a sample by hash, which
+    all shards share; samples grow GROWTH-fold up to the whole table, so each pass finds about GROWTH times k rows a query
+    however many shards there are. A pass is a block join: packs of queries meet shards of candidates, both of bounded
+    size. A candidate with the query's id is the query's own row. Vectors of different length are padded with zeros. An
+    empty table on either side gives an empty table; repeated candidate rows are scored once and appear as often as they
+    are there, repeated queries once.
+    """
+    have = stage(candidates.groupBy("vec_id", "v").agg(F.count("*").alias("copies")), "candidates")
+    asked = stage(queries.dropDuplicates(["vec_id"]).select("vec_id", "v", F.lit(_LEAST).alias("floor"), F.lit(_LEAST).alias("floor_id")), "queries")
+    share, n = 1, have.count()
+    while n > SEED * share:
+        share *= GROWTH
+    while share > 1:
+        sample = have.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(share)) == 0)
+        last = _ranked(_pass(asked, sample, k), k).where(F.col("rank") == k)
+        floors = last.select(F.col("query_id").alias("vec_id"), F.col("score").alias("f"), F.col("vec_id").alias("i"))
+        asked = asked.join(floors, "vec_id", "left").select("vec_id", "v", F.coalesce("f", "floor").alias("floor"), F.coalesce("i", "floor_id").alias("floor_id"))
+        asked = stage(asked, "floors")
+        share //= GROWTH
+    return _ranked(_pass(asked, have, k), k)

@@ -85,23 +85,12 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _across(f: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, labels: _Labels, cells: int = 4_000_000) -> None:
-    """Links points of a and b within the radius, by blocks of bounded size."""
-    if not len(a) or not len(b):
-        return
-    step = max(1, cells // (len(b) * f.shape[1]))
-    for at in range(0, len(a), step):
-        x, y = np.nonzero(_distance(f[a[at : at + step], None], f[None, b]) <= radius)
-        if len(x):
-            labels.join(a[at : at + step][x], b[y])
-
-
 #: A level of a tree measures WIDTH bits; a half of the fingerprint has LEVELS of them.
 WIDTH, LEVELS = 4, 8
 #: Fixed vantage points of the levels that deal fingerprints to shards, one for each half.
 VANTAGE = (0x5BD1E995, 0x27D4EB2F)
 #: Codes a shard is meant to hold, members above which it is split, and pairs of a leaf.
-SHARD, MOST, LEAF = 16_384, 250_000, 250_000
+SHARD, MOST, LEAF = 16_384, 250_000, 100_000
 
 
 def _ring(half: np.ndarray, vantage: int, level: int) -> np.ndarray:
@@ -151,7 +140,13 @@ class VantageTree:
 
     def _compare(self, own: np.ndarray, others: np.ndarray) -> None:
         self.compared += len(own) * len(others)
-        _across(self.f[:, None], own, others, self.radius, self.labels)
+        step = max(1, LEAF // max(1, len(others)))
+        theirs = self.f[others]
+        for at in range(0, len(own), step):
+            near = np.bitwise_count(self.f[own[at : at + step], None] ^ theirs) <= self.radius
+            x, y = np.divmod(np.flatnonzero(near), len(others))
+            if len(x):
+                self.labels.join(own[at : at + step][x], others[y])
 
 
 def _gaps(levels: int, budget: int) -> list[tuple[int, ...]]:
