@@ -256,7 +256,7 @@ def shingle_sets(texts, shingle: int = 5):
     number: dict[bytes, int] = {}
     for text in texts:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if len(number) > 1_000_000:
+        if len(number) > 150_000:
             number = {}
         for w in set(words):
             if w not in number:
@@ -360,8 +360,9 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     def seen(batches):
         for pdf in batches:
-            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(pdf["text"], shingle)]), return_counts=True)
-            yield pd.DataFrame({"h": h[n > 1].view(np.int64), "n": n[n > 1]})
+            for at in range(0, len(pdf), 1000):
+                h, n = np.unique(np.concatenate(list(shingle_sets(pdf["text"].iloc[at : at + 1000], shingle))), return_counts=True)
+                yield pd.DataFrame({"h": h[n > 1].view(np.int64), "n": n[n > 1]})
 
     sample = texts.where(F.pmod(F.xxhash64("doc_id", "row"), F.lit(8)) == 0).select("text").mapInPandas(seen, "h long, n long")
     top = sample.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(200_000).toPandas().sort_values("h")
@@ -396,10 +397,11 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
             block = np.repeat(np.add.reduceat(_mixed(node.view(np.uint64)), start).view(np.int64), n)
             yield pd.DataFrame({"block": block, "node": node})[np.repeat(n > 1, n)].drop_duplicates()
 
-    keyed = rows.select(F.explode("keys").alias("key"), "size", "node")
+    nodes = stage(rows.select("node", "size", "bits", "keys").dropDuplicates(["node"]), "shingle-nodes")
+    keyed = nodes.select(F.explode("keys").alias("key"), "size", "node")
     keyed = keyed.repartition(tasks(spark), "key").sortWithinPartitions("key", "size", "node")
     met = stage(keyed.mapInPandas(blocks, "block long, node long").distinct(), "blocks")
-    one = rows.groupBy("node").agg(F.min(F.struct("size", "bits")).alias("own")).select("node", "own.*")
+    one = nodes.select("node", "size", "bits")
 
     def plausible(batches):
         for pdf in _whole_keys(batches, "block"):
@@ -420,7 +422,9 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     def whole(batches):
         for pdf in batches:
-            yield pd.DataFrame({"node": pdf["node"], "shingles": [s.tobytes() for s in shingle_sets(pdf["text"], shingle)]})
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
+                yield pd.DataFrame({"node": part["node"], "shingles": [s.tobytes() for s in shingle_sets(part["text"], shingle)]})
 
     sets = texts.join(own, ["doc_id", "row"]).select("node", "text").mapInPandas(whole, "node long, shingles binary")
 
