@@ -3,10 +3,10 @@
 Rolling-hash triggers cut every text into phrases: the trigger of a 100-byte window is its 16-byte substring with the
 smallest hash (the leftmost of equals), a phrase is a run of window starts with one trigger, and its entry is the bytes
 that its windows cover. Equal windows have equal triggers, so what repeats is parsed alike wherever it stands. The
-dictionary holds each distinct entry once, with its first place; all other places of the entry repeat it as a whole.
-Only windows of dictionary entries that share a trigger and 42 bytes on one side of it with a different entry are then
-put in corpus order, by 96 bits of hash and place: runs of equals in that order are what neighbours in a suffix array
-with a common prefix of 100 bytes would be.
+dictionary holds each distinct entry once, with its first place; all other places of the parse repeat it as a whole.
+What is left are entries that agree in part: they share a trigger and 42 bytes on one side of it with another entry.
+Their bytes meet by trigger and side, a suffix array of these dictionary entries ranks their windows, and ranks and
+first places of the parse together give corpus order: in a run of equal ranks all windows but the first repeat.
 """
 
 from __future__ import annotations
@@ -24,8 +24,7 @@ LENGTH, TRIGGER = 100, 16
 #: A window reaches SIDE bytes beyond its trigger on the left or on the right.
 SIDE = (LENGTH - TRIGGER) // 2
 BUFFER = 1 << 21
-#: Places are (key of the row << 40 | byte), the key being 0 unless document ids repeat.
-_SHIFT = 40
+#: A place is a document, the key of its row (0 unless document ids repeat) and a byte.
 _LOW = np.uint64((1 << 24) - 1)
 _random = np.random.Generator(np.random.PCG64(20_240_101))
 _BYTES = _random.integers(0, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,43 +115,45 @@ def phrases(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _first_of(keys: list[np.ndarray], doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _first_of(keys: list[np.ndarray], place: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by keys and place; which rows start a key; which are at the key's first place."""
-    order = np.lexsort((pos, doc, *keys[::-1]))
+    order = np.lexsort((*place[::-1], *keys[::-1]))
     new = np.zeros(len(order), bool)
     new[:1] = True
     for k in keys:
         new[1:] |= k[order][1:] != k[order][:-1]
     first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    here = (doc[order] == doc[order][first]) & (pos[order] == pos[order][first])
+    here = np.ones(len(order), bool)
+    for p in place:
+        here &= p[order] == p[order][first]
     return order, new, here
 
 
-#: Kinds of rows: TRAVELS to its key's task, REPEATS an earlier place, NEEDS its windows compared.
+#: Kinds of rows: TRAVELS to its key's task, REPEATS an earlier place, NEEDS its windows compared (a: where they meet).
 TRAVELS, REPEATS, NEEDS = 0, 1, 2
-_ROW = "a long, b long, doc long, pos long, info long, kind int"
+_PLACE = ["doc", "key", "pos"]
+_ROW = "a long, b long, doc long, key long, pos long, info long, kind int"
 
 
-def _frame(a, b, doc, pos, info, kind) -> pd.DataFrame:
+def _frame(a, b, place, info, kind) -> pd.DataFrame:
     signed = lambda x: x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)
-    return pd.DataFrame({"a": signed(a), "b": signed(b), "doc": doc.astype(np.int64), "pos": pos.astype(np.int64), "info": info.astype(np.int64), "kind": kind.astype(np.int32)})
+    columns = {"a": a, "b": b, **dict(zip(_PLACE, place, strict=True)), "info": info}
+    return pd.DataFrame({**{k: signed(v) for k, v in columns.items()}, "kind": np.full(len(a), kind, np.int32)})
 
 
-def _local(a, b, doc, pos, info) -> pd.DataFrame:
+def _local(a, b, place, info) -> pd.DataFrame:
     """Of equal keys inside a task only the first place travels; the others are known to repeat it."""
-    order, new, here = _first_of([a, b], doc, pos)
-    kind = np.where(here, TRAVELS, REPEATS)
-    keep = new | ~here  # the very same place twice is one
-    o = order[keep]
-    kind = kind[keep]
-    known = kind == REPEATS
-    return _frame(np.where(known, 0, a[o]), np.where(known, 0, b[o]), doc[o], pos[o], np.where(known, info[o] & 127, info[o]), kind)
+    order, new, here = _first_of([a, b], place)
+    go, known = order[new & here], order[~here]  # the very same place twice is one
+    none = np.zeros(len(known), np.int64)
+    parts = [_frame(a[go], b[go], [p[go] for p in place], info[go], TRAVELS), _frame(none, none, [p[known] for p in place], info[known] & 127, REPEATS)]
+    return pd.concat(parts, ignore_index=True)
 
 
 def _deal(rows: DataFrame) -> DataFrame:
     """Travelling rows to the task of their first key, known repeats anywhere; each task sorted by keys and place."""
-    where = F.when(F.col("kind") == TRAVELS, F.xxhash64("a")).otherwise(F.xxhash64("doc", "pos"))
-    return rows.repartition(tasks(rows.sparkSession), where).sortWithinPartitions("kind", "a", "b", "doc", "pos")
+    where = F.when(F.col("kind") == TRAVELS, F.xxhash64("a")).otherwise(F.xxhash64(*_PLACE))
+    return rows.repartition(tasks(rows.sparkSession), where).sortWithinPartitions("kind", "a", "b", *_PLACE)
 
 
 def _by_key(batches, handle):
@@ -170,7 +171,8 @@ def _by_key(batches, handle):
         if held and cut == 0 and held[-1]["a"].iat[-1] == a[-1]:
             held.append(pdf)
             continue
-        yield handle(pd.concat([*held, pdf[:cut]]))
+        if held or cut:
+            yield handle(pd.concat([*held, pdf[:cut]]))
         held = [pdf[cut:]]
     if held:
         yield handle(pd.concat(held))
@@ -186,27 +188,60 @@ def _shared(group: np.ndarray, side: np.ndarray, among: np.ndarray) -> np.ndarra
 
 
 def _dictionary(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Places of one trigger: all but the first of an entry repeat; windows of entries with a side in common need a look."""
-    a, b, doc, pos, info = (pdf[c].to_numpy() for c in ("a", "b", "doc", "pos", "info"))
-    order, new, here = _first_of([a, b], doc, pos)
-    a, doc, pos, info = a[order], doc[order], pos[order], info[order]
+    """Places of one trigger: all but the first of an entry repeat; windows of entries with a side in common need a look.
+
+    The window at ``middle`` reaches SIDE bytes to either side of the trigger. Windows up to it hold the left side, those
+    after it the right one; each part meets those with which it shares that side.
+    """
+    a, b, info = (pdf[c].to_numpy() for c in ("a", "b", "info"))
+    place = [pdf[c].to_numpy() for c in _PLACE]
+    order, new, here = _first_of([a, b], place)
+    a, place, info = a[order], [p[order] for p in place], info[order]
     start = np.r_[True, a[1:] != a[:-1]][: len(a)]
     group = np.cumsum(start) - 1
     entry = new & (np.bincount(group, new, minlength=1) > 1)[group] if len(a) else new
-    left, right = _shared(group, info >> 14 & 0xFFFF, entry), _shared(group, info >> 30 & 0xFFFF, entry)
-    span, middle = info & 127, (info >> 7 & 127) - SIDE  # the window at middle reaches SIDE bytes to either side
-    first = np.where(left, 0, np.maximum(middle, 0))
-    last = np.where(right, span, np.minimum(middle, span))
-    needs = left | right
-    rows = [(~here, pos[~here], span[~here], REPEATS), (needs, (pos + first)[needs], (last - first)[needs], NEEDS)]
-    return pd.concat([_frame(np.zeros(m.sum(), np.int64), np.zeros(m.sum(), np.int64), doc[m], p, n, np.full(m.sum(), kind)) for m, p, n, kind in rows])
+    span, middle = info & 127, (info >> 7 & 127) - SIDE
+    none = np.zeros((~here).sum(), np.int64)
+    out = [_frame(none, none, [p[~here] for p in place], span[~here], REPEATS)]
+    for k, (first, last) in enumerate(((np.zeros_like(middle), np.minimum(middle, span)), (np.maximum(middle + 1, 0), span))):
+        side = info >> (14 + 16 * k) & 0xFFFF
+        m = _shared(group, side, entry) & (first <= last)
+        meet = (a[m].view(np.uint64) ^ (side[m] * 2 + k + 1).astype(np.uint64) * np.uint64(_STEP[0])).view(np.int64)
+        out.append(_frame(meet, np.zeros(len(meet), np.int64), [place[0][m], place[1][m], place[2][m] + first[m]], (last - first)[m], NEEDS))
+    return pd.concat(out, ignore_index=True)
+
+
+def window_ranks(buf: np.ndarray) -> np.ndarray:
+    """The place of every window of ``buf`` in its suffix array, as far as LENGTH bytes tell: equal windows, equal ranks.
+
+    Prefix doubling, on the bytes themselves: 8 bytes as a number, then pairs of ranks at the distance reached.
+    """
+    words = np.zeros(len(buf) - 7, np.uint64)
+    for k in range(8):
+        words = words << np.uint64(8) | buf[k : k + len(words)]
+    rank, have = np.unique(words, return_inverse=True)[1].reshape(-1), 8
+    while have < LENGTH:
+        step = min(have, LENGTH - have)
+        n = len(rank) - step
+        pair = rank[:n].astype(np.uint64) << np.uint64(32) | rank[step:].astype(np.uint64)
+        rank, have = np.unique(pair, return_inverse=True)[1].reshape(-1), have + step
+    return rank
 
 
 def _equals(pdf: pd.DataFrame) -> pd.DataFrame:
-    a, b, doc, pos = (pdf[c].to_numpy() for c in ("a", "b", "doc", "pos"))
-    order, _, here = _first_of([a, b], doc, pos)
-    o, none = order[~here], np.zeros((~here).sum(), np.int64)
-    return _frame(none, none, doc[o], pos[o], none, np.full(len(o), REPEATS))
+    """Windows of the entries of one or more meeting points, in corpus order: all but the first of equals repeat."""
+    raw = pdf["raw"].to_list()
+    size = np.array([len(r) for r in raw])
+    rank = window_ranks(np.frombuffer(b"".join(raw), np.uint8))
+    n, start = size - LENGTH + 1, np.cumsum(size) - size
+    of = np.repeat(np.arange(len(raw)), n)
+    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    place = [pdf[c].to_numpy()[of] for c in _PLACE]
+    place[2] = place[2] + offset
+    order, _, here = _first_of([rank[start[of] + offset]], place)
+    order = order[~here]
+    none = np.zeros(len(order), np.int64)
+    return _frame(none, none, [p[order] for p in place], none, REPEATS)
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -214,8 +249,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(doc.alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
     repeated = bool(docs.groupBy(doc_id).count().where("count > 1").limit(1).count())
-    key = F.shiftrightunsigned(F.xxhash64("raw"), 41) if repeated else F.lit(0).cast("long")
-    return rows.withColumn("key", key)
+    return rows.withColumn("key", F.xxhash64("raw") if repeated else F.lit(0).cast("long"))
 
 
 def _zipped(rows: DataFrame) -> DataFrame:
@@ -231,38 +265,36 @@ def _zipped(rows: DataFrame) -> DataFrame:
 
 
 def repeated_places(rows: DataFrame) -> DataFrame:
-    """(doc, pos, span): all window starts pos .. pos + span that repeat an earlier place; ``rows``: see _keyed."""
+    """(doc, key, pos, span): all window starts pos .. pos + span that repeat an earlier place; ``rows``: see _keyed."""
 
     def parsed(batches):
         for pdf in batches:
             text, lo, info, trigger, entry = phrases(pdf["raw"].to_list())
-            doc, key = pdf["doc"].to_numpy()[text], pdf["key"].to_numpy()[text]
-            yield _local(trigger, entry, doc, (key << _SHIFT) | lo, info)
+            yield _local(trigger, entry, [pdf["doc"].to_numpy()[text], pdf["key"].to_numpy()[text], lo], info)
 
     entries = stage(_deal(rows.select("doc", "key", "raw").mapInPandas(parsed, _ROW)).mapInPandas(lambda b: _by_key(b, _dictionary), _ROW), "entries")
-    needs = entries.where(F.col("kind") == NEEDS).groupBy("doc", F.shiftright("pos", _SHIFT).alias("key")).agg(F.collect_list(F.struct("pos", F.col("info").alias("span"))).alias("spots"))
+    needs = entries.where(F.col("kind") == NEEDS).groupBy("doc", "key").agg(F.collect_list(F.struct("a", "pos", "info")).alias("spots"))
 
-    def windows(batches):
+    def parts(batches):
         import zstandard
 
         unzip = zstandard.ZstdDecompressor().decompress
         for pdf in batches:
-            out = []
+            out, seen = [], set()
             for doc, key, z, spots in zip(pdf["doc"], pdf["key"], pdf["z"], pdf["spots"], strict=True):
-                buf = np.frombuffer(unzip(z), np.uint8)
-                lo = np.array([s["pos"] for s in spots], np.int64) & ((1 << _SHIFT) - 1)
-                change = np.zeros(len(buf) + 1, np.int32)
-                np.add.at(change, lo, 1)
-                np.add.at(change, lo + np.array([s["span"] for s in spots]) + 1, -1)
-                at = np.flatnonzero(np.cumsum(change[:-1]) > 0)
-                out.append((_rolled(buf, LENGTH, 0)[at], _rolled(buf, LENGTH, 1)[at] >> np.uint64(32), np.full(len(at), doc), at | (key << _SHIFT)))
-            if out:
-                a, b, doc, pos = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield _local(a, b, doc, pos, np.zeros(len(a), np.int64))
-
-    found = _deal(needs.join(_zipped(rows), ["doc", "key"]).select("doc", "key", "z", "spots").mapInPandas(windows, _ROW)).mapInPandas(lambda b: _by_key(b, _equals), _ROW)
-    places = ["doc", "pos", F.col("info").cast("int").alias("span")]
-    return entries.where(F.col("kind") == REPEATS).select(*places).unionByName(found.select(*places))
+                if (doc, key) in seen:
+                    continue
+                seen.add((doc, key))
+                raw = unzip(z)
+                out += [(s["a"], doc, key, s["pos"], raw[s["pos"] : s["pos"] + s["info"] + LENGTH], TRAVELS) for s in spots]
+            yield pd.DataFrame(out, columns=["a", "doc", "key", "pos", "raw", "kind"])
+
+    spans = needs.join(_zipped(rows), ["doc", "key"]).select("doc", "key", "z", "spots")
+    spans = spans.mapInPandas(parts, "a long, doc long, key long, pos long, raw binary, kind int")
+    met = spans.repartition(tasks(rows.sparkSession), "a").sortWithinPartitions("a")
+    found = met.mapInPandas(lambda b: _by_key(b, _equals), _ROW)
+    place = [*_PLACE, F.col("info").cast("int").alias("span")]
+    return entries.where(F.col("kind") == REPEATS).select(*place).unionByName(found.select(*place))
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,12 +302,12 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     Removed is each byte that lies in a 100-byte string that also starts earlier: in a document with a smaller id, or
     earlier in the same one; judged on the input. Texts are taken as UTF-8, nulls as empty; a null id comes before all
-    others. Repeated equal rows are one document, and both lose the same; rows that share an id but not a text are
-    ordered by a hash of the text. Texts under 100 bytes never change. An empty table gives an empty table.
+    others. Repeated equal rows are one document, and both lose the same; rows that share an id but not a text, those
+    without an id too, are told apart and ordered by a 64-bit hash of the text. Texts under 100 bytes never change, very
+    long ones are cut in overlapping buffers. Only id and text are read. An empty table gives an empty table.
     """
     rows = _keyed(docs, doc_id, text)
-    spots = repeated_places(rows).groupBy("doc", F.shiftright("pos", _SHIFT).alias("key"))
-    spots = spots.agg(F.collect_list(F.col("pos").bitwiseAND(F.lit((1 << _SHIFT) - 1))).alias("lo"), F.collect_list("span").alias("span"))
+    spots = repeated_places(rows).groupBy("doc", "key").agg(F.collect_list("pos").alias("lo"), F.collect_list("span").alias("span"))
 
     def kept(batches):
         import zstandard

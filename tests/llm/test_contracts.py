@@ -202,6 +202,21 @@ def test_repeats_of_equal_rows_and_ids(spark):
     assert {(r["doc_id"], r["n_removed"]) for r in got} == {(3, len(P1)), (2, 0), (3, naive_repeats({0: P2})[0][1]), (None, 0)}
 
 
+def test_repeats_of_many_rows_without_ids(spark):
+    texts = [f"{i} {P1[: 150 + i % 90]} {i * 7919} {P1[i % 60 :]}" for i in range(4000)]
+    got = rows(repeats.remove_repeats(documents(spark, texts, [None] * len(texts)), text="text").select("n_bytes", "n_removed"))
+    assert len(got) == len(texts) and sum(r["n_removed"] for r in got) > 0.8 * sum(r["n_bytes"] for r in got)
+
+
+def test_window_ranks_are_those_of_the_suffix_array():
+    rng = np.random.default_rng(3)
+    raw = b"".join([bytes(rng.integers(97, 100, 180, np.uint8)), P1.encode() * 2, b"\xff" * 230, P1.encode()])
+    ranks = repeats.window_ranks(np.frombuffer(raw, np.uint8))
+    windows = [raw[i : i + 100] for i in range(len(raw) - 99)]
+    place = {w: k for k, w in enumerate(sorted(set(windows)))}
+    assert ranks.tolist() == [place[w] for w in windows]
+
+
 def test_phrases_do_not_depend_on_the_buffer():
     text = (P1 + P2 * 3 + "be " * 200).encode()
     whole = repeats.phrases([text])
