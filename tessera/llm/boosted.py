@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import beside
+
 N_STATS = 20
 
 
@@ -150,10 +152,13 @@ def train(docs: DataFrame, labels: DataFrame, **how) -> Trees:
     return fit(x[order], got["y"].to_numpy(float)[order] if len(got) else np.zeros(0))
 
 
+@beside("held_out", "score", "predicted")
 def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3, at_most: int = 20_000) -> DataFrame:
     """``docs`` with ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 if score >= threshold).
 
-    Only the text enters a score. Null texts score like empty ones; a null id is not held out. Rows and columns stay.
+    Only the text enters a score. Null texts score like empty ones; a null id is not held out. Rows and columns stay,
+    repeated rows get equal scores; where the caller has a column of an added name, the added one has an underscore behind
+    it. Long texts are measured whole, one row at a time. An empty table gives an empty table.
     """
     model = train(docs, labels, doc_id=doc_id, text=text, at_most=at_most)
 

@@ -61,17 +61,19 @@ def reply_chains(rows: DataFrame) -> DataFrame:
 def _jump(at: DataFrame) -> DataFrame:
     """Every message's chain (its topmost message) and place there, by pointers that double their reach each round.
 
-    ``at``: conv, msg, up (the message it hangs on in its chain, null for the topmost).
+    ``at``: conv, msg, up (the message it hangs on in its chain, null for the topmost). Messages that reply to each other
+    in a circle have no topmost one and go.
     """
     p = at.select("conv", "msg", F.coalesce("up", "msg").alias("head"), F.col("up").isNotNull().cast("long").alias("step"))
     p = stage(p, "pointers")
-    while True:
+    for _ in range(p.count().bit_length() + 1):  # pointers that still move then go round
         far = p.select("conv", F.col("msg").alias("head"), F.col("head").alias("head2"), F.col("step").alias("step2"))
         q = p.join(far, ["conv", "head"]).select("conv", "msg", F.col("head2").alias("head"), (F.col("step") + F.col("step2")).alias("step"), (F.col("step2") > 0).alias("moved"))
         q = stage(q, "pointers")
         if not q.agg(F.max("moved")).first()[0]:
-            return q.select("conv", "msg", "head", "step")
+            break
         p = q.drop("moved")
+    return q.where(~F.col("moved")).select("conv", "msg", "head", "step")
 
 
 def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -116,7 +118,9 @@ def format_trees(messages: DataFrame, *, branches: int = 1, learn: str = "assist
 
     ``messages``: conv (long), msg (long, unique in it), parent (null at a root), role, text, score. Control strings in
     texts and roles are escaped, reversibly. A conversation is one row, as it is one text. Messages whose parent is
-    missing aren't reached from a root and don't appear; an empty table gives an empty table.
+    missing, and those that reply to each other in a circle, aren't reached from a root and don't appear. Of equal scores
+    the branch with the smaller leaf comes first. Texts may be long: a conversation is one row's work. Other columns are
+    left out; an empty table gives an empty table.
     """
     turns = F.transform(F.array_sort(F.collect_list(F.struct("place", "msg", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     rows = paths(messages, branches).groupBy("conv", "branch").agg(turns.alias("turns"))

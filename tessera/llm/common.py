@@ -25,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none, as in tests."""
+    """The folder all executors share: what the session names, or one of our own where everything runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         named = spark.sparkContext.getCheckpointDir()
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if named is None:
         named = tempfile.mkdtemp(prefix="tessera-shared-")
         spark.sparkContext.setCheckpointDir(named)
@@ -42,6 +44,36 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(name: str, columns) -> str:
+    """``name`` with as many underscores behind it as no column (in any case of letters) has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def beside(*added: str):
+    """For operators (docs, ...) that return docs with the columns ``added``: the caller's own columns of these names stay.
+
+    The operator's column then has an underscore behind its name (see free).
+    """
+
+    def wrap(operator):
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **how) -> DataFrame:
+            names = {a.lower() for a in added}
+            own = {c: f"__own_{k}" for k, c in enumerate(docs.columns) if c.lower() in names}
+            if not own:
+                return operator(docs, *args, **how)
+            out = operator(docs.withColumnsRenamed(own), *args, **how)
+            out = out.withColumnsRenamed({a: free(a, docs.columns) for a in added})
+            return out.withColumnsRenamed({v: k for k, v in own.items()})
+
+        return run
+
+    return wrap
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row: a lambda variable isn't inlined into inner lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, let, stage
+from .common import beside, clean_text, let, stage
 
 TRIM = " \t\r"
 
@@ -55,13 +55,15 @@ def widespread(occ: DataFrame, min_sites: int, lg_k: int = 12, band: float = 0.1
     return far.select("h", "g", "first").unionByName(near.join(exact, ["h", "g"], "left_semi").select("h", "g", "first"))
 
 
+@beside("n_lines", "n_removed")
 def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", site: str = "source", min_sites: int = 5) -> DataFrame:
     """Remove lines that ``min_sites`` sites or more show, except each one's first occurrence.
 
     A line is what stands between line feeds, compared without blanks, tabs and carriage returns at its ends; blank
     lines always stay. First means smallest document id, then place. A null site counts as one site, a null text as
     empty (and stays null if nothing is removed), an empty table gives an empty table, repeated rows are one document
-    and are treated alike. All rows and columns stay; added are ``n_lines`` and ``n_removed``.
+    and are treated alike. All rows and columns stay; added are ``n_lines`` and ``n_removed``,
+    with an underscore behind where the caller has such a column.
     """
     occ = occurrences(docs, text, doc_id, site)
     flagged = widespread(occ, min_sites)

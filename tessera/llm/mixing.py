@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import clean_text, stage
+from .common import beside, clean_text, stage
 
 #: Exponents are multiples of 1/GRID; each pass over the source table narrows the range WIDTH-fold.
 GRID, WIDTH = 1024, 32
@@ -64,6 +64,7 @@ def find_exponent(src: DataFrame, *, max_repetition: float | None, target_entrop
     return a, z, budget if budget is not None else total * z * highest ** (1 - a)
 
 
+@beside("n_tokens", "epoch", "block")
 def mix(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source", max_repetition: float | None = 2.0, target_entropy: float | None = None, budget: float | None = None) -> DataFrame:
     """Rows of ``docs``, each as often as its source's weight asks; adds ``n_tokens``, ``epoch`` (from 1) and ``block``.
 
@@ -74,7 +75,8 @@ def mix(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source:
     blocks of a source or the documents of a block.
 
     Null sources are one source '', null texts have no tokens; documents of a source without tokens are read once. An
-    empty table gives an empty table. Repeated rows count as many times.
+    empty table gives an empty table. Repeated rows count as many times. The caller's columns stay: where one has the name
+    of an added one, the added one has an underscore behind it.
     """
     src = stage(shares(docs, text, source), "mix-sources")
     a, z, budget = find_exponent(src, max_repetition=max_repetition, target_entropy=target_entropy, budget=budget)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, let, stage
+from .common import beside, clean_text, let, stage
 
 _WHITE = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -206,12 +206,19 @@ def labelled(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
     return stage(statistics(rows).select(*FEATURES, "bad", "prune"), "rule-sample")
 
 
+#: Counts of the base rules.
+BASE = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+@beside(*FEATURES, *BASE, "base_failed", "kept")
 def judge(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", at_most: int = 20_000) -> DataFrame:
     """``docs`` with the base counts, ``base_failed`` and ``kept``.
 
     The list is learnt from at most ``at_most`` rows of ``labels`` (doc_id, quality: 1 good, 0 bad; nulls are left out,
     of repeated ids the worst counts). Without usable labels the list is empty and only the base rules reject. Null and
-    empty texts have no words and fail the base rules. Every row and column stays; an empty table gives an empty table.
+    empty texts have no words and fail the base rules. Every row and column stays; where the caller has a column of an added
+    name, the added one has an underscore behind it. Of conditions with equal gain the first feature and bound count. A
+    text is one row's work, however long. An empty table gives an empty table.
     """
     rules = learn(labelled(docs, labels, doc_id=doc_id, text=text, at_most=at_most))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

@@ -346,13 +346,14 @@ def similar_pairs(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
 
 
 def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) by similarity: documents linked by a Jaccard similarity of ``similarity`` or more of their word shingles.
+    """(doc_id, row, component_id, first) by similarity: documents linked by a Jaccard similarity of ``similarity`` or more of their word shingles.
 
     Exact but for collisions of 64-bit hashes. Shingles have one order, rare ones first; two sets at the limit share one
     of the first size - least + 1 of each, least being what they must share, so no pair is missed. Documents that share
     such a shingle form a block, apart where sizes rule a link out; equal blocks are one. Inside a block sizes and
     parities tell which may link; what these connect meets with whole sets, each sent once, and is verified there. Which shingles count as common comes from a sample: it bears on the size of
-    blocks, never on the result. Equal sets are one node. Nulls, empty texts, repeats and empty tables: as in
+    blocks, never on the result. Equal sets are one node. ``row`` is a hash of the text, which
+    tells rows of one id apart; ``first`` marks the smallest (doc_id, row) of a component. Nulls, empty texts, repeats and empty tables: as in
     near_duplicates.
     """
     spark = docs.sparkSession
@@ -442,11 +443,12 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     meeting = met.join(sets, "node").repartition(tasks(spark), "block").sortWithinPartitions("block")
     roots = components(meeting.mapInPandas(verified, "a long, b long"))
-    rooted = rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    rooted = rows.select("doc_id", "row", "node").join(roots, "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("root"))
     rooted = stage(rooted, "similar-roots")
-    named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rooted.join(named, "root").select("doc_id", "component_id")
-    return out.unionByName(texts.where("doc_id IS NULL").select("doc_id", F.lit(None).cast(ids).alias("component_id")))
+    named = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    first = F.struct("doc_id", "row").eqNullSafe(F.col("first"))
+    out = rooted.join(named, "root").select("doc_id", "row", F.col("first.doc_id").alias("component_id"), first.alias("first"))
+    return out.unionByName(texts.where("doc_id IS NULL").select("doc_id", "row", F.lit(None).cast(ids).alias("component_id"), F.lit(True).alias("first")))
 
 
 def hex_of(fp: str = "fp"):

@@ -90,6 +90,13 @@ def test_reply_tree_takes_the_best_branch(spark):
     assert chat.format_trees(df.limit(0)).count() == 0
 
 
+def test_reply_circles_and_orphans_do_not_appear(spark):
+    tree = [(1, 1, None), (1, 2, 1), (2, 1, 3), (2, 2, 1), (2, 3, 2), (3, 1, 9), (3, 2, 1), (4, 1, 2), (4, 2, 1), (4, 3, 1), (4, 4, None)]
+    df = spark.createDataFrame([(c, m, p, "user", f"t{m}", 0.0) for c, m, p in tree], "conv long, msg long, parent long, role string, text string, score double")
+    got = {r["conv_id"]: [t for _, t in chat.parse(r["formatted"])] for r in rows(chat.format_trees(df))}
+    assert got == {1: ["t1", "t2"], 4: ["t4"]}
+
+
 def test_chat_nulls_and_ties(spark):
     df = spark.createDataFrame([(None, 0, "user", None), (1, 1, None, "b"), (1, 0, "user", "a"), (1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: r["n_turns"] for r in rows(chat.read_back(chat.format_trees(chat.reply_chains(df))))}

@@ -5,10 +5,11 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tessera.llm")
 import corpus_pipeline  # noqa: E402
-from tessera.llm import line_dedup, mixing, simhash  # noqa: E402
+from tessera.llm import boosted, line_dedup, mixing, quality_rules, simhash  # noqa: E402
 from tests.llm.test_contracts import check_packing, documents, rows  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -194,3 +195,33 @@ def test_similar_groups_equal_brute_force_at_the_limit(spark):
     got = {r["doc_id"]: r["component_id"] for r in rows(simhash.similar_groups(docs))}
     assert got == dict(enumerate(root))
     assert simhash.similar_groups(docs.limit(0)).count() == 0
+
+
+CLASHING = ("n_lines", "N_Removed", "block", "epoch", "n_tokens", "kept", "n_words", "score", "predicted", "row", "first", "piece")
+
+
+def test_columns_of_the_caller_stay(spark):
+    docs = documents(spark)
+    for name in CLASHING:
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    labels = spark.createDataFrame([(4, 1), (3, 0)], "doc_id long, quality int")
+    made = [line_dedup.dedup_lines(docs), mixing.mix(docs), quality_rules.judge(docs, labels), boosted.classify(docs, labels)]
+    for out, added in zip(made, ("n_removed_", "block_", "kept_", "predicted_"), strict=True):
+        assert out.columns[: len(docs.columns)] == docs.columns and added in out.columns
+        got = out.select(*CLASHING).distinct().collect()
+        assert [tuple(r) for r in got] == [tuple(f"own {n}" for n in CLASHING)]
+
+
+def test_stages_on_awkward_tables(spark):
+    docs = documents(spark).unionByName(documents(spark)).withColumn("n_removed", F.lit("own")).withColumn("row", F.lit("own"))
+    for own in (docs, docs.limit(0)):
+        for _, f in corpus_pipeline.STAGES[:-1]:
+            out = f(spark, own, SF)
+            assert out.columns == docs.columns and {tuple(r) for r in out.select("n_removed", "row").distinct().collect()} <= {("own", "own")}
+        corpus_pipeline.pack(spark, own, SF).count()
+
+
+def test_near_copies_under_one_id_are_told_apart(spark):
+    docs = documents(spark, ["a b c d e f g h", "a b c d e f g h", "x y z one two three four", "other words stand here alone"], [1, 2, 2, 2])
+    got = {(r["doc_id"], r["text"][:1]) for r in rows(corpus_pipeline.drop_near_copies(spark, docs, SF))}
+    assert got == {(1, "a"), (2, "x"), (2, "o")}
