@@ -39,6 +39,11 @@ def full(x, n: int, value: Column) -> Column:
     return F.when(F.count(col(x)).over(ts(n)) == n, value)
 
 
+def grown(x) -> Column:
+    """The aggregate product of 1 + x: what compounding the returns x makes of one; a total loss makes it zero for good."""
+    return F.product(1 + col(x))
+
+
 def div(a, b) -> Column:
     """a / b; null where b is zero."""
     return F.try_divide(col(a), col(b))

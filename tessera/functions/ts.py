@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import col, corr_over, div, full, running, ts
+from .base import col, corr_over, div, full, grown, running, ts
 
 
 def _at_least_one(n: int) -> int:
@@ -105,7 +105,7 @@ def ts_rank(x, n: int) -> Column:
 
 def ts_prod(x, n: int) -> Column:
     """Compound return."""
-    return full(x, n, F.expm1(F.sum(F.log1p(col(x))).over(ts(n))))
+    return full(x, n, grown(x).over(ts(n)) - 1)
 
 
 def ewm(x, alpha: float) -> Column:

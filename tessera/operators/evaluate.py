@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import cs as C
-from ..functions.base import corr_of, div, fin, ts
+from ..functions.base import corr_of, div, fin, grown, ts
 
 YEAR = 252
 
@@ -53,10 +53,10 @@ def ic_summary(ic: DataFrame, x: str = "ic", keys: tuple[str, ...] = ()) -> Data
 
 
 def autocorrelation(series: DataFrame, x: str, lag: int = 1) -> DataFrame:
-    """Correlation of a daily series with itself lag rows before, about one common mean."""
+    """Pearson correlation of a daily series with itself ``lag`` rows before; null for fewer than lag + 2 values."""
     d = series.select("trade_date", F.col(x).alias("v")).where("v IS NOT NULL")
-    d = d.withColumn("m", F.avg("v").over(W.partitionBy())).withColumn("p", F.lag("v", lag).over(W.orderBy("trade_date")))
-    return d.agg(F.try_divide(F.sum((F.col("v") - F.col("m")) * (F.col("p") - F.col("m"))), F.sum(F.pow(F.col("v") - F.col("m"), F.lit(2)))).alias("autocorr"))
+    d = d.withColumn("p", F.lag("v", lag).over(W.orderBy("trade_date")))
+    return d.agg(F.when(F.count("*") > lag + 1, corr_of("v", "p")).alias("autocorr"))
 
 
 def newey_west(series: DataFrame, x: str, lags: int) -> DataFrame:
@@ -92,9 +92,9 @@ def pivot_returns(groups: DataFrame, n: int) -> DataFrame:
 
 
 def nav(groups: DataFrame, key: str = "q", ret: str = "ret") -> DataFrame:
-    """Compounded value per key; a missing return counts as zero."""
+    """Compounded value per key; a missing return counts as zero, after a total loss it stays zero."""
     w = W.partitionBy(key).orderBy("trade_date").rowsBetween(W.unboundedPreceding, 0)
-    return groups.withColumn("nav", F.exp(F.sum(F.log1p(F.greatest(F.coalesce(ret, F.lit(0.0)), F.lit(-0.999999)))).over(w)))
+    return groups.withColumn("nav", grown(F.coalesce(ret, F.lit(0.0))).over(w))
 
 
 def long_short(groups: DataFrame, top: int, bottom: int = 1) -> DataFrame:
@@ -106,16 +106,13 @@ def long_short(groups: DataFrame, top: int, bottom: int = 1) -> DataFrame:
 
 def turnover(df: DataFrame, factor: str, n: int) -> DataFrame:
     """1 - overlap / size of the top and the bottom bucket against the session before; the first session is left out."""
-    d = bucketed(df, factor, n).where(F.col("q").isin(1, n)).select("trade_date", "symbol", "q").distinct()
-    cal = bucketed(df, factor, n).where("q IS NOT NULL").select("trade_date").distinct()
-    cal = cal.withColumn("next", F.lead("trade_date").over(W.orderBy("trade_date")))
-    size = d.groupBy("trade_date", "q").agg(F.count("*").alias("size"))
-    before = d.join(cal, "trade_date").where("next IS NOT NULL").select(F.col("next").alias("trade_date"), "symbol", "q")
-    overlap = before.join(d, ["trade_date", "symbol", "q"]).groupBy("trade_date", "q").agg(F.count("*").alias("both"))
-    t = size.join(overlap, ["trade_date", "q"], "left").withColumn("t", 1 - F.coalesce("both", F.lit(0)) / F.col("size"))
-    out = cal.where("next IS NOT NULL").select(F.col("next").alias("trade_date")).join(t, "trade_date", "left")
-    side = lambda q: F.max(F.when(F.col("q") == q, F.col("t")))
-    out = out.groupBy("trade_date").agg(side(n).alias("turnover_long"), side(1).alias("turnover_short"))
+    d = bucketed(df, factor, n).where("q IS NOT NULL").select("trade_date", "symbol", "q")
+    sessions = d.select("trade_date").distinct().withColumn("k", F.row_number().over(W.orderBy("trade_date")))
+    d = d.join(sessions, "trade_date")
+    stayed = (F.lag("q").over(ts()) == F.col("q")) & (F.lag("k").over(ts()) == F.col("k") - 1)
+    d = d.withColumn("stayed", F.coalesce(stayed, F.lit(False))).where("k > 1")
+    side = lambda q: 1 - F.try_divide(F.count_if((F.col("q") == q) & F.col("stayed")), F.count_if(F.col("q") == q))
+    out = d.groupBy("trade_date").agg(side(n).alias("turnover_long"), side(1).alias("turnover_short"))
     both = (F.col("turnover_long") + F.col("turnover_short")) / 2
     return out.withColumn("turnover_avg", F.coalesce(both, F.col("turnover_long"), F.col("turnover_short")))
 
@@ -171,24 +168,28 @@ def filter_zscore(df: DataFrame, columns: list[str], threshold: float = 20.0) ->
     return df.withColumn("__keep", keep).where("__keep").drop("__keep")
 
 
-def performance(returns: DataFrame, key: str, ret: str = "ret", year: int = YEAR) -> DataFrame:
-    """Per strategy: total, yearly return and deviation, Sharpe, Sortino, drawdown, Calmar, win rate, payoff, best, worst."""
+def performance(returns: DataFrame, key: str, ret: str = "ret", year: int = YEAR, risk_free: float = 0.0) -> DataFrame:
+    """Per strategy: total, yearly return and deviation, Sharpe, Sortino, drawdown, Calmar, win rate, payoff, best, worst.
+
+    The yearly return is compound; Sharpe and Sortino take it less ``risk_free`` (yearly). The first peak is the start.
+    """
     w = W.partitionBy(key).orderBy("trade_date").rowsBetween(W.unboundedPreceding, 0)
-    d = returns.where(F.col(ret).isNotNull()).withColumn("nav", F.exp(F.sum(F.log1p(ret)).over(w)))
+    d = returns.where(F.col(ret).isNotNull()).withColumn("nav", grown(ret).over(w))
     d = d.withColumn("dd", F.col("nav") / F.greatest(F.max("nav").over(w), F.lit(1.0)) - 1)
     r, n = F.col(ret), F.count(ret)
-    total = F.exp(F.sum(F.log1p(r))) - 1
-    annual = F.pow(total + 1, F.lit(float(year)) / n) - 1
+    total = grown(r) - 1
+    annual = F.when(total >= -1, F.pow(total + 1, F.lit(float(year)) / n) - 1)
     vol = F.stddev_samp(r) * F.sqrt(F.lit(float(year)))
-    down = F.sqrt(F.avg(F.pow(F.least(r, F.lit(0.0)), F.lit(2)))) * F.sqrt(F.lit(float(year)))
+    down = F.sqrt(F.avg(F.pow(F.least(r - ((1 + risk_free) ** (1 / year) - 1), F.lit(0.0)), F.lit(2)))) * F.sqrt(F.lit(float(year)))
     return d.groupBy(key).agg(
         n.alias("n"),
         total.alias("total"),
         annual.alias("annual"),
         vol.alias("vol"),
-        F.try_divide(F.avg(r) * year, F.when(vol > 1e-12, vol)).alias("sharpe"),
-        F.try_divide(F.avg(r) * year, F.when(down > 1e-12, down)).alias("sortino"),
+        F.try_divide(annual - risk_free, F.when(vol > 1e-12, vol)).alias("sharpe"),
+        F.try_divide(annual - risk_free, F.when(down > 1e-12, down)).alias("sortino"),
         F.min("dd").alias("max_drawdown"),
+        F.count_if(F.col("dd") < -1e-9).alias("underwater"),
         F.try_divide(annual, F.when(F.min("dd") < -1e-12, -F.min("dd"))).alias("calmar"),
         F.avg((r > 0).cast("double")).alias("win_rate"),
         F.try_divide(F.avg(F.when(r > 0, r)), -F.avg(F.when(r < 0, r))).alias("payoff"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.base import div, ts
+from ..functions.base import div, grown, ts
 
 
 def group_daily(bars: DataFrame, group: str) -> DataFrame:
@@ -24,7 +24,7 @@ def group_daily(bars: DataFrame, group: str) -> DataFrame:
 
 def index_level(daily: DataFrame, key: str, base: float = 1.0) -> DataFrame:
     w = W.partitionBy(key).orderBy("trade_date").rowsBetween(W.unboundedPreceding, 0)
-    return daily.withColumn("level", base * F.exp(F.sum(F.log1p(F.coalesce("ret", F.lit(0.0)))).over(w)))
+    return daily.withColumn("level", base * grown(F.coalesce("ret", F.lit(0.0))).over(w))
 
 
 def rotation(levels: DataFrame, bench: DataFrame, key: str, look: int, look_mom: int, smooth: int) -> DataFrame:
@@ -48,7 +48,7 @@ def trailing(daily: DataFrame, key: str, windows) -> DataFrame:
     """Compound return of each group over its newest n rows, for several n."""
     rn = F.row_number().over(W.partitionBy(key).orderBy(F.desc("trade_date")))
     d = daily.withColumn("rn", rn)
-    return d.groupBy(key).agg(*[F.expm1(F.sum(F.when(F.col("rn") <= n, F.log1p("ret")))).alias(f"ret_{n}") for n in windows])
+    return d.groupBy(key).agg(*[(grown(F.when(F.col("rn") <= n, F.col("ret"))) - 1).alias(f"ret_{n}") for n in windows])
 
 
 def streaks(pool: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.base import div, fin, ts
+from ..functions.base import div, fin, grown, ts
 
 
 def sweep(panel: DataFrame, factor: str, sizes: list[int], *, cost: float = 0.001, year: int = 252) -> DataFrame:
@@ -28,7 +28,7 @@ def sweep(panel: DataFrame, factor: str, sizes: list[int], *, cost: float = 0.00
     turn = kept.select("trade_date", rows.alias("x")).select("trade_date", "x.*")
     net = means.join(turn, ["trade_date", "n"]).withColumn("net", F.col("ret") - cost * F.col("turnover"))
     w = W.partitionBy("n").orderBy("trade_date").rowsBetween(W.unboundedPreceding, 0)
-    net = net.withColumn("nav", F.exp(F.sum(F.log1p("net")).over(w)))
+    net = net.withColumn("nav", grown("net").over(w))
     net = net.withColumn("dd", F.col("nav") / F.greatest(F.max("nav").over(w), F.lit(1.0)) - 1)
     std = F.stddev_samp("net")
     return net.groupBy("n").agg(F.count("*").alias("days"), F.avg("net").alias("mean"), F.avg("turnover").alias("turnover"), F.max_by("nav", "trade_date").alias("nav"), F.min("dd").alias("max_drawdown"), F.try_divide(F.avg("net") * (year**0.5), F.when(std > 1e-12, std)).alias("sharpe"))
@@ -55,11 +55,12 @@ def risk_vs_benchmark(returns: DataFrame, bench: DataFrame, key: str, year: int
 
 
 def drawdown_periods(nav: DataFrame, key: str, least: float = 0.05) -> DataFrame:
-    """Episodes from a peak to its recovery, with their trough, at least ``least`` deep."""
+    """Episodes at least ``least`` deep: start (date of the peak), trough, end (date of the recovery, null until then)."""
     w = W.partitionBy(key).orderBy("trade_date").rowsBetween(W.unboundedPreceding, 0)
     d = nav.withColumn("peak", F.max("nav").over(w)).withColumn("dd", F.col("nav") / F.col("peak") - 1)
-    d = d.withColumn("island", F.sum((F.col("dd") == 0).cast("int")).over(w)).where("dd < 0")
-    e = d.groupBy(key, "island").agg(F.min("trade_date").alias("start"), F.min_by("trade_date", "dd").alias("trough"), F.max("trade_date").alias("end"), F.min("dd").alias("depth"), F.count("*").alias("sessions"))
+    d = d.withColumn("island", F.sum((F.col("dd") == 0).cast("int")).over(w))
+    e = d.groupBy(key, "island").agg(F.min("trade_date").alias("start"), F.min_by("trade_date", F.struct("dd", "trade_date")).alias("trough"), F.min("dd").alias("depth"), F.count_if(F.col("dd") < 0).alias("sessions"))
+    e = e.withColumn("end", F.lead("start").over(W.partitionBy(key).orderBy("island"))).select(key, "island", "start", "trough", "end", "depth", "sessions")
     return e.where(F.col("depth") <= -least).drop("island")
 
 

@@ -49,7 +49,7 @@ columns(
         "return_3": f"close / lag(close, 3) {WS} - 1",
         "delay_2": f"lag(close, 2) {WS}",
         "delta_1": f"close - lag(close) {WS}",
-        "prod_4": full("turnover_rate", 4, f"exp(sum(ln(1 + turnover_rate)) {w(4)}) - 1"),
+        "prod_4": full("turnover_rate", 4, f"product(1 + turnover_rate) {w(4)} - 1"),
     },
     digits=4,
     doc="Rolling moments, extremes, shifts and compounding.",

@@ -189,7 +189,7 @@ n AS (SELECT unnest([5, 10, 20, 40]) AS n), m AS (SELECT trade_date, n, avg(r) A
 cal AS (SELECT trade_date, lag(trade_date) OVER (ORDER BY trade_date) AS prev FROM (SELECT DISTINCT trade_date FROM k)),
 t AS (SELECT x.trade_date, n.n, 1 - count(y.symbol) * 1.0 / n.n AS turnover FROM k x JOIN n ON x.k <= n.n JOIN cal ON cal.trade_date = x.trade_date LEFT JOIN k y ON y.trade_date = cal.prev AND y.symbol = x.symbol AND y.k <= n.n GROUP BY 1, 2),
 e AS (SELECT m.trade_date, m.n, turnover, ret - 0.001 * turnover AS net FROM m JOIN t ON m.trade_date = t.trade_date AND m.n = t.n),
-v AS (SELECT *, exp(sum(ln(1 + net)) OVER (PARTITION BY n ORDER BY trade_date ROWS UNBOUNDED PRECEDING)) AS nav FROM e),
+v AS (SELECT *, product(1 + net) OVER (PARTITION BY n ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS nav FROM e),
 w AS (SELECT *, nav / greatest(max(nav) OVER (PARTITION BY n ORDER BY trade_date ROWS UNBOUNDED PRECEDING), 1) - 1 AS dd FROM v)
 SELECT n, count(*) AS days, {_N("avg(net)")} AS mean, {_N("avg(turnover)")} AS turnover, {_N("min(dd)")} AS max_drawdown, {_N("avg(net) * sqrt(252) / stddev_samp(net)")} AS sharpe FROM w GROUP BY n"""
 )

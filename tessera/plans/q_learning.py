@@ -93,7 +93,7 @@ def newey_west(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.newey_west(ic, "ic", 2).select(near(F.col("nw_t")).alias("nw_t"))
 
 
-@query(_IC + f", m AS (SELECT avg(ic) AS m FROM ic), l AS (SELECT ic - m AS a, lag(ic) OVER (ORDER BY trade_date) - m AS b FROM ic, m) SELECT {_N('sum(a * b) / sum(a * a)')} AS autocorr FROM l")
+@query(_IC + f", l AS (SELECT ic AS a, lag(ic) OVER (ORDER BY trade_date) AS b FROM ic) SELECT {_N('corr(a, b)')} AS autocorr FROM l")
 def ic_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
     ic = E.ic_series(panel.evaluated(spark, sf_dir), "factor", "fwd_ret_1")
     return E.autocorrelation(ic, "ic").select(near(F.col("autocorr")).alias("autocorr"))

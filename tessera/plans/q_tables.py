@@ -224,7 +224,7 @@ def group_returns_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(d, *[f"g{k}" for k in range(1, 6)])
 
 
-@query(_B + f", n AS (SELECT trade_date, q, exp(sum(ln(1 + greatest(ret, -0.999999))) OVER (PARTITION BY q ORDER BY trade_date ROWS UNBOUNDED PRECEDING)) AS nav FROM g) SELECT trade_date, q, {_N('nav')} AS nav FROM n")
+@query(_B + f", n AS (SELECT trade_date, q, product(1 + coalesce(ret, 0)) OVER (PARTITION BY q ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS nav FROM g) SELECT trade_date, q, {_N('nav')} AS nav FROM n")
 def quantile_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compounded value of every bucket."""
     return _near(E.nav(E.group_returns(panel.evaluated(spark, sf_dir), "factor", "fwd_ret_1", 5)).select("trade_date", "q", "nav"), "nav")
@@ -322,10 +322,10 @@ def session_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _B
-    + f""", v AS (SELECT q, ret, trade_date, exp(sum(ln(1 + ret)) OVER (PARTITION BY q ORDER BY trade_date ROWS UNBOUNDED PRECEDING)) AS nav FROM g),
+    + f""", v AS (SELECT q, ret, trade_date, product(1 + ret) OVER (PARTITION BY q ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS nav FROM g),
 d AS (SELECT *, nav / greatest(max(nav) OVER (PARTITION BY q ORDER BY trade_date ROWS UNBOUNDED PRECEDING), 1) - 1 AS dd FROM v),
-a AS (SELECT q, count(*) AS n, exp(sum(ln(1 + ret))) - 1 AS total, stddev_samp(ret) * sqrt(252) AS vol, avg(ret) * 252 AS m, min(dd) AS mdd, avg((ret > 0)::INT) AS win, max(ret) AS best, min(ret) AS worst FROM d GROUP BY q)
-SELECT q, n, {_N("total")} AS total, {_N("vol")} AS vol, {_N("m / vol")} AS sharpe, {_N("mdd")} AS max_drawdown, {_N("win")} AS win_rate, {_N("best")} AS best, {_N("worst")} AS worst FROM a"""
+a AS (SELECT q, count(*) AS n, product(1 + ret) - 1 AS total, stddev_samp(ret) * sqrt(252) AS vol, min(dd) AS mdd, avg((ret > 0)::INT) AS win, max(ret) AS best, min(ret) AS worst FROM d GROUP BY q)
+SELECT q, n, {_N("total")} AS total, {_N("vol")} AS vol, {_N("(pow(1 + total, 252.0 / n) - 1) / vol")} AS sharpe, {_N("mdd")} AS max_drawdown, {_N("win")} AS win_rate, {_N("best")} AS best, {_N("worst")} AS worst FROM a"""
 )
 def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Performance of every bucket."""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import base, cs, indicators, ts
-from tessera.operators import evaluate, groups, joins, prep, quality, strategy
+from tessera.operators import evaluate, groups, joins, learning, prep, quality, strategy
 
 DAY = lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
 
@@ -158,7 +158,43 @@ def test_streaks_follow_sessions(spark):
 def test_drawdown_episodes(spark):
     nav = spark.createDataFrame([("s", DAY(k), v) for k, v in enumerate([1.0, 0.9, 0.8, 1.1, 1.0, 1.2])], "k string, trade_date date, nav double")
     got = [(r["start"], r["trough"], r["end"], round(r["depth"], 6)) for r in strategy.drawdown_periods(nav, "k").orderBy("start").collect()]
-    assert got == [(DAY(1), DAY(2), DAY(2), -0.2), (DAY(4), DAY(4), DAY(4), round(1 / 1.1 - 1, 6))]
+    assert got == [(DAY(0), DAY(2), DAY(3), -0.2), (DAY(3), DAY(4), DAY(5), round(1 / 1.1 - 1, 6))]
+    lasting = spark.createDataFrame([("s", DAY(k), v) for k, v in enumerate([1.0, 2.0, 1.0, 1.5])], "k string, trade_date date, nav double")
+    assert [(r["start"], r["trough"], r["end"]) for r in strategy.drawdown_periods(lasting, "k").collect()] == [(DAY(1), DAY(2), None)]
+
+
+def test_a_total_loss_is_final(spark):
+    df = spark.createDataFrame([("A", DAY(k), r) for k, r in enumerate([0.1, -1.0, 0.2])], "symbol string, trade_date date, ret double")
+    assert [r["p"] for r in df.select(ts.ts_prod("ret", 3).alias("p"), "trade_date").orderBy("trade_date").collect()] == [None, None, -1.0]
+    p = evaluate.performance(df, "symbol").first()
+    assert (p["total"], p["annual"], p["max_drawdown"], p["underwater"]) == (-1.0, -1.0, -1.0, 2)
+    assert [r["nav"] for r in evaluate.nav(df.withColumn("q", F.lit(1))).orderBy("trade_date").collect()] == [1.1, 0.0, 0.0]
+    assert [r["level"] for r in groups.index_level(df, "symbol").orderBy("trade_date").collect()] == [1.1, 0.0, 0.0]
+    assert groups.trailing(df, "symbol", [3]).first()["ret_3"] == -1.0
+
+
+def test_performance_and_autocorrelation_by_hand(spark):
+    df = spark.createDataFrame([("A", DAY(k), r) for k, r in enumerate([0.1, -0.1, 0.2])], "symbol string, trade_date date, ret double")
+    p = evaluate.performance(df, "symbol", year=3, risk_free=0.05).first()
+    vol = math.sqrt(((0.1 - 0.2 / 3) ** 2 + (0.1 + 0.2 / 3) ** 2 + (0.2 - 0.2 / 3) ** 2) / 2 * 3)
+    assert abs(p["annual"] - 0.188) < 1e-12 and abs(p["sharpe"] - (0.188 - 0.05) / vol) < 1e-9
+    ic = spark.createDataFrame([(DAY(k), v) for k, v in enumerate([1.0, 2.0, 4.0, 3.0])], "trade_date date, ic double")
+    x, y = [2.0, 4.0, 3.0], [1.0, 2.0, 4.0]
+    dx, dy = [v - 3 for v in x], [v - 7 / 3 for v in y]
+    want = sum(a * b for a, b in zip(dx, dy, strict=True)) / math.sqrt(sum(a * a for a in dx) * sum(b * b for b in dy))
+    assert abs(evaluate.autocorrelation(ic, "ic").first()["autocorr"] - want) < 1e-9
+    assert evaluate.autocorrelation(ic.limit(2), "ic").first()["autocorr"] is None
+
+
+def test_ridge_is_the_penalised_sum_of_squares(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(40, 2))
+    y = x @ [2.0, -1.0] + 3 + rng.normal(size=40)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)], "a double, b double, label double")
+    xc, yc = x - x.mean(0), y - y.mean()
+    w = np.linalg.solve(xc.T @ xc + 5 * np.eye(2), xc.T @ yc)
+    got = [r["prediction"] for r in learning.ridge_predictions(df, df, ["a", "b"], lam=5.0).collect()]
+    assert np.allclose(got, y.mean() + xc @ w)
 
 
 def test_division_by_zero_is_null(spark):
