@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stage
+from .common import stage, tasks
 
 #: Rows of a shard of candidates and of a pack of queries, rows of the first sample, growth of the samples.
-SHARD, QUERIES, SEED, GROWTH = 8192, 4096, 4096, 4
+SHARD, QUERIES, SEED, GROWTH = 4096, 4096, 4096, 4
 #: Non-essential terms probed before candidates are dropped again.
 PROBE = 8
 _LEAST = -(1 << 63)
@@ -65,7 +65,7 @@ class Postings:
         slack = 1e-9 * (np.abs(low) + np.abs(high)).sum() + 1e-6
         most = np.minimum(rest, length * self.norm.max()) + slack
         e = int(np.argmax(most < floor)) if floor > _LEAST and most[-1] < floor else len(q)
-        score = q[order[:e]] @ self.columns[order[:e]]
+        score = q[order[:e]] @ self.columns[order[:e]] if e < len(q) else q @ self.columns
         self.read += e * len(self.ids)
         at = np.arange(len(self.ids))
         while True:
@@ -115,7 +115,8 @@ def _pass(asked: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
                     out.append((np.full(len(at), q_id), ids[at], s, copies[at]))
                 yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score", "copies"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    met = packs.join(shards.hint("shuffle_hash"), "pack").select(*names)
+    n_tasks = tasks(asked.sparkSession)  # a pair of packs is much work and few bytes, so partitions aren't to be merged
+    met = packs.repartition(n_tasks, "pack").join(shards.repartition(n_tasks, "pack").hint("shuffle_hash"), "pack").select(*names)
     return met.mapInPandas(scored, "query_id long, vec_id long, score long, copies long")
 
 
