@@ -73,8 +73,9 @@ def configurations(counts: np.ndarray, size: int, *, step: float = 0.3, tilt: fl
 
     Covering program: the fewest sequences such that every length is covered counts[l] times. Multiplicative weights: a
     length's weight falls as it gets covered. Each round prices the most valuable filling of a sequence, a piece
-    counting its share of the room and up to ``tilt`` of that more by weight and length, from the ``partial`` lengths of the
-    largest weight, from four times as many where these don't fill it, and at last from all. Use goes by powers of two, from the largest count down to
+    counting its share of the room and up to ``tilt`` of that more by weight and length, from ``partial`` lengths (half of
+    them those of the largest weight, half spread evenly over all that are left, so that sums come out), from four times
+    as many where these don't fill it, and at last from all. Use goes by powers of two, from the largest count down to
     one: at ``unit``, a filling takes of each length no more copies than are left for ``unit`` sequences, so it is used
     a whole number of times, ``unit`` or until its least covered length has moved one step, and there is nothing to
     round. A unit ends when nothing fills a sequence to within ``gap``, the program when that holds for unit one or
@@ -91,8 +92,9 @@ def configurations(counts: np.ndarray, size: int, *, step: float = 0.3, tilt: fl
         value[have] = have / size * (1 + tilt * (weight + have / size) / 2)
         order = have[np.lexsort((-have, -weight))]
         for n in (partial, 4 * partial, len(order)):
-            some = np.zeros(len(counts))
-            some[order[:n]] = value[order[:n]]
+            some, even = np.zeros(len(counts)), np.linspace(0, len(have) - 1, n - n // 2).astype(int)
+            among = np.append(order[: n // 2], have[even]) if n < len(have) else have
+            some[among] = value[among]
             _, config = price(some, size, most)
             if full := sum(n * k for n, k in config.items()) >= (1 - gap) * size:
                 break
