@@ -40,6 +40,27 @@ def cited(claims: DataFrame, sources: DataFrame, *, by: str) -> DataFrame:
     return j.withColumn("status", F.when(F.col("source_text").isNull(), "no source").when(F.contains(normalised("source_text"), normalised("quote")), "found").otherwise("absent")).drop("source_text")
 
 
+def _words(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), 0)
+
+
+def quoted(quotes: DataFrame, sources: DataFrame, *, item: str, by: str, run: int = 8) -> DataFrame:
+    """(item, source) of every source whose words hold all of a quote's words in a row; an item found nowhere has a null source.
+
+    Words are compared in lower case. A quote meets the sources that share the hash of its first ``run`` words by an equi-join,
+    then all its words are compared; quotes of fewer words or none are left out. Texts travel only where a hash agrees.
+    """
+    spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    q = quotes.select(F.col(item), _words("text").alias("w")).where(F.size("w") >= run)
+    q = q.select(item, F.xxhash64(F.slice("w", 1, run)).alias("h"), spaced(F.col("w")).alias("quote"))
+    s = sources.select(F.col(by), _words("text").alias("w"), spaced(_words("text")).alias("said")).where(F.size("w") >= run)
+    at = F.sequence(F.lit(1), F.size("w") - (run - 1))
+    seen = s.select(by, F.explode(F.array_distinct(F.transform(at, lambda k: F.xxhash64(F.slice("w", k, run))))).alias("h"))
+    meet = seen.join(q.select(item, "h"), "h").select(item, by).distinct()
+    found = meet.join(q.select(item, "quote"), item).join(s.select(by, "said"), by).where(F.contains("said", "quote")).select(item, by).distinct()
+    return q.select(item).distinct().join(found, item, "left")
+
+
 def within_budget(df: DataFrame, group: str, order: list, text: str, most: int) -> DataFrame:
     """Rows of each group in order while the bytes so far stay within the budget."""
     size = F.sum(F.octet_length(text)).over(W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))

@@ -265,11 +265,17 @@ def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.table(spark, sf_dir, "documents").select("doc_id", feeds.redact("text").alias("text"))
 
 
-@query("WITH c AS (SELECT item_id, text AS quote, item_id % 50 AS doc_id FROM benchmark) SELECT c.item_id, c.doc_id, CASE WHEN d.text IS NULL THEN 'no source' WHEN contains(lower(regexp_replace(d.text, '\\s+', '', 'g')), lower(regexp_replace(c.quote, '\\s+', '', 'g'))) THEN 'found' ELSE 'absent' END AS status FROM c LEFT JOIN documents d ON c.doc_id = d.doc_id")
+_SAID = lambda t: f"(' ' || array_to_string(regexp_extract_all(lower({t}), '[^\\x20\\x09-\\x0D]+'), ' ') || ' ')"
+
+
+@query(
+    f"""WITH q AS (SELECT item_id, {_SAID('text')} AS quote FROM benchmark WHERE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) >= 8), d AS (SELECT doc_id, {_SAID('text')} AS said FROM documents)
+SELECT DISTINCT q.item_id, d.doc_id, CASE WHEN d.doc_id IS NULL THEN 'absent' ELSE 'found' END AS status FROM q LEFT JOIN d ON contains(said, quote)"""
+)
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether quoted passages stand in the documents they cite."""
-    claims = panel.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), (F.col("item_id") % 50).alias("doc_id"))
-    return feeds.cited(claims, panel.table(spark, sf_dir, "documents"), by="doc_id").select("item_id", "doc_id", "status")
+    """Every document in which a benchmark passage stands whole, and the passages that stand in none."""
+    d = feeds.quoted(panel.table(spark, sf_dir, "benchmark"), panel.table(spark, sf_dir, "documents"), item="item_id", by="doc_id")
+    return d.withColumn("status", F.when(F.col("doc_id").isNull(), "absent").otherwise("found"))
 
 
 @query("SELECT doc_id, source, bytes_so_far::BIGINT AS bytes_so_far FROM (SELECT doc_id, source, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS bytes_so_far FROM documents) WHERE bytes_so_far <= 50000")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import base, cs, indicators, ts
-from tessera.operators import evaluate, groups, joins, learning, prep, quality, strategy
+from tessera.operators import evaluate, feeds, groups, joins, learning, prep, quality, strategy
 
 DAY = lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
 
@@ -229,3 +229,18 @@ def test_missing_dates_of_every_symbol(spark):
     have = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("c", 3)], "symbol string, trade_date int")
     got = sorted(map(tuple, quality.missing_by_symbol(have, have).collect()))
     assert got == [("a", 3), ("b", 1), ("b", 3), ("c", 1), ("c", 2)]
+
+
+def test_quoted_finds_every_source(spark):
+    quote = "one two three four five six seven eight nine"
+    quotes = spark.createDataFrame([(1, quote), (2, "a b c d e f g h"), (3, "short"), (4, None), (5, quote)], "item long, text string")
+    texts = [(10, f"Zero {quote.upper()}\n ten"), (11, quote.replace("nine", "ninety")), (12, None), (13, f"{quote} {quote}"), (14, quote.replace(" ", "\t"))]
+    sources = spark.createDataFrame(texts, "doc long, text string")
+    got = {tuple(r) for r in feeds.quoted(quotes, sources, item="item", by="doc").collect()}
+    assert got == {(i, d) for i in (1, 5) for d in (10, 13, 14)} | {(2, None)}
+
+
+def test_cited_in_the_named_source(spark):
+    claims = spark.createDataFrame([(1, "A  b"), (1, "x"), (9, "A")], "doc long, quote string")
+    got = feeds.cited(claims, spark.createDataFrame([(1, "so a B c")], "doc long, text string"), by="doc")
+    assert sorted((r["doc"], r["status"]) for r in got.collect()) == [(1, "absent"), (1, "found"), (9, "no source")]
