@@ -134,7 +134,7 @@ class PieceCoder:
     token, are cut at white space only and go through all of the library.
     """
 
-    LIMIT = 800_000
+    LIMIT = 1_600_000
 
     def __init__(self, path: str, chunks, whole, odd: tuple[str, ...], narrow: str, wide: str, special: str, mark: str, lower: bool):
         """mark: a character with an id of its own; it keeps many pieces apart in one call. whole(chunk): its text."""
