@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stage
+from .common import as_long, as_text, stage
 
 START, END, BREAK = "<|im_start|>", "<|im_end|>\n", "<|br|>"
 _MARK, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -52,8 +52,7 @@ def reply_chains(rows: DataFrame) -> DataFrame:
     Equal turns are ordered by role and text. Null roles and texts are empty; rows without a conversation are one
     conversation of their own.
     """
-    conv = F.coalesce(F.col("conv_id").cast("long"), F.lit(-(1 << 63)))
-    rows = rows.select(conv.alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select(F.coalesce(as_text("conv_id"), F.lit("")).alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     n = F.row_number().over(W.partitionBy("conv").orderBy("turn", "role", "text")).cast("long")
     return rows.select("conv", n.alias("msg"), F.when(n > 1, n - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
@@ -116,24 +115,24 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 def format_trees(messages: DataFrame, *, branches: int = 1, learn: str = "assistant") -> DataFrame:
     """(conv_id, branch, formatted, loss_spans) for the best paths of all reply trees.
 
-    ``messages``: conv (long), msg (long, unique in it), parent (null at a root), role, text, score. Control strings in
+    ``messages``: conv (long, or its digits; null or empty: none), msg (long, unique in it), parent (null at a root), role, text, score. Control strings in
     texts and roles are escaped, reversibly. A conversation is one row, as it is one text. Messages whose parent is
     missing, and those that reply to each other in a circle, aren't reached from a root and don't appear. Of equal scores
     the branch with the smaller leaf comes first. Texts may be long: a conversation is one row's work. Other columns are
     left out; an empty table gives an empty table.
     """
     turns = F.transform(F.array_sort(F.collect_list(F.struct("place", "msg", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    messages = messages.withColumn("conv", F.coalesce(F.col("conv").cast("string"), F.lit("")))
     rows = paths(messages, branches).groupBy("conv", "branch").agg(turns.alias("turns"))
 
     def formatted(batches):
         for pdf in batches:
             done = [template([(t["role"], t["text"]) for t in own], learn) for own in pdf["turns"]]
-            conv = [None if c == -(1 << 63) else c for c in pdf["conv"]]
-            out = pd.DataFrame({"conv_id": pd.array(conv, "Int64"), "branch": pdf["branch"], "formatted": [f for f, _ in done]})
+            out = pd.DataFrame({"conv_id": [c or None for c in pdf["conv"]], "branch": pdf["branch"], "formatted": [f for f, _ in done]})
             out["loss_spans"] = [[{"start": a, "length": n} for a, n in s] for _, s in done]
             yield out
 
-    return rows.mapInPandas(formatted, "conv_id long, branch int, formatted string, loss_spans array<struct<start: long, length: long>>")
+    return as_long(rows.mapInPandas(formatted, "conv_id string, branch int, formatted string, loss_spans array<struct<start: long, length: long>>"), "conv_id")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -148,7 +147,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 loss = "".join(unescape(text[s["start"] : s["start"] + s["length"]]) for s in spans)
                 sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
                 out.append((conv, len(turns), sha(whole), len(loss), sha(loss), len(text)))
-            frame = pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-            yield frame.astype({"conv_id": "Int64"})
+            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.mapInPandas(digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    rows = formatted.withColumn("conv_id", as_text("conv_id"))
+    return as_long(rows.mapInPandas(digests, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"), "conv_id")

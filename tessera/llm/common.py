@@ -83,6 +83,16 @@ def clean_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def as_text(name: str) -> Column:
+    """An id for a pandas frame: beside nulls pandas holds longs as floats, and those above 2**53 would lose digits."""
+    return F.col(name).cast("long").cast("string")
+
+
+def as_long(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    """Back from ``as_text``."""
+    return df.withColumn(name, F.col(name).cast("long"))
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stage, tokenizer_path, word_coder
+from .common import as_long, as_text, stage, tokenizer_path, word_coder
 
 #: Rows of one length are ranked inside this many hash classes.
 CLASSES = 256
@@ -18,7 +18,7 @@ CLASSES = 256
 
 def pieces(docs: DataFrame, *, path: str, doc_id: str = "doc_id", text: str = "text", size: int = 4096, end: int = 1) -> DataFrame:
     """A row per piece of each document: doc_id, row (tells apart rows of one id), piece, start, length, ids_crc32."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(as_text(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def cut(batches):
         coder = word_coder(path)
@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, *, path: str, doc_id: str = "doc_id", text: str = "t
                         out.append((ids_of.iat[at + k], row, piece, first, len(part), zlib.crc32(part.tobytes())))
             yield pd.DataFrame(out, columns=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
-    return rows.mapInPandas(cut, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
+    return as_long(rows.mapInPandas(cut, "doc_id string, row long, piece int, start long, length long, ids_crc32 long"))
 
 
 def price(value: np.ndarray, size: int, most: np.ndarray | None = None) -> tuple[float, dict[int, int]]:
@@ -202,4 +202,5 @@ def pack(docs: DataFrame, *, path: str | None = None, doc_id: str = "doc_id", te
             sequence, place = np.divmod(rank - r["rank"][k], r["each"][k])
             yield pdf.assign(sequence_id=r["sequence"][k] + sequence, offset=r["offset"][k] + place * length)
 
-    return ranked.mapInPandas(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = ranked.withColumn("doc_id", as_text("doc_id"))
+    return as_long(ranked.mapInPandas(placed, "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_coder, shared_dir, stage, tasks, tokenizer_path
+from .common import as_long, as_text, byte_coder, shared_dir, stage, tasks, tokenizer_path
 
 SCALE, LANES, SEGMENT, BLOCK = 20, 2048, 1 << 18, 1 << 18
 _LOW = np.uint64(1 << 31)
@@ -140,7 +140,8 @@ def _token_ids(rows: DataFrame, path: str, end: int, width: str) -> DataFrame:
                 own = [np.append(small[b - n : b], np.array(end, width)).tobytes() for b, n in zip(stop.tolist(), counts.tolist(), strict=True)]
                 yield pdf.iloc[at : at + len(counts)].assign(ids=own)
 
-    return rows.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInPandas(coded, "doc_id long, tie long, ids binary")
+    coded_rows = rows.select(as_text("doc_id").alias("doc_id"), F.xxhash64("text").alias("tie"), "text").mapInPandas(coded, "doc_id string, tie long, ids binary")
+    return as_long(coded_rows)
 
 
 def frequencies(coded: DataFrame, width: str, vocabulary: int) -> np.ndarray:
@@ -201,8 +202,7 @@ def write(docs: DataFrame, *, path: str | None = None, doc_id: str = "doc_id", t
             yield closed()
 
     dealt = ids_of.repartitionByRange(tasks(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    # ids above 2**53 would lose digits beside nulls in pandas
-    dealt = dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "ids")
+    dealt = dealt.select(as_text("doc_id").alias("doc_id"), "ids")
     blocks = dealt.mapInPandas(coded, "shard int, block int, docs long, ids long, payload binary")
     blocks.write.option("compression", "none").parquet(f"{folder}/blocks")
     return folder

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, tasks
+from .common import as_long, stage, tasks
 
 LENGTH, TRIGGER = 100, 16
 #: A window reaches SIDE bytes beyond its trigger on the left or on the right.
@@ -245,11 +245,13 @@ def _equals(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc (null: the smallest long), key (0, or a hash of the text where ids repeat), zipped text."""
-    doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(doc.alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
-    repeated = bool(docs.groupBy(doc_id).count().where("count > 1").limit(1).count())
-    return rows.withColumn("key", F.xxhash64("raw") if repeated else F.lit(0).cast("long"))
+    """doc (null: the smallest long), key (a hash of the text where ids repeat; negative where there is no id), raw text."""
+    own = F.col(doc_id).cast("long")
+    doc = F.coalesce(own, F.lit(-(1 << 63)))
+    rows = docs.select(doc.alias("doc"), own.isNull().alias("none"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
+    repeated = bool(docs.groupBy(own).count().where("count > 1").limit(1).count())
+    tie = F.shiftrightunsigned(F.xxhash64("raw"), 1) if repeated else F.lit(0).cast("long")
+    return rows.select("doc", F.when(F.col("none"), -1 - tie).otherwise(tie).alias("key"), "raw")
 
 
 def _zipped(rows: DataFrame) -> DataFrame:
@@ -303,7 +305,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     Removed is each byte that lies in a 100-byte string that also starts earlier: in a document with a smaller id, or
     earlier in the same one; judged on the input. Texts are taken as UTF-8, nulls as empty; a null id comes before all
     others. Repeated equal rows are one document, and both lose the same; rows that share an id but not a text, those
-    without an id too, are told apart and ordered by a 64-bit hash of the text. Texts under 100 bytes never change, very
+    without an id too, are told apart and ordered by a 63-bit hash of the text. Texts under 100 bytes never change, very
     long ones are cut in overlapping buffers. Only id and text are read. An empty table gives an empty table.
     """
     rows = _keyed(docs, doc_id, text)
@@ -315,7 +317,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         unzip = zstandard.ZstdDecompressor().decompress
         for pdf in batches:
             out = []
-            for doc, z, lo, span in zip(pdf["doc"], pdf["z"], pdf["lo"], pdf["span"], strict=True):
+            for doc, key, z, lo, span in zip(pdf["doc"], pdf["key"], pdf["z"], pdf["lo"], pdf["span"], strict=True):
                 raw = unzip(z)
                 change = np.zeros(len(raw) + 1, np.int32)
                 if lo is not None:
@@ -325,9 +327,8 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                 gone = np.cumsum(change[:-1]) > 0
                 left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                out.append((None if doc == -(1 << 63) else doc, len(raw), int(gone.sum()), runs, hashlib.sha256(left).hexdigest(), left))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-            yield frame.astype({"doc_id": "Int64"})
+                out.append((None if key < 0 else str(doc), len(raw), int(gone.sum()), runs, hashlib.sha256(left).hexdigest(), left))
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = _zipped(rows).join(spots, ["doc", "key"], "left").select("doc", "z", "lo", "span")
-    return joined.mapInPandas(kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    joined = _zipped(rows).join(spots, ["doc", "key"], "left").select("doc", "key", "z", "lo", "span")
+    return as_long(joined.mapInPandas(kept, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
