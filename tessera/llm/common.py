@@ -146,8 +146,8 @@ class PieceCoder:
 
     LIMIT = 1_600_000
 
-    def __init__(self, path: str, chunks, whole, odd: tuple[str, ...], narrow: str, wide: str, special: str, mark: str, lower: bool):
-        """mark: a character with an id of its own; it keeps many pieces apart in one call. whole(chunk): its text."""
+    def __init__(self, path: str, chunks, whole, odd: tuple[str, ...], narrow: str, wide: str, special: str, mark: str, lower: bool, limit: int = LIMIT):
+        """limit: pieces held. mark: a character with an id of its own; it keeps many pieces apart in one call. whole(chunk): its text."""
         import os
         import re
 
@@ -158,7 +158,7 @@ class PieceCoder:
         self.model = Tokenizer(self.whole.model)
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.narrow, self.wide, self.special = (re.compile(p).findall for p in (narrow, wide, special))
-        self.chunks, self.text_of, self.odd, self.mark, self.lower = chunks, whole, odd, mark, lower
+        self.chunks, self.text_of, self.odd, self.mark, self.lower, self.limit = chunks, whole, odd, mark, lower, limit
         (self.mark_id,) = self.whole.encode(mark, add_special_tokens=False).ids
         of_byte = _byte_characters()
         self.written = {c: "".join(of_byte[b] for b in chr(c).encode()) for c in range(256)}
@@ -197,7 +197,7 @@ class PieceCoder:
 
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
-        if sum(map(len, self.tables.values())) > self.LIMIT:
+        if sum(map(len, self.tables.values())) > self.limit:
             self.reset()
         kinds, done = [self._kind(t) for t in texts], {}
         for kind in set(kinds):
@@ -273,4 +273,4 @@ def word_coder(path: str) -> PieceCoder:
     """For word_bpe_49k: lower case; white space is dropped and separates words, numbers stand by the digit."""
     narrow = rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_WS}{_LETTER}{_NUMBER}]+"
     special = r"<\|(?:start|end)oftext\|>"
-    return PieceCoder(path, lambda t: t.lower().split(), str, tuple("\x1c\x1d\x1e\x1f"), narrow, rf"[^{_WS}]+", rf"{special}|(?:(?!{special})[^{_WS}])+", "\x01", True)
+    return PieceCoder(path, lambda t: t.lower().split(), str, tuple("\x1c\x1d\x1e\x1f"), narrow, rf"[^{_WS}]+", rf"{special}|(?:(?!{special})[^{_WS}])+", "\x01", True, PieceCoder.LIMIT // 2)

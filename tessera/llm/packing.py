@@ -68,23 +68,41 @@ def price(value: np.ndarray, size: int, most: np.ndarray | None = None) -> tuple
     return float(best[size]), config
 
 
-def configurations(counts: np.ndarray, size: int, *, step: float = 0.3, tilt: float = 0.05, partial: int = 96, gap: float = 0.01) -> tuple[list[tuple[int, dict[int, int]]], np.ndarray]:
-    """(how many sequences, pieces by length in each) of the covering program, and the counts it leaves.
+def configurations(counts: np.ndarray, size: int, *, levels: int = 10, rest: float = 0.02, **how):
+    """Yields (plan, counts it leaves) after each level; a plan lists (how many sequences, pieces by length in each).
+
+    Covering program: the fewest sequences such that every length is covered counts[l] times. Its solution uses all
+    lengths in proportion; so the program is covered in ``levels`` equal shares of every count (rounded by a fixed
+    fraction of each length's own, so that single pieces are spread over the levels), each by multiplicative weights
+    (see covering). What a level can't fill stays for the next one. ``rest`` of every count isn't covered: it is a like
+    picture of the whole histogram, from which best fit closes what room is left.
+    """
+    own = np.arange(len(counts)) * ((5**0.5 - 1) / 2) % 1
+    left, plan = counts.astype(np.int64).copy(), []
+    for k in range(1, levels + 1):
+        share = np.minimum(counts, np.floor(min(k / levels, 1 - rest) * counts + own).astype(np.int64)) - (counts - left)
+        got, over = covering(share, size, **how)
+        plan = plan + got
+        left = left - (share - over)
+        yield plan, left
+
+
+def covering(counts: np.ndarray, size: int, *, step: float = 0.3, tilt: float = 0.002, partial: int = 96, gap: float = 0.0003) -> tuple[list[tuple[int, dict[int, int]]], np.ndarray]:
+    """Like configurations, for one share: multiplicative weights with knapsack pricing.
 
-    Covering program: the fewest sequences such that every length is covered counts[l] times. Multiplicative weights: a
-    length's weight falls as it gets covered. Each round prices the most valuable filling of a sequence, a piece
+    A length's weight falls as it gets covered. Each round prices the most valuable filling of a sequence, a piece
     counting its share of the room and up to ``tilt`` of that more by weight and length, from ``partial`` lengths (half of
     them those of the largest weight, half spread evenly over all that are left, so that sums come out), from four times
-    as many where these don't fill it, and at last from all. Use goes by powers of two, from the largest count down to
-    one: at ``unit``, a filling takes of each length no more copies than are left for ``unit`` sequences, so it is used
-    a whole number of times, ``unit`` or until its least covered length has moved one step, and there is nothing to
-    round. A unit ends when nothing fills a sequence to within ``gap``, the program when that holds for unit one or
-    ``gap`` of the pieces or fewer are left.
+    as many where these don't fill it, and at last from all. Shares of the room are a solution of the dual program, so a
+    filling without room left is an optimal column, whatever its weights; these choose among such. Use goes by powers of
+    two, from the largest count down to one: at ``unit``, a filling takes of each length no more copies than are left for
+    ``unit`` sequences, so it is used a whole number of times, ``unit`` or until its least covered length has moved one
+    step. A unit ends when nothing fills a sequence to within ``gap``.
     """
-    left, total = counts.astype(np.int64).copy(), int(counts.sum())
+    left = counts.astype(np.int64).copy()
     plan: list[tuple[int, dict[int, int]]] = []
     unit = 1 << max(0, int(left.max()).bit_length() - 1)
-    while unit and left.sum() > gap * total:
+    while unit and left.any():
         most = left // unit
         have = np.flatnonzero(most)
         weight = np.exp((left[have] / counts[have] - 1) / step * np.log(2))
@@ -111,9 +129,13 @@ def configurations(counts: np.ndarray, size: int, *, step: float = 0.3, tilt: fl
 def solve(counts: np.ndarray, size: int) -> list[tuple[int, dict[int, int]]]:
     """(how many sequences, pieces by length in each) for a histogram of lengths below ``size``.
 
-    The configuration program's sequences; what it leaves is placed by best fit, longest first, on the histogram.
+    The configuration program's sequences; what it leaves is placed by best fit, longest first, on the histogram. Where
+    large pieces find no partners, the deeper levels take what best fit needs: of the last two depths and the first the
+    one with the fewest sequences counts, of equals the deepest.
     """
-    return _best_fit(*configurations(counts, size), size)
+    first, *_, before, last = configurations(counts, size)
+    full = [_best_fit(list(plan), left, size) for plan, left in (last, before, first)]
+    return min(full, key=lambda groups: sum(n for n, _ in groups))
 
 
 def _best_fit(plan: list[tuple[int, dict[int, int]]], left: np.ndarray, size: int) -> list[tuple[int, dict[int, int]]]:

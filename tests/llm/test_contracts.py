@@ -154,7 +154,7 @@ def test_configurations_carry_a_wide_skewed_histogram():
     lengths = np.minimum(4095, np.exp(rng.normal(5.5, 1.3, 12_000)).astype(int) + 1)
     counts = np.bincount(np.r_[lengths, np.full(3000, 37), np.full(500, 1500)], minlength=4097)
     assert (counts > 0).sum() > 1000 and ((counts > 0) & (counts * np.arange(4097) < 4096)).sum() > 700
-    plan, left = packing.configurations(counts, 4096)
+    *_, (plan, left) = packing.configurations(counts, 4096)
     assert left.min() >= 0 and left.sum() <= 0.03 * counts.sum()
     assert all(4055 <= sum(n * k for n, k in config.items()) <= 4096 for _, config in plan)
     done = packing.solve(counts, 4096)
@@ -166,6 +166,16 @@ def test_configurations_carry_a_wide_skewed_histogram():
     assert sum(n for n, _ in done) <= 1.002 * -(-(counts * np.arange(4097)).sum() // 4096) + 1
 
 
+@pytest.mark.parametrize(("mean", "spread", "n"), [(5.5, 1.3, 100_000), (6.2, 0.9, 60_000), (7.4, 0.5, 30_000)])
+def test_the_program_needs_no_more_sequences_than_best_fit_alone(mean, spread, n):
+    lengths = np.minimum(4095, np.exp(np.random.default_rng(1).normal(mean, spread, n)).astype(int) + 1)
+    counts = np.bincount(lengths, minlength=4097)
+    done = packing.solve(counts, 4096)
+    alone = packing._best_fit([], counts.copy(), 4096)
+    assert sum(k for k, _ in done) <= sum(k for k, _ in alone)
+    assert sum(k * sum(config.values()) for k, config in done) == n
+
+
 def test_pricing_is_the_knapsack_optimum():
     value = np.zeros(31)
     value[[4, 7, 11]] = [5.0, 9.5, 15.0]
