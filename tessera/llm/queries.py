@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosted, chat, infill, line_dedup, maxscore, merkle, mixing, packing, quality_rules, rans, repeats, simhash
+from . import boosted, chat, infill, line_dedup, maxscore, merkle, mixing, onebit, packing, quality_rules, rans, repeats, simhash
 from .common import table
 
 
@@ -59,6 +59,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = onebit.real_vectors(table(spark, sf_dir, "embeddings"))
+    return onebit.search(vectors.where(F.col("vec_id") % 100 == 0), vectors)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(table(spark, sf_dir, "documents"))
 
@@ -80,6 +85,7 @@ QUERIES = {
         op8_token_output,
         op9_maxscore_topk,
         op10_quality_classifier,
+        op11_one_bit_search,
         op12_fill_in_middle,
         op13_merkle_manifest,
     )

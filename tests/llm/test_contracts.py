@@ -536,4 +536,4 @@ def test_trees_match_a_walk():
 
 
 def test_registered_names():
-    assert len(queries.QUERIES) == 10 and json.dumps(sorted(queries.QUERIES))
+    assert len(queries.QUERIES) == 13 and json.dumps(sorted(queries.QUERIES))
