@@ -1,4 +1,4 @@
-"""Strategy tables: parameter sweeps, attribution, risk against a benchmark, drawdowns, weights, covariance."""
+"""Strategy tables: parameter sweeps, attribution, risk against a benchmark, drawdowns, weights."""
 
 from __future__ import annotations
 
@@ -80,15 +80,6 @@ def brinson(port: DataFrame, bench: DataFrame, group: str) -> DataFrame:
     return j.select("trade_date", group, ((wp - wb) * (rb - F.col("total"))).alias("allocation"), (wb * (rp - rb)).alias("selection"), ((wp - wb) * (rp - rb)).alias("interaction"))
 
 
-def covariance(returns: DataFrame) -> DataFrame:
-    """Sample covariance and correlation of every pair of symbols on their common dates (long form)."""
-    a = returns.select("trade_date", F.col("symbol").alias("a"), F.col("ret").alias("x"))
-    b = returns.select("trade_date", F.col("symbol").alias("b"), F.col("ret").alias("y"))
-    j = a.join(b, "trade_date").where("a <= b")
-    s = F.stddev_samp("x") * F.stddev_samp("y")
-    return j.groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.try_divide(F.covar_samp("x", "y"), F.when(s > 1e-18, s)).alias("corr"), F.count("*").alias("n"))
-
-
 def tail_risk(returns: DataFrame, key: str, level: float = 0.95) -> DataFrame:
     """Value at risk and the mean loss at or beyond it."""
     q = returns.groupBy(key).agg(F.percentile("ret", F.lit(1 - level)).alias("q"))

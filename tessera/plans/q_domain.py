@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import base
 from ..operators import calendars as C
-from ..operators import feeds, strategy
+from ..operators import feeds, riskmodel, strategy
 from ..operators import fundamentals as FU
 from ..operators import groups as G
 from ..operators import quality as Q
@@ -227,7 +227,7 @@ def tail_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_RET + f" SELECT x.symbol AS a, y.symbol AS b, {_N('covar_samp(x.ret, y.ret)', 4)} AS cov, {_N('covar_samp(x.ret, y.ret) / (stddev_samp(x.ret) * stddev_samp(y.ret))', 4)} AS corr, count(*) AS n FROM ok x JOIN ok y ON x.trade_date = y.trade_date AND x.symbol <= y.symbol GROUP BY 1, 2")
 def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Covariance and correlation of all pairs of symbols."""
-    d = strategy.covariance(_returns(spark, sf_dir))
+    d = riskmodel.pairwise(_returns(spark, sf_dir))
     return d.withColumns({k: near(F.col(k), 4) for k in ("cov", "corr")})
 
 
