@@ -349,10 +349,13 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     """(doc_id, row, component_id, first) by similarity: documents linked by a Jaccard similarity of ``similarity`` or more of their word shingles.
 
     Exact but for collisions of 64-bit hashes. Shingles have one order, rare ones first; two sets at the limit share one
-    of the first size - least + 1 of each, least being what they must share, so no pair is missed. Documents that share
-    such a shingle form a block, apart where sizes rule a link out; equal blocks are one. Inside a block sizes and
-    parities tell which may link; what these connect meets with whole sets, each sent once, and is verified there. Which shingles count as common comes from a sample: it bears on the size of
-    blocks, never on the result. Equal sets are one node. ``row`` is a hash of the text, which
+    of the first size - least + 1 of each, least being what they must share, so no pair is missed. The smaller set of a
+    pair has it even earlier, since it must share 2 s / (1 + s) of its own size: there it leads. Documents that share
+    such a shingle form a block with those that lead by it, apart where sizes rule a link out; equal blocks are one. So
+    documents of one template, whose own text comes first, form no block unless they are alike enough. Inside a block sizes
+    and parities tell which may link; what these connect meets with whole sets, each sent once, and is verified there.
+    Which shingles count as common comes from a sample: it bears on the size of blocks, never on the result. Equal sets
+    are one node. ``row`` is a hash of the text, which
     tells rows of one id apart; ``first`` marks the smallest (doc_id, row) of a component. Nulls, empty texts, repeats and empty tables: as in
     near_duplicates.
     """
@@ -372,7 +375,7 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     def first(batches):
         common, often = shared.value
         for pdf in batches:
-            node, size, bits, keys = [], [], [], []
+            node, size, bits, keys, leads = [], [], [], [], []
             for s in shingle_sets(pdf["text"], shingle):
                 h = s.view(np.int64)
                 n = np.zeros(len(h), np.int64)
@@ -383,23 +386,32 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                 size.append(len(h))
                 bits.append(np.packbits(np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=2048) & 1 > 0).tobytes())
                 keys.append(h[np.lexsort((h, n))[: len(h) - int(_least(len(h), similarity)) + 1]])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "node": node, "size": size, "bits": bits, "keys": keys})
+                leads.append(len(h) - int(_least(len(h), 2 * similarity / (1 + similarity))) + 1)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "node": node, "size": size, "bits": bits, "keys": keys, "leads": leads})
 
     ids = dict(docs.select(F.col(doc_id).alias("doc_id")).dtypes)["doc_id"]
-    rows = stage(texts.where("doc_id IS NOT NULL").mapInPandas(first, f"doc_id {ids}, row long, node long, size int, bits binary, keys array<long>"), "shingle-prefixes")
+    rows = stage(texts.where("doc_id IS NOT NULL").mapInPandas(first, f"doc_id {ids}, row long, node long, size int, bits binary, keys array<long>, leads int"), "shingle-prefixes")
 
     def blocks(batches):
         for pdf in _whole_keys(batches, "key"):
-            key, size, node = (pdf[c].to_numpy() for c in ("key", "size", "node"))
+            key, size, node, lead = (pdf[c].to_numpy() for c in ("key", "size", "node", "lead"))
             new = np.r_[True, (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (node[1:] != node[:-1])]
-            key, size, node = key[new], size[new], node[new]
+            key, size, node, lead = key[new], size[new], node[new], lead[new]
+            # who doesn't lead meets those that do and are no larger, as far as sizes allow
+            own = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+            span = int(size.max()) + 1
+            leaders = (own * span + size)[lead]
+            use = lead | (np.searchsorted(leaders, own * span + size, "right") > np.searchsorted(leaders, own * span + _least(size, similarity), "left"))
+            key, size, node = key[use], size[use], node[use]
+            if not len(key):
+                continue
             start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (_least(size[1:], similarity) > size[:-1])])
             n = np.diff(np.r_[start, len(key)])
             block = np.repeat(np.add.reduceat(_mixed(node.view(np.uint64)), start).view(np.int64), n)
             yield pd.DataFrame({"block": block, "node": node})[np.repeat(n > 1, n)].drop_duplicates()
 
-    nodes = stage(rows.select("node", "size", "bits", "keys").dropDuplicates(["node"]), "shingle-nodes")
-    keyed = nodes.select(F.explode("keys").alias("key"), "size", "node")
+    nodes = stage(rows.select("node", "size", "bits", "keys", "leads").dropDuplicates(["node"]), "shingle-nodes")
+    keyed = nodes.select(F.posexplode("keys").alias("at", "key"), "size", "node", "leads").select("key", "size", "node", (F.col("at") < F.col("leads")).alias("lead"))
     keyed = keyed.repartition(tasks(spark), "key").sortWithinPartitions("key", "size", "node")
     met = stage(keyed.mapInPandas(blocks, "block long, node long").distinct(), "blocks")
     one = nodes.select("node", "size", "bits")

@@ -225,3 +225,17 @@ def test_near_copies_under_one_id_are_told_apart(spark):
     docs = documents(spark, ["a b c d e f g h", "a b c d e f g h", "x y z one two three four", "other words stand here alone"], [1, 2, 2, 2])
     got = {(r["doc_id"], r["text"][:1]) for r in rows(corpus_pipeline.drop_near_copies(spark, docs, SF))}
     assert got == {(1, "a"), (2, "x"), (2, "o")}
+
+
+def test_pages_of_one_template_do_not_meet(spark):
+    """Unlike pages that share 170 words in 200: a similarity of 0.7, so no two are linked, and no block holds them."""
+    import time
+
+    template = " ".join(f"common{i}" for i in range(170))
+    own = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: F.concat(F.lit("own"), F.col("doc_id"), F.lit("_"), k)), " ")
+    pages = spark.range(50_000).withColumnRenamed("id", "doc_id").withColumn("text", F.concat(own, F.lit(" " + template))).repartition(8)
+    pages = pages.unionByName(spark.createDataFrame([(60_000, "a b c d e f g h"), (60_001, "a b c d e f g h")], "doc_id long, text string"))
+    began = time.time()
+    groups = simhash.similar_groups(pages)
+    assert groups.where("component_id < doc_id").count() == 1
+    assert time.time() - began < 60
