@@ -52,13 +52,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+#: Rows of a file, about; a partition with more is written by several tasks.
+FILE_ROWS = 4_000_000
+
+
 def _replace(df: DataFrame, root: str, by: list[str]) -> None:
-    """Overwrite the partitions that df has; df may read the same table, so it is written aside first."""
+    """Overwrite the partitions that df has; df may read the same table, so it is written aside first.
+
+    Rows are dealt by partition and a hash of the symbol, so a year of the lake isn't one task's work.
+    """
     spark = df.sparkSession
     aside = f"{root.rstrip('/')}_staging_{uuid.uuid4().hex}"
     df.write.parquet(aside)
     try:
-        spark.read.parquet(aside).repartition(*by).sortWithinPartitions(*[c for c in ("symbol", "trade_date") if c in df.columns]).write.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).mode("overwrite").parquet(root)
+        staged = spark.read.parquet(aside)
+        most = staged.groupBy(*by).count().agg(F.max("count")).head()[0] or 0
+        deal = [F.pmod(F.xxhash64("symbol"), F.lit(-(-most // FILE_ROWS)))] if most > FILE_ROWS and "symbol" in df.columns else []
+        wide = [int(spark.conf.get("spark.sql.shuffle.partitions"))] if deal else []  # a number keeps partitions apart
+        staged.repartition(*wide, *by, *deal).sortWithinPartitions(*[c for c in ("symbol", "trade_date") if c in df.columns]).write.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).mode("overwrite").parquet(root)
     finally:
         p = spark._jvm.org.apache.hadoop.fs.Path(aside)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -109,6 +120,23 @@ def delete_daily(spark: SparkSession, root: str, symbols: list[str] | None = Non
     return sum(r["count"] for r in hit)
 
 
+def replace_days(spark: SparkSession, root: str, days: DataFrame, new: DataFrame) -> None:
+    """Rows of ``days`` leave the table, the rows ``new`` join it; only the years of either are written.
+
+    A year that is left without rows is removed. ``new`` must not read the table.
+    """
+    df = spark.read.option("mergeSchema", True).parquet(root)
+    new = new.withColumn("year", F.year("trade_date"))
+    years = sorted({r[0] for d in (days.select(F.year("trade_date")), new.select("year")) for r in d.distinct().collect()})
+    left = df.where(F.col("year").isin(years)).join(days, "trade_date", "left_anti").unionByName(new, allowMissingColumns=True)
+    kept = {r[0] for r in left.select("year").distinct().collect()}
+    if kept:
+        _replace(left, root, ["year"])
+    for y in set(years) - kept:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/year={y}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def date_range(df: DataFrame) -> DataFrame:
     return df.agg(F.min("trade_date").alias("first"), F.max("trade_date").alias("last"))
 
