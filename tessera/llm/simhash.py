@@ -374,20 +374,22 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     def first(batches):
         common, often = shared.value
-        for pdf in batches:
-            node, size, bits, keys, leads = [], [], [], [], []
-            for s in shingle_sets(pdf["text"], shingle):
-                h = s.view(np.int64)
-                n = np.zeros(len(h), np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                    n = np.where(common[at] == h, often[at], 0)
-                node.append(int(_mixed(_mixed(s).sum(keepdims=True)).view(np.int64)[0]))
-                size.append(len(h))
-                bits.append(np.packbits(np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=2048) & 1 > 0).tobytes())
-                keys.append(h[np.lexsort((h, n))[: len(h) - int(_least(len(h), similarity)) + 1]])
-                leads.append(len(h) - int(_least(len(h), 2 * similarity / (1 + similarity))) + 1)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "node": node, "size": size, "bits": bits, "keys": keys, "leads": leads})
+        for whole in batches:
+            for start in range(0, len(whole), 1000):
+                pdf = whole.iloc[start : start + 1000]
+                node, size, bits, keys, leads = [], [], [], [], []
+                for s in shingle_sets(pdf["text"], shingle):
+                    h = s.view(np.int64)
+                    n = np.zeros(len(h), np.int64)
+                    if len(common):
+                        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                        n = np.where(common[at] == h, often[at], 0)
+                    node.append(int(_mixed(_mixed(s).sum(keepdims=True)).view(np.int64)[0]))
+                    size.append(len(h))
+                    bits.append(np.packbits(np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=2048) & 1 > 0).tobytes())
+                    keys.append(h[np.lexsort((h, n))[: len(h) - int(_least(len(h), similarity)) + 1]])
+                    leads.append(len(h) - int(_least(len(h), 2 * similarity / (1 + similarity))) + 1)
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "node": node, "size": size, "bits": bits, "keys": keys, "leads": leads})
 
     ids = dict(docs.select(F.col(doc_id).alias("doc_id")).dtypes)["doc_id"]
     rows = stage(texts.where("doc_id IS NOT NULL").mapInPandas(first, f"doc_id {ids}, row long, node long, size int, bits binary, keys array<long>, leads int"), "shingle-prefixes")
