@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -47,18 +49,29 @@ def _words(text: str) -> Column:
 def quoted(quotes: DataFrame, sources: DataFrame, *, item: str, by: str, run: int = 8) -> DataFrame:
     """(item, source) of every source whose words hold all of a quote's words in a row; an item found nowhere has a null source.
 
-    Words are compared in lower case. A quote meets the sources that share the hash of its first ``run`` words by an equi-join,
-    then all its words are compared; quotes of fewer words or none are left out. Texts travel only where a hash agrees.
+    Words are compared in lower case. A quote meets the sources that share the hash of its first ``run`` words by an equi-join
+    (of all its words if it has fewer; a pass over the sources for each such length that occurs), then all its words are
+    compared. A quote without words is found nowhere. Texts travel only where a hash agrees.
     """
     spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
-    q = quotes.select(F.col(item), _words("text").alias("w")).where(F.size("w") >= run)
-    q = q.select(item, F.xxhash64(F.slice("w", 1, run)).alias("h"), spaced(F.col("w")).alias("quote"))
-    s = sources.select(F.col(by), _words("text").alias("w"), spaced(_words("text")).alias("said")).where(F.size("w") >= run)
-    at = F.sequence(F.lit(1), F.size("w") - (run - 1))
-    seen = s.select(by, F.explode(F.array_distinct(F.transform(at, lambda k: F.xxhash64(F.slice("w", k, run))))).alias("h"))
-    meet = seen.join(q.select(item, "h"), "h").select(item, by).distinct()
+    q = quotes.select(F.col(item), _words("text").alias("w"))
+    lead = F.least(F.size("w"), F.lit(run))
+    q = q.select(item, lead.alias("lead"), F.when(lead > 0, F.xxhash64(F.slice("w", 1, lead))).alias("h"), spaced(F.col("w")).alias("quote"))
+    s = sources.select(F.col(by), _words("text").alias("w"), spaced(_words("text")).alias("said"))
+    # at most ``run`` lengths
+    lengths = sorted(r[0] for r in q.where("lead > 0").select("lead").distinct().collect())
+    out = q.select(item).distinct()
+    if not lengths:
+        return out.join(s.select(by).limit(0), F.lit(False), "left")
+
+    def met(n: int) -> DataFrame:
+        at = F.sequence(F.lit(1), F.size("w") - (n - 1))
+        seen = s.where(F.size("w") >= n).select(by, F.explode(F.array_distinct(F.transform(at, lambda k: F.xxhash64(F.slice("w", k, n))))).alias("h"))
+        return seen.join(q.where(F.col("lead") == n).select(item, "h"), "h").select(item, by)
+
+    meet = reduce(DataFrame.unionByName, map(met, lengths)).distinct()
     found = meet.join(q.select(item, "quote"), item).join(s.select(by, "said"), by).where(F.contains("said", "quote")).select(item, by).distinct()
-    return q.select(item).distinct().join(found, item, "left")
+    return out.join(found, item, "left")
 
 
 def within_budget(df: DataFrame, group: str, order: list, text: str, most: int) -> DataFrame:

@@ -54,11 +54,12 @@ def point_in_time_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.point_in_time(panel.bars(spark, sf_dir))
 
 
-@query(f"WITH {panel.DAILY} SELECT DISTINCT trade_date FROM daily WHERE trade_date NOT IN (SELECT trade_date FROM daily WHERE symbol = 'U1')")
+@query("WITH r AS (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS z FROM orders) SELECT d::DATE AS trade_date FROM r, generate_series(a, z, INTERVAL 1 DAY) g(d) WHERE d::DATE NOT IN (SELECT o_orderdate::DATE FROM orders)")
 def missing_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calendar days on which one user has no row."""
-    d = panel.user_daily(spark, sf_dir)
-    return Q.missing_dates(d.where("symbol = 'U1'"), d)
+    """Days between the first and the last order on which nobody ordered."""
+    have = panel.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("trade_date"))
+    span = have.agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("z"))
+    return Q.missing_dates(have, span.select(F.explode(F.sequence("a", "z")).alias("trade_date")))
 
 
 @query(f"WITH {panel.DAILY} SELECT s.symbol, c.trade_date FROM (SELECT DISTINCT symbol FROM daily) s CROSS JOIN (SELECT DISTINCT trade_date FROM daily) c WHERE NOT EXISTS (SELECT 1 FROM daily d WHERE d.symbol = s.symbol AND d.trade_date = c.trade_date)")
@@ -269,8 +270,8 @@ _SAID = lambda t: f"(' ' || array_to_string(regexp_extract_all(lower({t}), '[^\\
 
 
 @query(
-    f"""WITH q AS (SELECT item_id, {_SAID('text')} AS quote FROM benchmark WHERE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) >= 8), d AS (SELECT doc_id, {_SAID('text')} AS said FROM documents)
-SELECT DISTINCT q.item_id, d.doc_id, CASE WHEN d.doc_id IS NULL THEN 'absent' ELSE 'found' END AS status FROM q LEFT JOIN d ON contains(said, quote)"""
+    f"""WITH q AS (SELECT item_id, {_SAID('text')} AS quote FROM benchmark), d AS (SELECT doc_id, {_SAID('text')} AS said FROM documents)
+SELECT DISTINCT q.item_id, d.doc_id, CASE WHEN d.doc_id IS NULL THEN 'absent' ELSE 'found' END AS status FROM q LEFT JOIN d ON trim(quote) <> '' AND contains(said, quote)"""
 )
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in which a benchmark passage stands whole, and the passages that stand in none."""

@@ -233,11 +233,11 @@ def test_missing_dates_of_every_symbol(spark):
 
 def test_quoted_finds_every_source(spark):
     quote = "one two three four five six seven eight nine"
-    quotes = spark.createDataFrame([(1, quote), (2, "a b c d e f g h"), (3, "short"), (4, None), (5, quote)], "item long, text string")
+    quotes = spark.createDataFrame([(1, quote), (2, "a b c d e f g h"), (3, "short"), (4, None), (5, quote), (6, "Ninety")], "item long, text string")
     texts = [(10, f"Zero {quote.upper()}\n ten"), (11, quote.replace("nine", "ninety")), (12, None), (13, f"{quote} {quote}"), (14, quote.replace(" ", "\t"))]
     sources = spark.createDataFrame(texts, "doc long, text string")
     got = {tuple(r) for r in feeds.quoted(quotes, sources, item="item", by="doc").collect()}
-    assert got == {(i, d) for i in (1, 5) for d in (10, 13, 14)} | {(2, None)}
+    assert got == {(i, d) for i in (1, 5) for d in (10, 13, 14)} | {(2, None), (3, None), (4, None), (6, 11)}
 
 
 def test_cited_in_the_named_source(spark):
