@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import base, cs, el, indicators, patterns, ts
 from ..operators import recur
 from . import panel
-from .pairs import CS, WS, W, columns, full, near, query, w
+from .pairs import CS, ORACLE_SQL, WS, W, columns, full, near, query, w
 
 _C, _V = "close", "volume"
 
@@ -405,7 +405,7 @@ columns(
 
 _ge, _le2 = (ema_sql(f"CASE WHEN {x} > 0 THEN {x} ELSE 0 END", 1 / 14) for x in ("ch", "-ch"))
 columns(
-    "indicators_recurrent",
+    "indicators_folded",
     panel.bars,
     _TP,
     "tp",
@@ -441,7 +441,7 @@ def candle_patterns(spark, sf_dir):
     return patterns.flags(panel.bars(spark, sf_dir)).select("symbol", "trade_date", *[f"pattern_{n}" for n in patterns.names()])
 
 
-@query()
+@query(ORACLE_SQL["indicators_folded"])
 def indicators_recurrent(spark, sf_dir):
     """MACD, RSI and ATR from one ordered pass per symbol."""
     d = recur.oscillators(panel.bars(spark, sf_dir).select("symbol", "trade_date", "high", "low", "close"))
