@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import screens, tables
+from ..operators import adjust, screens, tables
 from . import panel
 from .pairs import near, near_sql, query
 from .q_domain import _RET, _returns
@@ -94,3 +94,21 @@ def replaced_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by a field of their JSON properties."""
     return tables.json_where(panel.table(spark, sf_dir, "events"), "props", "$.k", "7").select("event_id", "user_id")
+
+
+_ADJ = f"WITH {panel.WIDE}, a AS (SELECT *, CASE WHEN is_suspended THEN NULL ELSE adj_factor END AS f FROM wide), b AS (SELECT *, last_value(f IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM a), n AS (SELECT symbol, arg_max(f, trade_date) FILTER (f IS NOT NULL) AS newest FROM a GROUP BY 1)"
+
+
+@query(f"{_ADJ} SELECT symbol, trade_date, {_N('close * coalesce(g / newest, 1)', 4)} AS pre, {_N('close * coalesce(g, 1)', 4)} AS post, f IS NULL AS factor_missing FROM b JOIN n USING (symbol)")
+def adjusted_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closes adjusted to the newest bar and to the first; suspended bars have no factor."""
+    d = panel.wide_bars(spark, sf_dir).withColumn("adj_factor", F.when(~F.col("is_suspended"), F.col("adj_factor"))).select("symbol", "trade_date", "close", "adj_factor")
+    pre = adjust.adjusted(d, "pre").select("symbol", "trade_date", near(F.col("close"), 4).alias("pre"), "factor_missing")
+    return pre.join(adjust.adjusted(d, "post").select("symbol", "trade_date", near(F.col("close"), 4).alias("post")), ["symbol", "trade_date"])
+
+
+@query(f"WITH {panel.WIDE}, l AS (SELECT *, adj_factor / arg_max(adj_factor, trade_date) OVER (PARTITION BY symbol) AS factor FROM wide) SELECT symbol, trade_date, {_N('factor')} AS factor, {_N('close * factor', 4)} AS close, {_N('CASE WHEN volume > 0 THEN amount::DOUBLE / volume * factor END', 4)} AS vwap FROM l")
+def export_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices, factor and mean price as an export takes them."""
+    d = adjust.for_export(panel.wide_bars(spark, sf_dir).select("symbol", "trade_date", "close", "volume", "amount", "adj_factor"))
+    return d.select("symbol", "trade_date", near(F.col("factor")).alias("factor"), near(F.col("close"), 4).alias("close"), near(F.col("vwap"), 4).alias("vwap"))
