@@ -49,6 +49,6 @@ def price_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     "g AS (SELECT symbol, k, 'up' AS direction, ph AS a, low AS b FROM s WHERE low > ph UNION ALL SELECT symbol, k, 'down', high, pl FROM s WHERE high < pl) "
     f"SELECT symbol, direction, {_N('(a + b) / 2')} AS value FROM g WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.symbol = g.symbol AND s.k < g.k AND s.low <= g.b AND s.high >= g.a)"
 )
-def open_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def unfilled_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps of the last sixty bars that no later bar has touched."""
     return levels.gaps(panel.bars(spark, sf_dir), lookback=60).withColumn("value", near(F.col("value")))
