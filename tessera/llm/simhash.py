@@ -313,46 +313,34 @@ def plausible_pairs(bits: np.ndarray, size: np.ndarray, similarity: float) -> li
     return out
 
 
-#: Shared members are counted by this many bits of their hashes first.
-BUCKETS = 22
+def parities(s: np.ndarray) -> np.ndarray:
+    """2,048 bits: whether a set of hashes has an odd number of members in each class."""
+    return np.packbits(np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=2048) & 1 > 0)
 
 
 def similar_pairs(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Pairs (a, b) of sets (sorted) at the similarity or over, enough of them to connect all that are: exact, by counting shared members.
 
-    Each set in turn is held against those that nothing has reached yet, so sets alike cost one pass, not one a pair. A
-    pass counts by a few bits of each member, four bytes instead of eight, and never too few; who reaches the similarity
-    so is counted by whole hashes.
+    Each set in turn is held against those that nothing has reached yet, so sets alike cost one pass, not one a pair. Sizes
+    and parities tell who may be as similar; only these sets are read.
     """
     size = np.array([len(s) for s in sets])
-    ends = np.cumsum(size)
-    few = np.empty(int(ends[-1]), np.uint32)
-    for s, a, b in zip(sets, (ends - size).tolist(), ends.tolist(), strict=True):
-        few[a:b] = s & np.uint64((1 << BUCKETS) - 1)
-    on = np.zeros(1 << BUCKETS, bool)
+    bits = np.stack([parities(s) for s in sets]).view(np.uint64)
     left, open_, out = np.ones(len(sets), bool), [], []
-    own = np.arange(len(sets))
-    each = np.split(few, ends[:-1])
-    flat, start = few, ends - size
-
-    def enough(both, k):
-        return both >= similarity * (size[k] + size[c] - both) - 1e-9
-
+    most = (1 - similarity) / (1 + similarity)
     while left.any():
         if not open_:
             open_.append(int(left.argmax()))
             left[open_[0]] = False
-        c = open_.pop()
-        if 2 * np.count_nonzero(left) < len(own):
-            own = np.flatnonzero(left)
-            if not len(own):
-                break
-            flat, start = np.concatenate([each[k] for k in own]), np.cumsum(size[own]) - size[own]
-        on[each[c]] = True
-        both = np.add.reduceat(on[flat], start, dtype=np.int64)
-        on[each[c]] = False
-        may = own[left[own] & enough(both, own)].tolist()
-        hit = [k for k in may if enough(len(np.intersect1d(sets[c], sets[k], assume_unique=True)), k)]
+        c, own = open_.pop(), np.flatnonzero(left)
+        low, high = np.minimum(size[own], size[c]), np.maximum(size[own], size[c])
+        own, low, high = (x[low >= _least(high, similarity)] for x in (own, low, high))
+        own = own[_distance(bits[own], bits[c]) <= most * (low + high) + 1e-6]
+        hit = []
+        for k in own.tolist():
+            both = len(np.intersect1d(sets[c], sets[k], assume_unique=True))
+            if both >= similarity * (size[k] + size[c] - both) - 1e-9:
+                hit.append(k)
         left[hit] = False
         open_ += hit
         out += [(c, k) for k in hit]
@@ -400,7 +388,7 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                         n = np.where(common[at] == h, often[at], 0)
                     node.append(int(_mixed(_mixed(s).sum(keepdims=True)).view(np.int64)[0]))
                     size.append(len(h))
-                    bits.append(np.packbits(np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=2048) & 1 > 0).tobytes())
+                    bits.append(parities(s).tobytes())
                     keys.append(h[np.lexsort((h, n))[: len(h) - int(_least(len(h), similarity)) + 1]])
                     leads.append(len(h) - int(_least(len(h), 2 * similarity / (1 + similarity))) + 1)
                 yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": pdf["row"], "node": node, "size": size, "bits": bits, "keys": keys, "leads": leads})
