@@ -90,6 +90,16 @@ class PriceBins:
             yield b, b * step, (b + 1) * step, volume / (last - first + 1)
 
 
+def price_bins(df: DataFrame, low: str, high: str, volume: str, step: float) -> DataFrame:
+    """``df`` with bin and part, the rows of ``PriceBins``, from built-in functions: no row leaves the JVM."""
+    if step <= 0:
+        raise ValueError(f"a price step is positive, not {step}")
+    first, last = (F.floor(F.col(x).cast("double") / step) for x in (low, high))
+    part = F.col(volume).cast("double") / (last - first + 1)
+    dealt = df.where(F.col(volume).isNotNull() & (F.col(high) >= F.col(low)))
+    return dealt.withColumn("part", part).withColumn("bin", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+
+
 def _builtin() -> None:
     for module, category in ((ts, "TS"), (cs, "CS"), (el, "EL")):
         for name, make in vars(module).items():

@@ -95,7 +95,7 @@ def window_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {panel.BARS}, b AS (SELECT symbol, low, high, volume, unnest(range(floor(low / 100)::BIGINT, floor(high / 100)::BIGINT + 1)) AS bin FROM bars) SELECT symbol, bin::INT AS bin, {_N('sum(volume / (floor(high / 100) - floor(low / 100) + 1))')} AS volume FROM b GROUP BY 1, 2")
 def price_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Volume by symbol and price step, dealt by a table function."""
-    bars = panel.bars(spark, sf_dir)
-    made = bars.lateralJoin(registry.PriceBins(F.col("low").cast("double").outer(), F.col("high").cast("double").outer(), F.col("volume").outer(), F.lit(100.0)).toDF("bin", "from", "to", "part"))
+    """Volume by symbol and price step, dealt by a generator; a symbol's bars come together first, so its bins are summed where they are made."""
+    bars = panel.together(panel.bars(spark, sf_dir), "symbol", panel.table(spark, sf_dir, "lineitem"))
+    made = registry.price_bins(bars, "low", "high", "volume", 100.0)
     return made.groupBy("symbol", "bin").agg(F.sum("part").alias("volume")).withColumn("volume", near(F.col("volume")))
