@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.base import fin
+from ..sources.shared import kept
 from . import evaluate, learning
 
 
@@ -128,8 +129,8 @@ def versions(models: DataFrame, predicted: DataFrame, *, least: int = 5, improve
 
 def retrain(rows: DataFrame, features: list[str], *, horizon: int, lam: float = 1.0, improvement: float = 0.0, embargo: int = 1, **months) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(spans, versions, predictions): fit, test and promote all windows; the label's horizon is purged."""
-    spans = windows(rows, purge=horizon, embargo=embargo, **months)
-    models = fits(rows, features, spans, lam=lam)
+    spans = kept(windows(rows, purge=horizon, embargo=embargo, **months), "spans")
+    models = kept(fits(rows, features, spans, lam=lam), "models")
     predicted = predictions(rows, features, spans, models)
     return spans, versions(models, predicted, improvement=improvement), predicted
 
