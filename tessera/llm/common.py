@@ -111,7 +111,27 @@ class _Pieces(dict):
     def ids(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, given by their pieces, one after the other, and how many each text has."""
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        return self._gathered(np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum())), counts)
+
+    def ids_between_blanks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts cut as by ``_blank_parts``: Arrow cuts them, and each different part is looked up once a call.
+
+        A line feed that stands alone, always a piece of its own, begins a part too; no blank goes with that.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        whole = pc.replace_substring_regex(pa.array(texts, pa.large_string()), r"([^\n])\n([^\n])", "\\1 \n\\2")
+        parts = pc.split_pattern(whole, " ")
+        coded = parts.flatten().dictionary_encode()
+        counts = pc.list_value_length(parts).to_numpy().astype(np.int64)
+        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.__getitem__, own), np.int64, len(own))[coded.indices.to_numpy()]
+        firsts = ["\0" + t for t in pc.list_element(parts, 0).to_pylist()]
+        numbers[np.cumsum(counts) - counts] = np.fromiter(map(self.__getitem__, firsts), np.int64, len(firsts))
+        return self._gathered(numbers, counts)
+
+    def _gathered(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if added := len(self) - (len(self.starts) - 1):
             sizes, ids = self.encode(list(islice(reversed(self), added))[::-1])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
@@ -168,7 +188,9 @@ class PieceCoder:
         self.tables = {"chunks": _Pieces(self._of_chunks), "narrow": _Pieces(self._of_model), "wide": _Pieces(self._of_library)}
 
     def _of_chunks(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts = self.tables["narrow"].ids([self.narrow(self.text_of(c)) for c in new])
+        # letters alone, with or without a blank before them, are one piece
+        split = [[t] if t.isalpha() or (t[:1] == " " and t[1:].isalpha()) else self.narrow(t) for t in map(self.text_of, new)]
+        ids, counts = self.tables["narrow"].ids(split)
         return counts, ids
 
     def _of_library(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -202,6 +224,9 @@ class PieceCoder:
         kinds, done = [self._kind(t) for t in texts], {}
         for kind in set(kinds):
             own = [t for t, k in zip(texts, kinds, strict=True) if k == kind]
+            if kind == "chunks" and self.chunks is _blank_parts:
+                done[kind] = self.tables[kind].ids_between_blanks(own)
+                continue
             cut = {"chunks": self.chunks, "narrow": self._finely, "wide": self._broadly}[kind]
             done[kind] = self.tables[kind].ids([cut(t) for t in own])
         if len(done) < 2:
@@ -256,7 +281,7 @@ def _blank_parts(text: str) -> list[str]:
 
 
 def _blank_part(part: str) -> str:
-    return part[1:] if part[:1] == "\0" else " " + part
+    return part[1:] if part[:1] == "\0" else part if part[:1] == "\n" else " " + part
 
 
 @functools.cache
