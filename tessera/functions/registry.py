@@ -10,6 +10,7 @@ import inspect
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,12 +60,14 @@ def apply(df: DataFrame, **columns: tuple) -> DataFrame:
     return df.withColumns(made)
 
 
-def windowed(callback: Callable[[pd.Series], float]) -> Callable[..., Column]:
+def windowed(callback: Callable, *, many: bool = False) -> Callable[..., Column]:
     """A column operator (x, n) from a callback over the last n values of x, oldest first; null unless all n are there.
 
-    The callback runs in Python, once a row, on a window that Spark frames and ships by Arrow: for what built-in
-    aggregates can't say.
+    The callback runs in Python on windows that Spark frames and ships by Arrow, for what built-in aggregates can't say:
+    once a row, on a Series; or with ``many`` once a batch of rows, on a matrix of a window a row, for a value a row.
     """
+    if many:
+        return _windowed_many(callback)
 
     @F.pandas_udf("double")
     def over(values: pd.Series) -> float:
@@ -78,6 +81,21 @@ def windowed(callback: Callable[[pd.Series], float]) -> Callable[..., Column]:
     return make
 
 
+def _windowed_many(callback: Callable[[np.ndarray], np.ndarray]) -> Callable[..., Column]:
+    @F.pandas_udf("double")
+    def over(windows: pd.Series) -> pd.Series:
+        out, there = np.full(len(windows), np.nan), windows.notna().to_numpy()
+        if there.any():
+            out[there] = callback(np.stack(windows[there].to_list()))
+        return pd.Series(out)
+
+    def make(x, n: int) -> Column:
+        x = base.col(x).cast("double")
+        return over(F.when(F.count(x).over(base.ts(n)) == n, F.collect_list(x).over(base.ts(n))))
+
+    return make
+
+
 @F.udtf(returnType="bin int, low double, high double, part double")
 class PriceBins:
     """Rows for the price steps that a bar touches, its volume dealt evenly: a table function for ``lateralJoin``."""

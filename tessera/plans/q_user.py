@@ -88,14 +88,13 @@ def user_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {panel.BARS}, l AS (SELECT symbol, trade_date, CASE WHEN count(close) OVER w = 6 THEN list(close) OVER w END AS v FROM bars WINDOW w AS {_W}) SELECT symbol, trade_date, {_N('list_avg(list_transform(v, lambda x: abs(x - list_median(v))))')} AS spread FROM l")
 def window_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean distance from the window's median, by a callback over the window's values."""
-    spread = registry.windowed(lambda s: float(np.abs(s - s.median()).mean()))
+    """Mean distance from the window's median, by a callback over the values of many windows."""
+    spread = registry.windowed(lambda m: np.abs(m - np.median(m, axis=1, keepdims=True)).mean(axis=1), many=True)
     return panel.bars(spark, sf_dir).select("symbol", "trade_date", near(spread("close", 6)).alias("spread"))
 
 
 @query(f"WITH {panel.BARS}, b AS (SELECT symbol, low, high, volume, unnest(range(floor(low / 100)::BIGINT, floor(high / 100)::BIGINT + 1)) AS bin FROM bars) SELECT symbol, bin::INT AS bin, {_N('sum(volume / (floor(high / 100) - floor(low / 100) + 1))')} AS volume FROM b GROUP BY 1, 2")
 def price_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Volume by symbol and price step, dealt by a generator; a symbol's bars come together first, so its bins are summed where they are made."""
-    bars = panel.together(panel.bars(spark, sf_dir), "symbol", panel.table(spark, sf_dir, "lineitem"))
-    made = registry.price_bins(bars, "low", "high", "volume", 100.0)
+    """Volume by symbol and price step, dealt by a generator; a symbol's bars are together, so its bins are summed where they are made."""
+    made = registry.price_bins(panel.bars(spark, sf_dir), "low", "high", "volume", 100.0)
     return made.groupBy("symbol", "bin").agg(F.sum("part").alias("volume")).withColumn("volume", near(F.col("volume")))
