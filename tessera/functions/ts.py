@@ -76,8 +76,12 @@ def ts_kurt(x, n: int) -> Column:
 
 
 def ts_quantile(x, n: int, q: float = 0.8) -> Column:
-    """Rolling quantile, linear between neighbours."""
-    return full(x, n, F.percentile(col(x), F.lit(q)).over(ts(n)))
+    """Rolling quantile, linear between neighbours: two places of the window's sorted list, which other quantiles share."""
+    values = F.sort_array(F.collect_list(col(x)).over(ts(n)))
+    place = q * (_at_least_one(n) - 1)
+    low, part = int(place), place - int(place)
+    at = lambda k: F.get(values, F.lit(k)).cast("double")
+    return full(x, n, at(low) if not part else F.lit(1 - part) * at(low) + F.lit(part) * at(low + 1))
 
 
 def ts_med(x, n: int) -> Column:
