@@ -347,7 +347,7 @@ def similar_pairs(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
     return out
 
 
-def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, proposed: DataFrame | None = None) -> DataFrame:
     """(doc_id, row, component_id, first) by similarity: documents linked by a Jaccard similarity of ``similarity`` or more of their word shingles.
 
     Exact but for collisions of 64-bit hashes. Shingles have one order, rare ones first; two sets at the limit share one
@@ -356,7 +356,8 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     such a shingle form a block with those that lead by it, apart where sizes rule a link out; equal blocks are one. So
     documents of one template, whose own text comes first, form no block unless they are alike enough. Inside a block sizes
     and parities tell which may link; what these connect meets with whole sets, each sent once, and is verified there.
-    Which shingles count as common comes from a sample: it bears on the size of blocks, never on the result. Equal sets
+    ``proposed`` (doc_id, component_id), as of near_duplicates: its components are blocks too, verified like the others; what
+    fingerprints don't bring near comes from the shingles. Which shingles count as common comes from a sample: it bears on the size of blocks, never on the result. Equal sets
     are one node. ``row`` is a hash of the text, which
     tells rows of one id apart; ``first`` marks the smallest (doc_id, row) of a component. Nulls, empty texts, repeats and empty tables: as in
     near_duplicates.
@@ -417,7 +418,12 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     nodes = stage(rows.select("node", "size", "bits", "keys", "leads").dropDuplicates(["node"]), "shingle-nodes")
     keyed = nodes.select(F.posexplode("keys").alias("at", "key"), "size", "node", "leads").select("key", "size", "node", (F.col("at") < F.col("leads")).alias("lead"))
     keyed = keyed.repartition(tasks(spark), "key").sortWithinPartitions("key", "size", "node")
-    met = stage(keyed.mapInPandas(blocks, "block long, node long").distinct(), "blocks")
+    found = keyed.mapInPandas(blocks, "block long, node long")
+    if proposed is not None:
+        near = proposed.where("component_id IS NOT NULL").select("doc_id", F.xxhash64("component_id", F.lit("fingerprints")).alias("block"))
+        near = stage(near.join(rows.select("doc_id", "node"), "doc_id").select("block", "node").distinct(), "proposed-blocks")
+        found = found.unionByName(near.join(near.groupBy("block").count().where("count > 1").select("block"), "block", "left_semi"))
+    met = stage(found.distinct(), "blocks")
     one = nodes.select("node", "size", "bits")
 
     def plausible(batches):
