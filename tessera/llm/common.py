@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,17 +105,25 @@ class _Pieces(dict):
         super().__init__()
         self.encode, self.starts, self.flat = encode, np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece) -> int:
         n = self[piece] = len(self)
         return n
 
-    def ids(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    def numbers(self, own: list) -> np.ndarray:
+        """Numbers of different pieces, new ones all at once."""
+        found = np.fromiter(map(self.get, own, repeat(-1)), np.int64, len(own))
+        new = np.flatnonzero(found < 0)
+        found[new] = np.arange(len(self), len(self) + len(new))
+        self.update(zip(map(own.__getitem__, new.tolist()), found[new].tolist(), strict=True))
+        return found
+
+    def ids(self, split: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, given by their pieces, one after the other, and how many each text has."""
         counts = np.fromiter(map(len, split), np.int64, len(split))
         return self._gathered(np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum())), counts)
 
     def ids_between_blanks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for texts cut as by ``_blank_parts``: Arrow cuts them, and each different part is looked up once a call.
+        """The same for texts cut at single blanks: Arrow cuts them, and each different part is looked up once a call.
 
         A line feed that stands alone, always a piece of its own, begins a part too; no blank goes with that.
         """
@@ -126,11 +135,24 @@ class _Pieces(dict):
         coded = parts.flatten().dictionary_encode()
         counts = pc.list_value_length(parts).to_numpy().astype(np.int64)
         own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        numbers = np.fromiter(map(self.__getitem__, own), np.int64, len(own))[coded.indices.to_numpy()]
+        numbers = self.numbers(own)[coded.indices.to_numpy()]
         firsts = ["\0" + t for t in pc.list_element(parts, 0).to_pylist()]
         numbers[np.cumsum(counts) - counts] = np.fromiter(map(self.__getitem__, firsts), np.int64, len(firsts))
         return self._gathered(numbers, counts)
 
+    def ids_of_cut(self, texts: list[str], blanks: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts of the first 256 characters, cut as finely as the pre-tokenizer does (see ``_fine_cuts``)."""
+        import pyarrow as pa
+
+        chars = np.frombuffer("".join([t + "\0" for t in texts]).encode("latin-1"), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+        starts, kept = _fine_cuts(chars, ends, blanks)
+        buffers = [None, pa.py_buffer(np.append(starts, len(chars))), pa.py_buffer(chars)]
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), buffers).filter(pa.array(kept)).dictionary_encode()
+        counts = np.diff(np.searchsorted(starts[kept], ends), prepend=0)
+        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        return self._gathered(self.numbers(own)[coded.indices.to_numpy()], counts)
+
     def _gathered(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if added := len(self) - (len(self.starts) - 1):
             sizes, ids = self.encode(list(islice(reversed(self), added))[::-1])
@@ -152,6 +174,39 @@ def _byte_characters() -> dict[int, str]:
 
 #: Letters and numbers among the first 256 characters, where lower case and composition are the same everywhere.
 _LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_OTHER, _L, _N, _SPACE, _END = range(5)
+_CLASS = np.array([next((k for k, own in ((_L, _LETTER), (_N, _NUMBER), (_SPACE, _WS)) if re.match(f"[{own}]", chr(c))), _OTHER) for c in range(256)], np.uint8)
+
+
+def _fine_cuts(chars: np.ndarray, ends: np.ndarray, blanks: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pre-tokenizer's pieces begin in texts of the first 256 characters, and which of these pieces count.
+
+    The texts stand one after the other with a zero behind each, at ``ends``. Pieces are runs of letters, of numbers or of
+    other characters, and contractions where no such run has begun. ``blanks``: white space counts, one blank goes with the
+    piece behind it and before a piece the last space of a run stands alone; else it doesn't, and numbers stand by the digit.
+    """
+    kind = _CLASS[chars]
+    kind[ends] = _END
+    first = np.ones(len(kind), bool)
+    np.not_equal(kind[1:], kind[:-1], out=first[1:])
+    first[ends] = True
+    if blanks:
+        last = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] < _SPACE))
+        first[last] = True
+        first[last[chars[last] == 32] + 1] = False
+    else:
+        first[kind == _N] = True
+    at = np.flatnonzero(chars == 39)
+    before = np.where(at > 0, kind[at - 1], _END)
+    at = at[(before != _OTHER) & ~((before == _SPACE) & (chars[at - 1] == 32) & blanks)]
+    one, two = chars[at + 1], chars[np.minimum(at + 2, len(chars) - 1)]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = (((one == ord("r")) | (one == ord("v"))) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+    first[at[short | long] + 1] = False
+    first[at[short] + 2] = True
+    first[at[long] + 3] = True
+    starts = np.flatnonzero(first)
+    return starts, kind[starts] != _END if blanks else kind[starts] < _SPACE
 
 
 class PieceCoder:
@@ -159,17 +214,19 @@ class PieceCoder:
 
     The tokenizer's own pre-tokenizer never joins what the patterns separate, so a text's ids are its pieces' ids in
     order. Ids of new pieces come from the tokenizers library and stay in tables of bounded size. Texts of the first
-    256 characters are cut at blanks (``chunks``, unless ``odd`` is in them), new chunks as finely as the pre-tokenizer
-    does (``narrow``), and new pieces of these go straight to the library's model. Other texts, and texts with a special
-    token, are cut at white space only and go through all of the library.
+    256 characters are cut as finely as the pre-tokenizer does, all of a batch at once, and new pieces of these go straight
+    to the library's model; if the tokenizer keeps ``blanks``, they are cut at blanks before (unless ``odd`` is in them),
+    and only new chunks are cut finely. Other texts, and texts with a special token, are cut at white space only and go
+    through all of the library.
     """
 
     LIMIT = 1_600_000
+    #: Bytes that UTF-8 doesn't have: one is put behind a piece, no merge of the model has it; one is between lines of pieces.
+    MARK, LINE = b"\xc0", b"\xc1"
 
-    def __init__(self, path: str, chunks, whole, odd: tuple[str, ...], narrow: str, wide: str, special: str, mark: str, lower: bool, limit: int = LIMIT):
-        """limit: pieces held. mark: a character with an id of its own; it keeps many pieces apart in one call. whole(chunk): its text."""
+    def __init__(self, path: str, odd: tuple[str, ...], wide: str, special: str, blanks: bool, limit: int = LIMIT):
+        """blanks: white space has ids; else it only separates, and texts are in lower case. limit: pieces held."""
         import os
-        import re
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
@@ -177,20 +234,28 @@ class PieceCoder:
         self.whole = Tokenizer.from_file(path)
         self.model = Tokenizer(self.whole.model)
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-        self.narrow, self.wide, self.special = (re.compile(p).findall for p in (narrow, wide, special))
-        self.chunks, self.text_of, self.odd, self.mark, self.lower, self.limit = chunks, whole, odd, mark, lower, limit
-        (self.mark_id,) = self.whole.encode(mark, add_special_tokens=False).ids
+        self.wide, self.special = (re.compile(p).findall for p in (wide, special))
+        self.odd, self.blanks, self.limit = odd, blanks, limit
         of_byte = _byte_characters()
-        self.written = {c: "".join(of_byte[b] for b in chr(c).encode()) for c in range(256)}
-        self.reset()
-
-    def reset(self) -> None:
-        self.tables = {"chunks": _Pieces(self._of_chunks), "narrow": _Pieces(self._of_model), "wide": _Pieces(self._of_library)}
+        self.written = np.array([ord(of_byte[b]) for b in range(256)], "<u2")
+        self.written[self.LINE[0]] = ord(" ")
+        self.suffix = self.whole.model.end_of_word_suffix
+        vocabulary = self.whole.get_vocab()
+        mark = of_byte[self.MARK[0]]
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if (t.endswith(self.suffix) if self.suffix else t == mark)]] = True
+        if not self.suffix and [t for t in vocabulary if mark in t] != [mark]:
+            raise ValueError(f"{path} has no token for the byte {self.MARK} alone, or merges it")
+        self.tables: dict[str, _Pieces] = {}
+        self.reset("chunks", "narrow", "wide")
+
+    def reset(self, *names: str) -> None:
+        """Empty these tables. Chunks are cheap to make again from pieces, pieces are not."""
+        made = {"chunks": self._of_chunks, "narrow": self._of_model, "wide": self._of_library}
+        self.tables |= {k: _Pieces(made[k]) for k in names}
 
     def _of_chunks(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        # letters alone, with or without a blank before them, are one piece
-        split = [[t] if t.isalpha() or (t[:1] == " " and t[1:].isalpha()) else self.narrow(t) for t in map(self.text_of, new)]
-        ids, counts = self.tables["narrow"].ids(split)
+        ids, counts = self.tables["narrow"].ids_of_cut(list(map(_blank_part, new)), self.blanks)
         return counts, ids
 
     def _of_library(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -198,37 +263,40 @@ class PieceCoder:
         coded = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(new, add_special_tokens=False)]
         return np.array([len(c) for c in coded], np.int64), np.concatenate(coded)
 
-    def _of_model(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        mark = self.mark.translate(self.written)
-        own = [p.translate(self.written) for p in new]
-        lone = np.array([mark in p for p in own])
-        many = [p for p in own if mark not in p]
-        n, parts = np.zeros(len(new), np.int64), [np.zeros(0, np.uint32)]
-        for at in range(0, len(many), 20_000):
-            (one,) = self.model.encode_batch_fast([" ".join([x for p in many[at : at + 20_000] for x in (p, mark)])], add_special_tokens=False)
+    def _of_model(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces of the first 256 characters, a byte each.
+
+        A model that marks the ends of words gets each piece as a word; the ids that end with the suffix end the pieces.
+        Another gets words of some pieces, a mark behind each, and the marks' ids are taken out.
+        """
+        own = [p if p.isascii() else p.decode("latin-1").encode() for p in new]
+        few, parts = 1 if self.suffix else 32, [np.zeros(0, np.uint32)]
+        for at in range(0, len(own), 20_000):
+            some = own[at : at + 20_000]
+            words = some if self.suffix else [self.MARK.join([*some[k : k + few], b""]) for k in range(0, len(some), few)]
+            line = self.written[np.frombuffer(self.LINE.join(words), np.uint8)].tobytes().decode("utf-16-le")
+            (one,) = self.model.encode_batch_fast([line], add_special_tokens=False)
             parts.append(np.array(one.ids, np.uint32))
-        marked = np.concatenate(parts)
-        cut = np.flatnonzero(marked == self.mark_id)
-        n[~lone] = np.diff(cut, prepend=-1) - 1
-        few = [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast([p for p in own if mark in p], add_special_tokens=False)]
-        n[lone] = [len(p) for p in few]
-        ids, of_lone = np.empty(int(n.sum()), np.uint32), np.repeat(lone, n)
-        ids[~of_lone] = np.delete(marked, cut)
-        ids[of_lone] = np.concatenate([np.zeros(0, np.uint32), *few])
-        return n, ids
+        ids = np.concatenate(parts)
+        last = self.last[ids]
+        n = np.diff(np.flatnonzero(last), prepend=-1)
+        if len(n) != len(new):
+            raise ValueError("the model's ids don't tell the pieces apart")
+        return (n, ids) if self.suffix else (n - 1, ids[~last])
 
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
         if sum(map(len, self.tables.values())) > self.limit:
-            self.reset()
+            self.reset(*(["chunks"] if len(self.tables["chunks"]) > self.limit // 4 else self.tables))
         kinds, done = [self._kind(t) for t in texts], {}
         for kind in set(kinds):
             own = [t for t, k in zip(texts, kinds, strict=True) if k == kind]
-            if kind == "chunks" and self.chunks is _blank_parts:
+            if kind == "chunks":
                 done[kind] = self.tables[kind].ids_between_blanks(own)
-                continue
-            cut = {"chunks": self.chunks, "narrow": self._finely, "wide": self._broadly}[kind]
-            done[kind] = self.tables[kind].ids([cut(t) for t in own])
+            elif kind == "narrow":
+                done[kind] = self.tables[kind].ids_of_cut(own if self.blanks else [t.lower() for t in own], self.blanks)
+            else:
+                done[kind] = self.tables[kind].ids(list(map(self._broadly, own)))
         if len(done) < 2:
             return next(iter(done.values()), (np.zeros(0, np.uint32), np.zeros(0, np.int64)))
         which, counts = np.array(kinds), np.zeros(len(texts), np.int64)
@@ -239,9 +307,6 @@ class PieceCoder:
             ids[of == kind] = own
         return ids, counts
 
-    def _finely(self, text: str) -> list[str]:
-        return self.narrow(text.lower() if self.lower else text)
-
     def _broadly(self, text: str) -> list[str]:
         return (self.special if "<|" in text else self.wide)(text)
 
@@ -253,9 +318,9 @@ class PieceCoder:
                 text.encode("latin-1")
             except UnicodeEncodeError:
                 return "wide"
-        return "narrow" if any(x in text for x in self.odd) else "chunks"
+        return "chunks" if self.blanks and not any(x in text for x in self.odd) else "narrow"
 
-    def batches(self, texts: list[str], chars: int = 2_000_000):
+    def batches(self, texts: list[str], chars: int = 4_000_000):
         """Like encode_many, by runs of texts of about ``chars`` characters: yields (first text, ids, counts)."""
         at = 0
         while at < len(texts):
@@ -273,14 +338,8 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _blank_parts(text: str) -> list[str]:
-    """What stands between single blanks; the first part is marked."""
-    parts = text.split(" ")
-    parts[0] = "\0" + parts[0]
-    return parts
-
-
 def _blank_part(part: str) -> str:
+    """The text of a part between single blanks; the first part of a text is marked."""
     return part[1:] if part[:1] == "\0" else part if part[:1] == "\n" else " " + part
 
 
@@ -288,14 +347,12 @@ def _blank_part(part: str) -> str:
 def byte_coder(path: str) -> PieceCoder:
     """For byte_bpe_50k: a blank goes with the word after it; of longer white space all but the last character stand alone."""
     white = rf"[{_WS}]+(?![^{_WS}])|[{_WS}]+"
-    narrow = rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_WS}{_LETTER}{_NUMBER}]+|{white}"
     special = rf"<\|endoftext\|>| ?(?:(?!<\|endoftext\|>)[^{_WS}])+|{white}"
-    return PieceCoder(path, _blank_parts, _blank_part, (*"\0\t\r\x0b\x0c\x85\xa0", "  ", " \n", "\n "), narrow, rf" ?[^{_WS}]+|{white}", special, "\n", False)
+    return PieceCoder(path, (*"\0\t\r\x0b\x0c\x85\xa0", "  ", " \n", "\n "), rf" ?[^{_WS}]+|{white}", special, True)
 
 
 @functools.cache
 def word_coder(path: str) -> PieceCoder:
     """For word_bpe_49k: lower case; white space is dropped and separates words, numbers stand by the digit."""
-    narrow = rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_WS}{_LETTER}{_NUMBER}]+"
     special = r"<\|(?:start|end)oftext\|>"
-    return PieceCoder(path, lambda t: t.lower().split(), str, tuple("\x1c\x1d\x1e\x1f"), narrow, rf"[^{_WS}]+", rf"{special}|(?:(?!{special})[^{_WS}])+", "\x01", True, PieceCoder.LIMIT // 2)
+    return PieceCoder(path, (), rf"[^{_WS}]+", rf"{special}|(?:(?!{special})[^{_WS}])+", False, PieceCoder.LIMIT // 2)
