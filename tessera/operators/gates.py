@@ -18,24 +18,30 @@ from ..functions.base import fin
 REASONS = ("COMPUTE_FAIL", "SIZE_PROXY", "LOW_IC", "REDUNDANT", "LOW_TSTAT", "OOS_FAIL")
 
 
-def _by_date(batches, names: list[str]):
-    """Matrices of whole dates, one after the other: rows are symbols, columns ``names``; NaN where null."""
+def _dates(batches):
+    """Whole dates, one after the other."""
     held: list[pd.DataFrame] = []
     for pdf in batches:
         while len(pdf):
             day = pdf["trade_date"].iat[0]
             if held and held[-1]["trade_date"].iat[0] != day:
-                yield pd.concat(held)[names].to_numpy(float)
+                yield pd.concat(held)
                 held = []
             same = int((pdf["trade_date"] == day).sum())  # sorted: a date's rows are together
             held.append(pdf.iloc[:same])
             pdf = pdf.iloc[same:]
     if held:
-        yield pd.concat(held)[names].to_numpy(float)
+        yield pd.concat(held)
+
+
+def _by_date(batches, names: list[str]):
+    """Matrices of whole dates, one after the other: rows are symbols, columns ``names``; NaN where null."""
+    for pdf in _dates(batches):
+        yield pdf[names].to_numpy(float)
 
 
-def _streamed(panel: DataFrame, names: list[str]) -> DataFrame:
-    rows = panel.select("trade_date", *[fin(F.col(c).cast("double")).alias(c) for c in names])
+def _streamed(panel: DataFrame, names: list[str], *kept: str) -> DataFrame:
+    rows = panel.select("trade_date", *[fin(F.col(c).cast("double")).alias(c) for c in names], *kept)
     return rows.repartition("trade_date").sortWithinPartitions("trade_date")
 
 
@@ -77,15 +83,90 @@ def correlations(panel: DataFrame, candidates: list[str], *, least: int = 5) ->
     return np.array([np.frombuffer(r["own"]) for r in got]) / days, days
 
 
-def daily_ic(panel: DataFrame, candidates: list[str], ret: str, *, least: int = 5) -> DataFrame:
+def likeness(panel: DataFrame, chosen: list[str], others: list[str], *, least: int = 5) -> dict[str, float]:
+    """For each of ``others`` its largest mean rank correlation, either sign, with one of ``chosen``.
+
+    As in ``correlations`` of the chosen and that one alone, so what the rest lacks bears on nothing; 0 where no date counts.
+    """
+    c, k = len(chosen), len(others)
+
+    def summed(batches):
+        total, days = np.zeros((k, c)), np.zeros(k, np.int64)
+        for x in _by_date(batches, [*chosen, *others]):
+            r = _ranks(x)
+            have = ~np.isnan(r)
+            all_chosen = have[:, :c].all(1)
+            for j in range(k):
+                own = r[all_chosen & have[:, c + j]]
+                if len(own) < least:
+                    continue
+                own = own[:, [*range(c), c + j]]
+                own = (own - own.mean(0)) / (own.std(0) + 1e-12)
+                total[j] += own[:, :c].T @ own[:, c] / len(own)
+                days[j] += 1
+        yield pd.DataFrame({"i": np.repeat(np.arange(k), c), "j": np.tile(np.arange(c), k), "days": np.repeat(days, c), "total": total.ravel()})
+
+    sums = _streamed(panel, [*chosen, *others]).mapInPandas(summed, "i int, j int, days long, total double")
+    got = sums.groupBy("i", "j").agg(F.sum("days").alias("days"), F.sum("total").alias("total")).collect()
+    return {o: max((abs(r["total"]) / r["days"] for r in got if r["i"] == i and r["days"]), default=0.0) for i, o in enumerate(others)}
+
+
+def residuals(x: np.ndarray, size: np.ndarray, group: np.ndarray, least: int, n: float = 5.0) -> np.ndarray:
+    """The columns of one date's matrix, clipped to median +- n * 1.4826 * MAD, standardised, less what size and group explain.
+
+    ``group`` numbers each row's category from 0. Least squares on 1, size and the categories, on the rows that have the
+    value and a size: both are centred in their category, then one slope. With fewer rows than ``least`` the mean alone goes.
+    """
+    out = np.full(x.shape, np.nan)
+    for j, v in enumerate(x.T):
+        have = ~np.isnan(v)
+        v = v[have]
+        if not len(v):
+            continue
+        std = lambda z: float(z.std(ddof=1)) if len(z) > 1 else 0.0
+        middle = np.median(v)
+        scale = 1.4826 * np.median(np.abs(v - middle))
+        scale = scale if scale > 1e-12 else std(v)
+        v = np.clip(v, middle - n * scale, middle + n * scale)
+        spread = std(v)
+        v = (v - v.mean()) / (spread if spread > 1e-12 else 1.0)
+        ok = ~np.isnan(size[have])
+        v, s, g = v[ok], size[have][ok], group[have][ok]
+        if len(v) >= least:
+            count = np.maximum(np.bincount(g), 1)
+            v = v - (np.bincount(g, v) / count)[g]
+            within = s - (np.bincount(g, s) / count)[g]
+            square = within @ within
+            if square > 1e-20 * max(1.0, s @ s):
+                v = v - v @ within / square * within
+        elif len(v):
+            v = v - v.mean()
+        out[np.flatnonzero(have)[ok], j] = v
+    return out
+
+
+def daily_ic(panel: DataFrame, candidates: list[str], ret: str, *, least: int = 5, covariates: tuple[str, str] | None = None) -> DataFrame:
     """(candidate, n, mean, std): how many dates count, mean and deviation over dates of each candidate's correlation with ``ret``.
 
-    A date counts for a candidate with at least ``least`` rows that have both; a flat side has no correlation.
+    A date counts for a candidate with at least ``least`` rows that have both; a flat side has no correlation. With
+    ``covariates``, a number and a category, each candidate is made neutral to them first, date by date (see ``residuals``;
+    rows without a category are one of their own); dates with fewer rows than the regression has numbers, and one, are only centred.
     """
+    size, group = covariates or (None, None)
+    extra = [size] if covariates else []
+    enough = max(panel.select(group).distinct().count() - 1, 1) + 3 if covariates else 0
+
+    def days(batches):
+        if not covariates:
+            yield from _by_date(batches, [*candidates, ret])
+            return
+        for pdf in _dates(batches):
+            x, of = pdf[candidates].to_numpy(float), pd.factorize(pdf[group], use_na_sentinel=False)[0]
+            yield np.column_stack([residuals(x, pdf[size].to_numpy(float), of, enough), pdf[ret].to_numpy(float)])
 
     def summed(batches):
         n, s, q = (np.zeros(len(candidates)) for _ in range(3))
-        for m in _by_date(batches, [*candidates, ret]):
+        for m in days(batches):
             x, y = m[:, :-1], m[:, -1:]
             both = ~np.isnan(x) & ~np.isnan(y)
             count = both.sum(0)
@@ -98,7 +179,7 @@ def daily_ic(panel: DataFrame, candidates: list[str], ret: str, *, least: int =
             n, s, q = n + good, s + ic, q + ic * ic
         yield pd.DataFrame({"candidate": candidates, "n": n.astype(np.int64), "s": s, "q": q})
 
-    sums = _streamed(panel, [*candidates, ret]).mapInPandas(summed, "candidate string, n long, s double, q double")
+    sums = _streamed(panel, [*candidates, ret, *extra], *([group] if covariates else [])).mapInPandas(summed, "candidate string, n long, s double, q double")
     total = sums.groupBy("candidate").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     mean = F.try_divide("s", F.col("n").cast("double"))
     var = F.when(F.col("n") > 1, F.greatest(F.lit(0.0), (F.col("q") - F.col("s") * mean) / (F.col("n") - 1)))
@@ -130,39 +211,57 @@ def independent(matrix: np.ndarray, order: list[int], limit: float = 0.7) -> lis
     return kept
 
 
-def screen(train: DataFrame, valid: DataFrame, candidates: list[str], ret: str, *, neutral: dict[str, str] | None = None, least_ic: float = 0.02, decay: float = 0.8, limit: float = 0.7) -> DataFrame:
+def screen(
+    train: DataFrame,
+    valid: DataFrame,
+    candidates: list[str],
+    ret: str,
+    *,
+    neutral: dict[str, str] | None = None,
+    covariates: tuple[str, str] | None = None,
+    least_ic: float = 0.02,
+    decay: float = 0.8,
+    limit: float = 0.7,
+) -> DataFrame:
     """(candidate, place, passed, reason, ic, ic_raw, t_valid): every candidate through all gates, in the order given.
 
-    On the training rows: a candidate without a correlation fails (COMPUTE_FAIL), one whose neutral column ``neutral[c]``
-    loses more than ``decay`` of it is a proxy (SIZE_PROXY), one under ``least_ic`` is weak (LOW_IC); one correlated by
-    ``limit`` or more with a survivor before it goes (REDUNDANT). On the validation rows its t must reach what the trials
-    so far ask for (LOW_TSTAT; OOS_FAIL where there is none). Only those that pass all are survivors. Four aggregations,
-    however many candidates; the driver sees a few numbers a candidate and one a pair.
+    On the training rows: a candidate without a correlation fails (COMPUTE_FAIL), one that loses more than ``decay`` of it
+    when neutral is a proxy (SIZE_PROXY), one under ``least_ic`` is weak (LOW_IC); one correlated by ``limit`` or more with a
+    survivor before it goes (REDUNDANT). Neutral is the column ``neutral[c]``, or else, with ``covariates``, a number and a
+    category, what these leave of the candidate. On the validation rows its t must reach what the trials
+    so far ask for (LOW_TSTAT; OOS_FAIL where there is none). Only those that pass all are survivors. Four aggregations, and
+    one for each survivor; the driver sees a few numbers a candidate and, for each survivor, one a candidate and survivor.
     """
     neutral = neutral or {}
-    used = [neutral.get(c, c) for c in candidates]
-    of = lambda df, names: {r["candidate"]: r for r in daily_ic(df, sorted(set(names)), ret).collect()}
-    inside, outside = of(train, [*candidates, *used]), of(valid, candidates)
-    matrix = correlations(train, candidates)[0] if len(candidates) > 1 else np.ones((1, 1))
-    survivors: list[int] = []
+    of = lambda df, names, **how: {r["candidate"]: r for r in daily_ic(df, sorted(set(names)), ret, **how).collect()}
+    inside, outside = of(train, [*candidates, *neutral.values()]), of(valid, candidates)
+    rest = [c for c in candidates if c not in neutral] if covariates else []
+    cleaned = of(train, rest, covariates=covariates) if rest else {}
+    first = {c: cleaned[c] if c in cleaned else inside[neutral.get(c, c)] for c in candidates}
+
+    def weak(c: str) -> str | None:
+        raw, own = inside[c]["mean"], first[c]["mean"]
+        if own is None or raw is None:
+            return "COMPUTE_FAIL"
+        if (c in neutral or c in cleaned) and 1 - abs(own) / max(abs(raw), 1e-12) > decay:
+            return "SIZE_PROXY"
+        return "LOW_IC" if abs(own) < least_ic else None
+
+    survivors: list[str] = []
+    alike: dict[str, float] = {}
     out = []
     for i, c in enumerate(candidates):
-        raw, own, after = inside[c]["mean"], inside[used[i]]["mean"], outside[c]
-        t, reason = None, None
-        if own is None or raw is None:
-            reason = "COMPUTE_FAIL"
-        elif c in neutral and 1 - abs(own) / max(abs(raw), 1e-12) > decay:
-            reason = "SIZE_PROXY"
-        elif abs(own) < least_ic:
-            reason = "LOW_IC"
-        elif survivors and np.abs(matrix[i, survivors]).max() >= limit:
+        after, t, reason = outside[c], None, weak(c)
+        if reason is None and alike.get(c, 0.0) >= limit:
             reason = "REDUNDANT"
-        else:
+        if reason is None:
             t = after["mean"] / after["std"] * math.sqrt(after["n"]) if after["mean"] is not None and after["std"] else None
             reason = "OOS_FAIL" if t is None else "LOW_TSTAT" if abs(t) < threshold(i + 1) else None
         if reason is None:
-            survivors.append(i)
-        out.append((c, i, reason is None, reason, own, raw, t))
+            survivors.append(c)
+            left = [x for x in candidates[i + 1 :] if weak(x) is None]
+            alike = likeness(train, survivors, left) if left else {}
+        out.append((c, i, reason is None, reason, first[c]["mean"], inside[c]["mean"], t))
     return train.sparkSession.createDataFrame(out, "candidate string, place int, passed boolean, reason string, ic double, ic_raw double, t_valid double")
 
 

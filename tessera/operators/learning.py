@@ -31,11 +31,11 @@ def date_index(df: DataFrame) -> DataFrame:
     return df.select("trade_date").distinct().withColumn("k", F.row_number().over(W.orderBy("trade_date")) - 1).withColumn("n", F.count("*").over(W.partitionBy()))
 
 
-def split(df: DataFrame, *, train: float = 0.7, valid: float = 0.15, purge: int = 0) -> DataFrame:
-    """Chronological parts by date; ``purge`` dates before the start of the next part belong to none."""
+def split(df: DataFrame, *, train: float = 0.7, valid: float = 0.15, purge: int = 0, embargo: int = 0) -> DataFrame:
+    """Chronological parts by date; ``purge`` dates before the start of the next part belong to none, nor ``embargo`` dates from there on."""
     d = date_index(df)
     a, b = F.floor(F.col("n") * train), F.floor(F.col("n") * (train + valid))
-    part = F.when(F.col("k") < a - purge, "train").when((F.col("k") >= a) & (F.col("k") < b - purge), "valid").when(F.col("k") >= b, "test")
+    part = F.when(F.col("k") < a - purge, "train").when((F.col("k") >= a + embargo) & (F.col("k") < b - purge), "valid").when(F.col("k") >= b + embargo, "test")
     return d.select("trade_date", part.alias("part")).where("part IS NOT NULL")
 
 

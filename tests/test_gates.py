@@ -116,3 +116,80 @@ def test_screen_equals_the_loop(tables):
 def test_numbers():
     assert G.threshold(1) == 1.96 and G.threshold(100) == pytest.approx((2 * np.log(100)) ** 0.5)
     assert G.fitness(0.03, 0.03) == 0.03 and G.fitness(0.01, 0.04) == pytest.approx(0.01 - 0.5)
+
+
+def naive_neutral(g, c, levels):
+    """One date's column, clipped, standardised and regressed on size and dummies as one matrix."""
+    v = g[c].to_numpy(float)
+    have = ~np.isnan(v)
+    if not have.any():
+        return v
+    middle = np.nanmedian(v)
+    scale = 1.4826 * np.nanmedian(abs(v - middle))
+    scale = scale if scale > 1e-12 else np.std(v[have], ddof=1)
+    v = np.clip(v, middle - 5 * scale, middle + 5 * scale)
+    spread = np.nanstd(v, ddof=1)
+    v = (v - np.nanmean(v)) / (spread if spread > 1e-12 else 1)
+    size = g["float_mv"].to_numpy(float)
+    ok, out = have & ~np.isnan(size), np.full(len(v), np.nan)
+    if ok.sum() < len(levels) + 2:
+        out[ok] = v[ok] - v[ok].mean()
+        return out
+    z = np.column_stack([np.ones(ok.sum()), size[ok], *[(g["industry"] == x).to_numpy(float)[ok] for x in levels[1:]]])
+    out[ok] = v[ok] - z @ np.linalg.lstsq(z, v[ok], rcond=None)[0]
+    return out
+
+
+def test_query_makes_every_candidate_neutral(spark):
+    """Against pandas on the whole panel: both covariates for all nine, purge and embargo, returns inside their part."""
+    from tessera.plans import q_risk
+
+    names = list(q_risk._CANDIDATES)
+    pdf = q_risk._candidates(spark, "/root/testdata/sf0.01").select("symbol", "trade_date", "float_mv", "industry", "close", *names).toPandas().sort_values(["symbol", "trade_date"])
+    days = sorted(pdf["trade_date"].unique())
+    a, b = int(len(days) * 0.7), int(len(days) * 0.85)
+    train, valid = (pdf[pdf["trade_date"].isin(d)].copy() for d in (days[: a - 1], days[a + 1 : b - 1]))
+    for part in (train, valid):
+        part["ret"] = part.groupby("symbol")["close"].shift(-1) / part["close"] - 1
+    train = train.dropna(subset=["ret"])
+    levels = sorted(train["industry"].unique())
+    for c in names:
+        train[f"{c}_n"] = pd.concat([pd.Series(naive_neutral(g, c, levels), g.index) for _, g in train.groupby("trade_date")])
+    survivors, want = [], []
+    for i, c in enumerate(names):
+        ic, raw, after = naive_ic(train, f"{c}_n"), np.mean(naive_ic(train, c)), naive_ic(valid, c)
+        ic, t = np.mean(ic), None
+        if 1 - abs(ic) / abs(raw) > 0.8:
+            reason = "SIZE_PROXY"
+        elif abs(ic) < 0.02:
+            reason = "LOW_IC"
+        elif survivors and G.likeness(spark.createDataFrame(train[["trade_date", *survivors, c]]), survivors, [c])[c] >= 0.7:
+            reason = "REDUNDANT"
+        else:
+            t = np.mean(after) / np.std(after, ddof=1) * len(after) ** 0.5
+            reason = None if abs(t) >= G.threshold(i + 1) else "LOW_TSTAT"
+            survivors += [c] * (reason is None)
+        want.append((c, reason, ic, raw, t))
+    got = q_risk.candidate_gates(spark, "/root/testdata/sf0.01").orderBy("place").collect()
+    assert [(r["candidate"], r["reason"], r["passed"]) for r in got] == [(c, why, why is None) for c, why, *_ in want]
+    for r, (_, _, *numbers) in zip(got, want, strict=True):
+        assert [r["ic"], r["ic_raw"], r["t_valid"]] == [None if x is None else pytest.approx(x, abs=1e-6) for x in numbers]
+
+
+def test_redundancy_goes_by_the_survivors_alone(spark):
+    """A candidate without a value takes no rows from the others, and one with gaps only its own."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for d in range(30):
+        for i in range(20):
+            x, z = rng.normal(size=2)
+            rows.append((f"s{i}", d, float(x), float(x + rng.normal() * 0.1), None, float(z) if i < 6 else None, float(x * 0.05 + rng.normal() * 0.02)))
+    df = spark.createDataFrame(rows, "symbol string, trade_date int, a double, b double, none double, gaps double, ret double")
+    got = {r["candidate"]: r["reason"] for r in G.screen(df, df, ["a", "none", "gaps", "b"], "ret", least_ic=0.0).collect()}
+    assert got["a"] is None and got["none"] == "COMPUTE_FAIL" and got["b"] == "REDUNDANT" and got["gaps"] != "REDUNDANT"
+    pdf = pd.DataFrame(rows, columns=["symbol", "trade_date", "a", "b", "none", "gaps", "ret"])
+    assert G.likeness(df, ["a"], ["gaps", "none", "b"]) == {"gaps": pytest.approx(naive_rank(pdf, "a", "gaps")), "none": 0.0, "b": pytest.approx(naive_rank(pdf, "a", "b"))}
+
+
+def naive_rank(pdf, a, b):
+    return abs(np.mean([np.corrcoef(g[[a, b]].rank().dropna().T)[0, 1] for _, g in pdf.groupby("trade_date")]))
